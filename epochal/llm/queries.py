@@ -41,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Exact: every distance between the codes, all rows against the stated queries.
 OP8_SQL = """
 WITH c AS (SELECT DISTINCT vec_id AS id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
-p AS (SELECT q.id AS query_id, r.id AS neighbor_id, list_sum(list_transform(list_zip(q.b, r.b), z -> CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INTEGER AS distance
+p AS (SELECT q.id AS query_id, r.id AS neighbor_id, list_sum(list_transform(list_zip(q.b, r.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INTEGER AS distance
   FROM c q JOIN c r ON q.id % 100 = 0 AND q.id <> r.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, neighbor_id, distance FROM k WHERE rank <= 10
