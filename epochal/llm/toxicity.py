@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,13 +104,14 @@ def swapped(found: set[bytes], turn: int) -> set[bytes] | None:
     return out
 
 
-def choose(bags: list[set[bytes]], y: np.ndarray, least: float, most: int) -> list[bytes]:
-    """Words whose presence tells the classes apart: likelihood ratio at least ``least``."""
+def choose(bags: Iterable[set[bytes]], y: np.ndarray, least: float, most: int) -> list[bytes]:
+    """Words whose presence tells the classes apart: likelihood ratio at least ``least``.
+    Bags are counted one after another and not kept."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     pos, neg = Counter(), Counter()
     for b, v in zip(bags, y, strict=True):
         (pos if v else neg).update(b)
-    terms = [w for w in pos if pos[w] >= 3]
+    terms = sorted(w for w in pos if pos[w] >= 3)
     k1 = np.array([pos[w] for w in terms], float)
     k0 = np.array([neg[w] for w in terms], float)
 
@@ -128,12 +130,11 @@ def fit(texts: list[bytes], labels: list[int], least: float = 24.0, most: int =
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model({}, -50.0)
-    bags = [stemmed(words(t)) for t in texts]
-    chosen = choose(bags, y, least, most)
+    chosen = choose((stemmed(words(t)) for t in texts), y, least, most)
     terms = list(dict.fromkeys([*chosen, *(t.encode() for t in GROUP)]))
     at = {w: i for i, w in enumerate(terms)}
     # Rows and columns of the ones, as flat arrays: the design matrix is very sparse.
-    r, c = np.array([(i, at[w]) for i, b in enumerate(bags) for w in b & at.keys()] or np.zeros((0, 2)), int).T
+    r, c = np.array([(i, at[w]) for i, t in enumerate(texts) for w in sorted(stemmed(words(t)) & at.keys())] or np.zeros((0, 2)), int).T
     pairs: list[tuple[int, int, float]] = []
     n_pairs = 0
     for i, t in enumerate(texts):
