@@ -441,11 +441,11 @@ def predict_linear(s, d):
     return _predicted(s, d).select("event_id", r6("pred", "pred"))
 
 
-@query(f"""WITH {_RF} SELECT user_id, round(CASE WHEN var_pop(y) <> 0 THEN 1 - var_pop(y - pred) / var_pop(y) END, 6) AS explained, CASE WHEN abs(corr(y, pred)) < 1e-6 THEN 0.0::DOUBLE ELSE round(corr(y, pred), 6) END AS cc, round(avg((y - pred) * (y - pred)), 5) AS mse FROM p GROUP BY 1 HAVING stddev_pop(pred) > 0""")
+@query(f"""WITH {_RF} SELECT user_id, CASE WHEN abs(1 - var_pop(y - pred) / var_pop(y)) < 1e-6 THEN 0.0::DOUBLE WHEN var_pop(y) <> 0 THEN round(1 - var_pop(y - pred) / var_pop(y), 6) END AS explained, CASE WHEN abs(corr(y, pred)) < 1e-6 THEN 0.0::DOUBLE ELSE round(corr(y, pred), 6) END AS cc, round(avg((y - pred) * (y - pred)), 5) AS mse FROM p GROUP BY 1 HAVING stddev_pop(pred) > 0""")
 def explained_variance(s, d):
     p = _predicted(s, d)
     ok = p.groupBy("user_id").agg(F.stddev_pop("pred").alias("sd")).where("sd > 0").select("user_id")
-    return features.explained_variance(p.join(ok, "user_id", "left_semi"), "user_id", "v", "pred").select("user_id", r6("explained", "explained"), F.when(F.abs("cc") < 1e-6, F.lit(0.0)).otherwise(F.round("cc", 6)).alias("cc"), r6("mse", "mse", 5))
+    return features.explained_variance(p.join(ok, "user_id", "left_semi"), "user_id", "v", "pred").select("user_id", F.when(F.abs("explained") < 1e-6, F.lit(0.0)).otherwise(F.round("explained", 6)).alias("explained"), F.when(F.abs("cc") < 1e-6, F.lit(0.0)).otherwise(F.round("cc", 6)).alias("cc"), r6("mse", "mse", 5))
 
 
 @query(f"""WITH {BASE} SELECT user_id, CASE WHEN i <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.9::DOUBLE) THEN 'dev' ELSE 'test' END AS part, count(*) AS samples FROM s GROUP BY 1, 2""")
