@@ -81,9 +81,10 @@ def hash_params(value) -> str:
     return hashlib.md5(json.dumps(plain(value), sort_keys=True).encode()).hexdigest()
 
 
-def naka_rushton(s: Column, base: float, top: float, half: float, n: float) -> Column:
+def naka_rushton(s: Column, base: float, amplitude: float, half: float, n: float) -> Column:
+    """base + amplitude x s^n / (s^n + half^n); half the amplitude for a half-maximum of 0."""
     p = F.pow(s, F.lit(n))
-    return F.lit(base) + F.lit(top - base) * p / (p + F.lit(half**n))
+    return F.lit(base) + F.lit(amplitude) * (p / (p + F.lit(half**n)) if half else F.lit(0.5))
 
 
 def sigmoid(x: Column, x0: float, k: float, a: float) -> Column:

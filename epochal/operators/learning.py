@@ -77,3 +77,82 @@ def roll_up(probs: DataFrame, key: str, levels: list[str], prob: str) -> DataFra
     """Summed probability of each class at each level of a hierarchy; one pass over unrolled levels."""
     each = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("class")) for c in levels])
     return probs.select(key, prob, F.explode(each).alias("e")).groupBy(key, "e.level", "e.class").agg(F.sum(prob).alias(prob))
+
+
+def covariance(df: DataFrame, vector: str, scale: bool = True):
+    """(means, deviations, covariance) of a vector column as numpy; with ``scale`` the covariance of the
+    standardised columns. Sums are merged on the executors; only dimensions squared reach the driver."""
+    import numpy as np
+    import pandas as pd
+
+    def part(batches):
+        total = None
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["v"].to_numpy()).astype(float)
+            new = len(x), x.mean(0), (x - x.mean(0)).T @ (x - x.mean(0))
+            total = new if total is None else _merged(total, new)
+        if total is not None:
+            yield pd.DataFrame({"n": [total[0]], "m": [total[1]], "s": [total[2].ravel()]})
+
+    schema = "n long, m array<double>, s array<double>"
+    v = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    sums = v.mapInPandas(part, schema)
+    n, mean, s = None, None, None
+    for r in sums.toLocalIterator():  # one row a partition, dim squared each
+        new = r["n"], np.array(r["m"]), np.array(r["s"]).reshape(len(r["m"]), -1)
+        n, mean, s = new if n is None else _merged((n, mean, s), new)
+    c = s / n
+    sd = np.sqrt(np.diag(c))
+    safe = np.where(sd > 0, sd, 1.0)
+    return mean, sd, c / safe[:, None] / safe if scale else c
+
+
+def _merged(a, b):
+    """Counts, means and centred products of two parts."""
+    import numpy as np
+
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def sparse_pca(df: DataFrame, vector: str, k: int, share: float = 0.2):
+    """Standardised sparse components as column ``spc``; returns (frame, loadings, share of variance)."""
+    from epochal.functions.fitting import sparse_components, spread_explained
+
+    mean, sd, c = covariance(df, vector)
+    loadings = sparse_components(c, k, share)
+    each = []
+    for row in loadings:
+        w = [float(a / s) if s > 0 else 0.0 for a, s in zip(row, sd, strict=True)]
+        each.append(dot(F.col(vector), F.array(*map(F.lit, w))) - F.lit(sum(a * float(b) for a, b in zip(w, mean, strict=True))))
+    return df.withColumn("spc", F.array(*each)), loadings, spread_explained(c, loadings)
+
+
+def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, most: int = 1000, seed: int = 0) -> DataFrame:
+    """Adds ``cluster`` by bottom-up clustering of the distinct vectors, or, above ``most`` of them, of that
+    many k-means centres weighted by their members (so the quadratic step has a fixed size)."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from epochal.functions.fitting import agglomerate
+
+    spark = df.sparkSession
+    points = df.groupBy(F.col(vector).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
+    head = points.orderBy("_p").limit(most + 1).collect()  # at most ``most`` + 1 rows
+    if len(head) <= most:
+        if not head:
+            return df.withColumn("cluster", F.lit(None).cast("int"))
+        x, w = np.array([r["_p"] for r in head], float), np.array([r["_w"] for r in head], float)
+        label = agglomerate(x, w, linkage, k, threshold)
+        made = spark.createDataFrame([(r["_p"], int(c)) for r, c in zip(head, label, strict=True)], points.select(F.col("_p").alias(vector), F.lit(0).alias("cluster")).schema)
+        return df.join(F.broadcast(made), vector, "left")  # at most ``most`` rows
+    d = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    m = KMeans(featuresCol="_v", predictionCol="_c", k=most, seed=seed).fit(d)
+    out = m.transform(d)
+    sizes = {r["_c"]: r["n"] for r in out.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``most`` rows
+    label = agglomerate(np.array(m.clusterCenters()), np.array([sizes.get(i, 1) for i in range(len(m.clusterCenters()))], float), linkage, k, threshold)
+    table = F.array(*[F.lit(int(c)) for c in label])
+    return out.withColumn("cluster", F.get(table, F.col("_c"))).drop("_v", "_c")

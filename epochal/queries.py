@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.functions import scalars
-from epochal.operators import algebra, epochs, features, learning, masks, series
-from epochal.sources import logs, paths
+from epochal.functions import cell_types, scalars
+from epochal.operators import algebra, epochs, features, learning, masks, receptive, segmentation, series
+from epochal.sources import logs, paths, stimuli
 from epochal.streaming import incremental
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -689,7 +689,7 @@ def hash_key(s, d):
     return t(s, d, "part").select("p_partkey", scalars.hash_columns("p_size", "p_brand").alias("h"))
 
 
-@query("SELECT p_partkey, round(0.1::DOUBLE + (0.9::DOUBLE - 0.1::DOUBLE) * pow(p_size, 2) / (pow(p_size, 2) + pow(20, 2)), 6) AS nr, round(2 / (1 + exp(-0.2::DOUBLE * (p_size - 25))), 6) AS sg FROM part")
+@query("SELECT p_partkey, round(0.1::DOUBLE + 0.9::DOUBLE * pow(p_size, 2) / (pow(p_size, 2) + pow(20, 2)), 6) AS nr, round(2 / (1 + exp(-0.2::DOUBLE * (p_size - 25))), 6) AS sg FROM part")
 def saturating_functions(s, d):
     x = F.col("p_size")
     return t(s, d, "part").select("p_partkey", r6(scalars.naka_rushton(x, 0.1, 0.9, 20.0, 2.0), "nr"), r6(scalars.sigmoid(x, 25.0, 0.2, 2.0), "sg"))
@@ -801,6 +801,191 @@ def session_windows(s, d):
     return incremental.sessions(t(s, d, "events"), "user_id", "6 hours")
 
 
+# Masks and images: making, comparing, resizing
+
+_LABEL = "((x // 3) * 3 + y // 3)::INTEGER"
+_MIX = "((x * 3 + y * 5 + x * y) % 3)::INTEGER"
+
+
+def _labelled(s, d, mixed: bool = False):
+    label = (F.col("x") * 3 + F.col("y") * 5 + F.col("x") * F.col("y")) % 3 if mixed else F.floor(F.col("x") / 3) * 3 + F.floor(F.col("y") / 3)
+    return _grid(s, d).where("f = 1").select("x", "y", label.cast("int").alias("label"))
+
+
+@query(f"WITH {_GRID} SELECT x, y, ((x - 3.5::DOUBLE) * (x - 3.5::DOUBLE) + (y - 3) * (y - 3)) <= 6.25::DOUBLE AS inside FROM g WHERE f = 1")
+def circular_mask(s, d):
+    return segmentation.circle(_grid(s, d).where("f = 1").select("x", "y"), 3.5, 3, 2.5)
+
+
+@query(f"WITH {_GRID} SELECT x, y, (CASE WHEN x < 2 THEN 0 ELSE {_LABEL} END)::INTEGER AS label FROM g WHERE f = 1")
+def artifact_columns(s, d):
+    return segmentation.clear_artifact_columns(_labelled(s, d), 2)
+
+
+@query(f"WITH {_GRID} SELECT y, round(greatest(quantile_cont(v::DOUBLE, 0.7), 100), 6) AS threshold FROM g WHERE f = 1 GROUP BY y")
+def line_threshold(s, d):
+    return segmentation.line_threshold(_grid(s, d).where("f = 1"), 0.7, 100.0).select("y", r6("threshold", "threshold"))
+
+
+@query(f"WITH {_GRID}, m AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1) SELECT DISTINCT a.label, b.label AS other FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.label <> 0 AND b.label <> 0 AND a.label <> b.label")
+def neighbour_labels(s, d):
+    return segmentation.neighbour_labels(_labelled(s, d))
+
+
+@query(f"WITH {_GRID}, m AS (SELECT x, y, {_MIX} AS label FROM g WHERE f = 1) SELECT x, y, (CASE WHEN EXISTS (SELECT 1 FROM m b WHERE abs(m.x - b.x) + abs(m.y - b.y) = 1 AND b.label = m.label) THEN label ELSE 0 END)::INTEGER AS label FROM m")
+def isolated_pixels(s, d):
+    return segmentation.remove_isolated(_labelled(s, d, True)).select("x", "y", "label")
+
+
+@query(f"""WITH {_GRID}, p AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1), q AS (SELECT x, y, {_MIX} AS o FROM g WHERE f = 1 AND x > 2),
+n AS (SELECT label, o, count(*) AS n FROM p JOIN q USING (x, y) WHERE label <> 0 AND o <> 0 GROUP BY ALL),
+i AS (SELECT label, max(n / ((SELECT count(*) FROM p WHERE p.label = n.label) + (SELECT count(*) FROM q WHERE q.o = n.o) - n)) AS iou FROM n GROUP BY label)
+SELECT p.label, count(*) AS pixels, round(coalesce(any_value(iou), 0), 6) AS iou FROM p LEFT JOIN i ON i.label = p.label WHERE p.label <> 0 GROUP BY p.label HAVING coalesce(any_value(iou), 0) < 0.2""")
+def mask_suggestions(s, d):
+    return segmentation.suggestions(_labelled(s, d), _labelled(s, d, True).where("x > 2"), 0.2).select("label", "pixels", r6("iou", "iou"))
+
+
+@query()
+def compare_masks(s, d):
+    m = _labelled(s, d, True)
+    return segmentation.compare(m, masks.shifted(m, 1, 0, 8, 8), 2)
+
+
+@query(f"WITH {_GRID}, i AS (SELECT x, y, v FROM g WHERE f = 1) SELECT a.a::INTEGER AS x, b.b::INTEGER AS y, round(v::DOUBLE, 4) AS v FROM range(5) a(a) CROSS JOIN range(11) b(b) LEFT JOIN i ON i.x = floor((a.a + 0.5::DOUBLE) * 8 / 5) AND i.y = floor((b.b + 0.5::DOUBLE) * 8 / 11)")
+def resize_nearest(s, d):
+    return segmentation.resize(_grid(s, d).where("f = 1"), (8, 8), (5, 11)).select("x", "y", r6("v", "v", 4))
+
+
+@query(f"""WITH {_GRID}, i AS (SELECT x, y, v::DOUBLE AS v FROM g WHERE f = 1), o AS (SELECT a::INTEGER AS x, b::INTEGER AS y, (a + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE AS sx, (b + 0.5::DOUBLE) * 0.8::DOUBLE - 0.5::DOUBLE AS sy FROM range(16) t(a) CROSS JOIN range(10) u(b)),
+c AS (SELECT o.x, o.y, sum(CASE WHEN i.x IS NULL THEN 0 ELSE (1 - abs(i.x - sx)) * (1 - abs(i.y - sy)) * v END) AS v, max(CASE WHEN i.x = floor(sx + 0.5::DOUBLE) AND i.y = floor(sy + 0.5::DOUBLE) THEN 1 END) AS k
+FROM o LEFT JOIN i ON abs(i.x - sx) < 1 AND abs(i.y - sy) < 1 GROUP BY ALL)
+SELECT x, y, round(CASE WHEN k = 1 THEN greatest((SELECT min(v) FROM i), least((SELECT max(v) FROM i), v)) END, 4) AS v FROM c""")
+def resize_linear(s, d):
+    return segmentation.resize(_grid(s, d).where("f = 1"), (8, 8), (16, 10), 1).select("x", "y", r6("v", "v", 4))
+
+
+@query()
+def rotate_image(s, d):
+    return segmentation.rotate(_grid(s, d).where("f = 1"), (8, 8), 30.0).select("x", "y", r6("v", "v", 4))
+
+
+@query(f"""WITH {_GRID}, b AS (SELECT {_LABEL} AS label, avg(v) AS b FROM g WHERE f = 1 GROUP BY 1)
+SELECT label, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) AS brightness FROM b WHERE label <> 0""")
+def brightness_index(s, d):
+    return segmentation.brightness_index(_grid(s, d).where("f = 1"), _labelled(s, d)).select("label", r6("brightness", "brightness"))
+
+
+@query(f"""WITH {_GRID} SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, round(corr(a.v, b.v), 6) AS corr FROM range(-2, 3) i(dx) CROSS JOIN range(-2, 3) j(dy) JOIN g b ON b.f = 2 JOIN g a ON a.f = 1 AND a.x = b.x + dx AND a.y = b.y + dy GROUP BY ALL""")
+def image_cross_correlation(s, d):
+    g = _grid(s, d)
+    return segmentation.cross_correlation(g.where("f = 1"), g.where("f = 2"), 2).select("dx", "dy", r6("corr", "corr"))
+
+
+@query()
+def grow_regions(s, d):
+    g = _grid(s, d).groupBy("x", "y").pivot("f", list(range(1, 13))).agg(F.first("v")).fillna(0.0)
+    stack = g.select(F.lit(1).cast("long").alias("k"), "x", "y", F.array(*[F.col(str(i)) for i in range(1, 13)]).alias("series"))
+    return segmentation.grow(stack, "k", 0.5, 0.0, border=1, least=2)
+
+
+# Receptive fields: lineitem's months, suppliers and parts are time and space, line numbers are keys
+
+_RF = "r AS (SELECT l_linenumber::BIGINT AS k, month(l_shipdate)::INTEGER AS t, (l_suppkey % 4)::INTEGER AS x, (l_partkey % 4)::INTEGER AS y, round(avg(l_quantity) - 25.5::DOUBLE, 6) AS w FROM lineitem GROUP BY ALL)"
+
+
+def _rf(s, d):
+    k = [F.col("l_linenumber").cast("long").alias("k"), F.month("l_shipdate").alias("t"), (F.col("l_suppkey") % 4).cast("int").alias("x"), (F.col("l_partkey") % 4).cast("int").alias("y")]
+    return t(s, d, "lineitem").groupBy(*k).agg(F.round(F.avg("l_quantity") - 25.5, 6).alias("w"))
+
+
+@query(f"WITH {_RF}, s AS (SELECT k, x, y, stddev_pop(w) AS w FROM r GROUP BY ALL), p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY w DESC, x, y) = 1) SELECT r.k, r.t, r.w, round(p.w, 6) AS space FROM r JOIN p USING (k, x, y)")
+def rf_split_sd(s, d):
+    srf, trf = receptive.split_sd(_rf(s, d), "k")
+    return trf.join(srf.groupBy("k").agg(F.max("w").alias("space")), "k").select("k", "t", "w", r6("space", "space"))
+
+
+@query(f"WITH {_RF}, p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(w) DESC, t, x, y) = 1) SELECT a.k, b.t, a.x, a.y, round(a.w * b.w, 6) AS w FROM (SELECT r.* FROM r JOIN p USING (k, t)) a JOIN (SELECT r.* FROM r JOIN p USING (k, x, y)) b ON a.k = b.k")
+def rf_split_peak(s, d):
+    return receptive.merge(*receptive.split_peak(_rf(s, d), "k"), "k").select("k", "t", "x", "y", r6("w", "w"))
+
+
+@query(f"WITH {_RF}, p AS (SELECT k, sign(w) AS s FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(w) DESC, t, x, y) = 1) SELECT k, t, x, y, round(w / sum(greatest(s * w, 0)) OVER (PARTITION BY k), 8) AS w FROM r JOIN p USING (k)")
+def rf_normalise(s, d):
+    return receptive.normalise(_rf(s, d), "k").select("k", "t", "x", "y", r6("w", "w", 8))
+
+
+@query(f"WITH {_RF} SELECT k, round(sum(CASE WHEN x IN (1, 2) AND y IN (1, 2) THEN w ELSE 0 END) / sum(abs(w)), 6) AS centre_index, round(sum(CASE WHEN x IN (1, 2) AND y IN (1, 2) THEN 0 ELSE w END) / sum(abs(w)), 6) AS surround_index FROM r GROUP BY k")
+def rf_weight_shares(s, d):
+    mid = F.col("x").isin(1, 2) & F.col("y").isin(1, 2)
+    r = receptive.weight_shares(_rf(s, d).withColumn("c", F.when(mid, F.col("w")).otherwise(0.0)), "k", "c")
+    return r.select("k", r6("centre_index", "centre_index"), r6("surround_index", "surround_index"))
+
+
+@query()
+def rf_split_svd(s, d):
+    return receptive.split_svd(_rf(s, d), "k")
+
+
+@query()
+def rf_temporal(s, d):
+    return receptive.temporal(receptive.split_peak(_rf(s, d), "k")[1], "k", baseline=2.0)
+
+
+@query()
+def rf_spatial_fit(s, d):
+    return receptive.spatial(receptive.split_peak(_rf(s, d), "k")[0], "k", 30.0, 30.0)
+
+
+@query()
+def rf_outlines(s, d):
+    return receptive.outlines(receptive.split_sd(_rf(s, d), "k")[0], "k", [0.5, 0.7, 0.9])
+
+
+@query()
+def spline_filter(s, d):
+    x = samples(s, d).withColumn("stim", is_signup().cast("double"))
+    return receptive.spline_filter(x, "user_id", "stim", "v", 6, [3, 5], [0.001, 0.01])
+
+
+@query()
+def contrast_fit(s, d):
+    p = t(s, d, "part").groupBy((F.col("p_size") % 5).cast("long").alias("k"), "p_size").agg(F.avg("p_retailprice").alias("r"))
+    return receptive.contrast_fit(p, "k", "p_size", "r")
+
+
+# Labels, stimuli, clustering
+
+_NTH = lambda names, at: f"coalesce(list_extract({[n.replace(chr(39), chr(39) * 2) for n in names]!r}, {at}), 'Unknown')"
+
+
+@query(
+    f"""WITH c AS (SELECT s_suppkey, (s_suppkey * 7 % 80)::INTEGER AS c FROM supplier), n AS (SELECT *, CASE WHEN c = 0 THEN 'Unknown' ELSE {_NTH(cell_types.CLUSTERS, "c")} END AS name FROM c),
+g AS (SELECT *, CASE WHEN name = 'Unknown' THEN -1 ELSE regexp_extract(name, '^[0-9]+')::INTEGER END AS grp FROM n)
+SELECT s_suppkey, name, grp, CASE WHEN grp < 0 THEN 'Unknown' ELSE {_NTH(cell_types.GROUPS, "grp")} END AS group_name,
+CASE WHEN grp < 0 THEN 'Unknown' WHEN grp <= 9 THEN 'OFF' WHEN grp <= 14 THEN 'ON-OFF' WHEN grp <= 20 THEN 'Fast ON' WHEN grp <= 28 THEN 'Slow ON' WHEN grp <= 30 THEN 'Unc. ON' WHEN grp <= 32 THEN 'Unc. SbC' ELSE 'dAC' END AS supergroup,
+CASE WHEN name = 'Unknown' THEN -1 ELSE c END AS back FROM g"""
+)
+def cell_type_labels(s, d):
+    c = t(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 80).cast("int").alias("c"))
+    g = c.withColumn("name", cell_types.cluster_name(F.col("c"))).withColumn("grp", cell_types.group_id(F.col("c")))
+    return g.select("s_suppkey", "name", "grp", cell_types.group_name(F.col("grp")).alias("group_name"), cell_types.supergroup(F.col("grp")).alias("supergroup"), cell_types.cluster_id(F.col("name")).alias("back"))
+
+
+@query("WITH t AS (SELECT DISTINCT p_brand AS b, unnest(string_split(replace(p_type, ' ', '_'), '_')) AS token FROM part) SELECT token, list_sort(list(b)) AS stimuli FROM t GROUP BY token HAVING count(*) > 1")
+def alias_conflicts(s, d):
+    return stimuli.conflicts(t(s, d, "part").select(F.col("p_brand").alias("stim_name"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("alias")))
+
+
+@query()
+def sparse_pca(s, d):
+    return learning.sparse_pca(t(s, d, "embeddings"), "embedding", 3)[0].select("vec_id", "spc")
+
+
+@query()
+def ward_clusters(s, d):
+    return learning.agglomerative(t(s, d, "embeddings"), "embedding", "ward", k=5, most=200).select("vec_id", "cluster")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
