@@ -35,13 +35,17 @@ NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) !=
 
 
 def neighbour_correlation(stack: DataFrame, frame: str = "f") -> DataFrame:
-    """Mean correlation of each pixel's series with its eight neighbours'; rows (x, y, frame, v).
-    Each sample is sent to its eight neighbours and met by an equi-join."""
+    """Mean correlation of each pixel's series with its eight neighbours'; rows (x, y, frame, v)."""
+    return neighbour_correlation_by(stack.withColumn("_k", F.lit(0)), "_k", frame).drop("_k")
+
+
+def neighbour_correlation_by(stack: DataFrame, key: str, frame: str = "f") -> DataFrame:
+    """The same for every key. Each sample is sent to its eight neighbours and met by an equi-join."""
     shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS])
-    sent = stack.select(F.explode(shifts).alias("s"), "x", "y", frame, F.col("v").alias("w"))
-    sent = sent.select((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), frame, "w", "s")
-    c = stack.join(sent, ["x", "y", frame]).groupBy("x", "y", "s").agg(F.corr("v", "w").alias("c"))
-    return c.groupBy("x", "y").agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("corr"))
+    sent = stack.select(F.explode(shifts).alias("s"), key, "x", "y", frame, F.col("v").alias("w"))
+    sent = sent.select(key, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), frame, "w", "s")
+    c = stack.join(sent, [key, "x", "y", frame]).groupBy(key, "x", "y", "s").agg(F.corr("v", "w").alias("c"))
+    return c.groupBy(key, "x", "y").agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("corr"))
 
 
 def best_shift(a: DataFrame, b: DataFrame, most: int) -> DataFrame:

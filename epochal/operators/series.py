@@ -170,3 +170,36 @@ def by_kernel(df: DataFrame, key: str, kernel, schema: str) -> DataFrame:
 
 def clip_unit(df: DataFrame, key: str, bound: float = 7.0) -> DataFrame:
     return df.withColumn("vc", F.greatest(F.lit(-bound), F.least(F.lit(bound), std_one(F.col("v"), over(key)))))
+
+
+def process(df: DataFrame, key: str, half: int = 0, order: int = 3, baseline: bool = False, positive: bool = False, standardise: int = 0, is_trigger: Column | None = None, cutoff: float = 0.0, fs: float = 1.0) -> DataFrame:
+    """The preprocessing chain, in this order: edge repair, low-pass (``cutoff`` Hz at ``fs``), trend of
+    2 ``half`` + 1 samples, baseline before the first trigger, no negatives, and the standard deviation
+    of the baseline (1) or of all samples (2). A step that is off leaves ``v`` as it is; ``resample`` and
+    ``block_mean`` may follow."""
+    from epochal.functions.kernels import lowpass
+
+    columns = df.columns
+    d = edge_repair(df, key).withColumn("v", F.col("vr")).drop("vr")
+    if cutoff > 0:
+        schema = d.schema
+
+        def smooth(pdf):
+            return pdf.assign(v=lowpass(pdf["v"].to_numpy(float), fs, cutoff))
+
+        d = by_kernel(d, key, smooth, schema)
+    if half > 0:
+        d = savgol_detrend(d, key, half, order).withColumn("v", F.col("residual")).drop("residual", "trend")
+    if is_trigger is not None:
+        d = d.withColumn("_start", F.min(F.when(is_trigger, F.col("i"))).over(over(key)))
+        if baseline:
+            d = baseline_subtract(d, key, "_start").withColumn("v", F.col("vb")).drop("vb")
+    elif baseline or standardise == 1:
+        raise ValueError("a baseline needs triggers")
+    if positive:
+        d = non_negative(d, key).withColumn("v", F.col("vp")).drop("vp")
+    if standardise == 1:
+        d = standardise_baseline(d, key, "_start").withColumn("v", F.col("vs")).drop("vs")
+    elif standardise == 2:
+        d = d.withColumn("v", std_one(F.col("v"), over(key)))
+    return d.select(*columns)

@@ -19,6 +19,7 @@ class Node:
     parents: list[str] = field(default_factory=list)
     compute: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] | None = None
     keep: str | None = None  # restriction of the keys to compute
+    only: dict[str, str] = field(default_factory=dict)  # restrictions of parents' rows, by parent
 
 
 class Schema:
@@ -59,7 +60,7 @@ class Schema:
         """Keys of all parents joined on what they share; payload is never read for this."""
         out = None
         for p in self.nodes[name].parents:
-            keys = self.table(p).select(*self.nodes[p].key)
+            keys = self.table(p).where(self.nodes[name].only.get(p, "true")).select(*self.nodes[p].key).distinct()
             out = keys if out is None else natural_join(out, keys)
         return out.where(self.nodes[name].keep) if self.nodes[name].keep else out
 

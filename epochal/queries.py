@@ -904,9 +904,10 @@ def rf_split_sd(s, d):
     return trf.join(srf.groupBy("k").agg(F.max("w").alias("space")), "k").select("k", "t", "w", r6("space", "space"))
 
 
-@query(f"WITH {_RF}, p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(w) DESC, t, x, y) = 1) SELECT a.k, b.t, a.x, a.y, round(a.w * b.w, 6) AS w FROM (SELECT r.* FROM r JOIN p USING (k, t)) a JOIN (SELECT r.* FROM r JOIN p USING (k, x, y)) b ON a.k = b.k")
+@query(f"WITH {_RF}, p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(w) DESC, t, x, y) = 1) SELECT a.k, b.t, a.x, a.y, CASE WHEN a.w * b.w = 0 THEN 0 ELSE round(a.w * b.w, 6) END AS w FROM (SELECT r.* FROM r JOIN p USING (k, t)) a JOIN (SELECT r.* FROM r JOIN p USING (k, x, y)) b ON a.k = b.k")
 def rf_split_peak(s, d):
-    return receptive.merge(*receptive.split_peak(_rf(s, d), "k"), "k").select("k", "t", "x", "y", r6("w", "w"))
+    w = F.when(F.col("w") == 0, F.lit(0.0)).otherwise(F.round("w", 6))  # no signed zero
+    return receptive.merge(*receptive.split_peak(_rf(s, d), "k"), "k").select("k", "t", "x", "y", w.alias("w"))
 
 
 @query(f"WITH {_RF}, p AS (SELECT k, sign(w) AS s FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(w) DESC, t, x, y) = 1) SELECT k, t, x, y, round(w / sum(greatest(s * w, 0)) OVER (PARTITION BY k), 8) AS w FROM r JOIN p USING (k)")

@@ -240,3 +240,55 @@ def test_covariance_and_sparse_components(spark):
     out, loadings, share = learning.sparse_pca(df, "v", 2, share=0.3)
     assert set(np.flatnonzero(loadings[0])) == {0, 1, 2} and set(np.flatnonzero(loadings[1])) == {3, 4}
     assert 0.75 < share < 0.9 and len(out.first()["spc"]) == 2
+
+
+def test_imaging_tables_end_to_end(spark, tmp_path):
+    from epochal.plans import tables
+
+    rng = np.random.default_rng(5)
+    s = tables.imaging(spark, str(tmp_path / "db"))
+    n, step = 60, 10
+    wave = np.tile(np.concatenate((np.ones(5), np.zeros(5))), 6)
+    pixels = []
+    for rec in (1, 2):
+        for i in range(1, n + 1):
+            for x in range(5):
+                for y in range(3):
+                    signal = wave[i - 1] if x in (1, 2) else 1 - wave[i - 1] if x == 4 else 0.0
+                    pixels.append((rec, "chirp", i, x, y, float(signal + 0.05 * rng.standard_normal())))
+    s.insert("stack", spark.createDataFrame(pixels, "rec int, stim string, i int, x int, y int, v double"))
+    s.insert("frame", spark.createDataFrame([(r, "chirp", i, n, 1000 * i, i % step == 1) for r in (1, 2) for i in range(1, n + 1)], "rec int, stim string, i int, n int, us long, trigger boolean"))
+    s.insert("stimulus", spark.createDataFrame([("chirp", 1, True)], "stim string, ntrigger_rep int, isrepeated boolean"))
+    s.insert("preprocess", spark.createDataFrame([(1, 0, 3, False, False, 0), (2, 12, 2, False, False, 2)], "pre int, half int, poly_order int, subtract_baseline boolean, non_negative boolean, standardize int"))
+    label = {0: 9, 1: 1, 2: 1, 3: 0, 4: 2}
+    s.insert("roi_mask", spark.createDataFrame([(r, x, y, label[x]) for r in (1, 2) for x in range(5) for y in range(3)], "rec int, x int, y int, label int"))
+    s.insert("geometry", spark.createDataFrame([(r, 2.0, 1, 5, 3, 10.0, 0.0, 0.0, "right") for r in (1, 2)], "rec int, pixel_um double, artifact_columns int, width int, height int, dx_um double, dy_um double, rotation double, eye string"))
+    made = {name: s.populate(name) for name in s.order() if s.nodes[name].compute}
+    assert made["roi"] == 2 and made["processed"] == 8 and made["corr_map"] == 2
+    assert {r["roi"]: (r["pixels"], r["artifact"]) for r in s.table("roi").where("rec = 1").collect()} == {1: (6, False), 2: (3, False), 9: (3, True)}
+    assert s.table("traces").select("roi").distinct().count() == 2  # the artifact has none
+    q = s.table("repeat_qi").where("pre = 1").collect()
+    assert len(q) == 4 and all(r["qidx"] > 0.9 for r in q)
+    polarity = {r["roi"]: r["polarity"] for r in s.table("indices").where("rec = 2 AND pre = 1").collect()}
+    assert polarity[1] > 0.8 and polarity[2] < -0.8
+    assert s.table("presentation_qi").count() == 4 and s.table("presentation_qi").first()["share_50"] == 1
+    at = s.table("roi_location").where("rec = 1 AND roi = 1").first()
+    assert at["x_um"] == pytest.approx((1.5 + 0.5 - 2.5) * 2 + 10) and at["y_um"] == pytest.approx(0)
+    assert 0.55 < s.table("corr_map").first()["most"] < 0.8  # 5 of 8 neighbours share the signal
+    left = {name: s.missing(name).count() for name in ("roi", "traces", "snippets", "indices", "corr_map")}
+    assert left == dict.fromkeys(left, 0)
+
+
+def test_process_steps(spark):
+    from epochal.operators import series
+
+    v = [5.0, 1.0, 2.0, 1.0, 2.0, 1.0, 8.0, 9.0, 2.0, 1.0]
+    df = spark.createDataFrame([(1, i + 1, 10, x, i == 6) for i, x in enumerate(v)], "k long, i int, n int, v double, go boolean")
+    plain = [r["v"] for r in series.process(df, "k").orderBy("i").collect()]
+    assert plain[3:] == v[3:7] + plain[7:] and len(plain) == 10
+    got = [r["v"] for r in series.process(df, "k", baseline=True, standardise=1, is_trigger=F.col("go")).orderBy("i").collect()]
+    base = np.array(plain[:5])
+    assert got == pytest.approx(list((np.array(plain) - np.median(base)) / base.std()))
+    assert min(r["v"] for r in series.process(df, "k", positive=True, standardise=2, cutoff=1.0, fs=10.0).collect()) == 0
+    with pytest.raises(ValueError):
+        series.process(df, "k", baseline=True)
