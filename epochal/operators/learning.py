@@ -132,7 +132,8 @@ def sparse_pca(df: DataFrame, vector: str, k: int, share: float = 0.2):
 
 def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, most: int = 1000, seed: int = 0) -> DataFrame:
     """Adds ``cluster`` by bottom-up clustering of the distinct vectors, or, above ``most`` of them, of that
-    many k-means centres weighted by their members (so the quadratic step has a fixed size)."""
+    many k-means centres weighted by their members (so the quadratic step has a fixed size). A null vector
+    has a null cluster."""
     import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -140,7 +141,7 @@ def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | No
     from epochal.functions.fitting import agglomerate
 
     spark = df.sparkSession
-    points = df.groupBy(F.col(vector).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
+    points = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
     head = points.orderBy("_p").limit(most + 1).collect()  # at most ``most`` + 1 rows
     if len(head) <= most:
         if not head:
@@ -149,10 +150,11 @@ def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | No
         label = agglomerate(x, w, linkage, k, threshold)
         made = spark.createDataFrame([(r["_p"], int(c)) for r, c in zip(head, label, strict=True)], points.select(F.col("_p").alias(vector), F.lit(0).alias("cluster")).schema)
         return df.join(F.broadcast(made), vector, "left")  # at most ``most`` rows
-    d = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    d = df.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     m = KMeans(featuresCol="_v", predictionCol="_c", k=most, seed=seed).fit(d)
     out = m.transform(d)
     sizes = {r["_c"]: r["n"] for r in out.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}  # ``most`` rows
     label = agglomerate(np.array(m.clusterCenters()), np.array([sizes.get(i, 1) for i in range(len(m.clusterCenters()))], float), linkage, k, threshold)
     table = F.array(*[F.lit(int(c)) for c in label])
-    return out.withColumn("cluster", F.get(table, F.col("_c"))).drop("_v", "_c")
+    none = df.where(F.col(vector).isNull()).withColumn("cluster", F.lit(None).cast("int"))
+    return out.withColumn("cluster", F.get(table, F.col("_c"))).drop("_v", "_c").unionByName(none)

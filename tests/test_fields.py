@@ -207,11 +207,13 @@ def test_stimuli(spark):
 
 def test_agglomerative(spark):
     pts = [[0.0, 0.0], [0.1, 0.0], [5.0, 5.0], [5.1, 5.0], [9.0, 0.0]]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(pts * 3)], "id int, v array<double>")
+    df = spark.createDataFrame([*enumerate(pts * 3), (99, None)], "id int, v array<double>")
     for kw in ({"k": 3}, {"threshold": 3.0}):
         got = {r["id"]: r["cluster"] for r in learning.agglomerative(df, "v", **kw).collect()}
+        assert got.pop(99) is None
         assert got[0] == got[1] == got[5] and got[2] == got[3] and len({got[0], got[2], got[4]}) == 3
     big = {r["id"]: r["cluster"] for r in learning.agglomerative(df, "v", k=3, most=4).collect()}
+    assert big.pop(99) is None
     assert big[0] == big[1] and big[2] == big[3] and len(set(big.values())) == 3
     rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [2.0, 4.0, 6.5]), (2, [3.0, 2.0, 1.0])], "id int, v array<double>")
     got = {r["id"]: r["cluster"] for r in learning.agglomerative(rows, "v", "complete", threshold=0.9).collect()}
