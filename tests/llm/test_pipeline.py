@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from epochal.llm import decontaminate, mixing, quality, sharding
+from epochal.llm import decontaminate, mixing, quality, sharding, simhash
 from epochal.llm.tokens import word_hashes
 from tests.llm.test_operators import brute_fingerprint, water
 
@@ -20,10 +20,14 @@ def brute_quality(rows, docs, labels):
 
 def brute_dedup(rows):
     prints = [brute_fingerprint(r["text"], 5) for r in rows]
+    keys = defaultdict(set)
+    for r, f in zip(rows, prints, strict=True):
+        b = simhash.band_keys(simhash.shingle_hashes((r["text"] or "").encode(), 5))
+        keys[f] |= {(i, b[i : i + 8]) for i in range(0, len(b), 8)}
     seen: dict[int, set[int]] = {}
     groups = []
     for f in set(prints):
-        near = [g for g in groups if any((f ^ x).bit_count() <= 3 for x in g)]
+        near = [g for g in groups if any((f ^ x).bit_count() <= (12 if keys[f] & keys[x] else 3) for x in g)]
         groups = [g for g in groups if g not in near] + [set().union({f}, *near)]
     for g in groups:
         for f in g:
