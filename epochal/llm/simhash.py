@@ -14,11 +14,12 @@ member), never all pairs.  A key with over ``bucket`` members is cut again: 3 di
 bits leave three of six parts of the other 32 bits equal, giving 20 keys of 47 bits or
 more, so that no group exceeds 2**17 fingerprints whatever the data.
 
-Whole near copies (:func:`dedup_stage`, a similarity of 0.8 of the bits or more) differ in up to
-``WIDE_BITS`` = 12 bits.  No chain of a ring of 64 bits tells 12 differing bits from chance, so there
-candidates are the fingerprints that share one of ``BANDS`` keys, each made of the smallest values of
-``ROWS`` permutations of the shingles' hashes; the full Hamming check stays.  A pair of Jaccard
-similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS: 0.988 at 0.8, 1.000 at 0.9.
+Whole near copies (:func:`dedup_stage`) are texts whose sets of shingles have a Jaccard similarity of 0.8
+or more.  No chain of a ring of 64 bits tells such a pair (about 10 differing bits) from chance, so there
+texts that share one of ``BANDS`` keys, each made of the smallest values of ``ROWS`` permutations of the
+shingles' hashes, are put into one group, and within a group the sets themselves are compared: a link is a
+pair at 0.8 or more, by the counts of equal 64-bit shingle hashes.  A pair of similarity s shares a key with
+probability 1 - (1 - s**ROWS)**BANDS: 0.988 at 0.8, 1.000 at 0.9.
 
 Null, empty or wordless text: fingerprint zero, linked like any other.  Repeated rows
 share a fingerprint.  Null doc_id: linked, but never named as a component unless alone.
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, connected_components, forget, materialise
+from .decontaminate import bitmap
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS, WIDTH, MAX_BITS = 8, 8, 3
@@ -101,20 +103,26 @@ def with_fingerprint(docs: DataFrame, words: int, name: str = "_fp") -> DataFram
 
 
 def with_bands(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with ``_fp`` as above and ``_bands``, the keys of wide candidates; written once."""
+    """``docs`` with ``_fp`` as above, ``_sid`` and ``_n``, the hash and size of the set of shingles, and
+    ``_keys``, the keys of near copies; written once."""
+    import xxhash
+
     arrow_rows(docs.sparkSession)
 
-    @F.pandas_udf("fp long, bands binary")
+    @F.pandas_udf("fp long, sid long, n long, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        fps, bands = [], []
+        fps, sids, sizes, keys = [], [], [], []
         for t in texts:
             h = shingle_hashes(t, words)
             fps.append(bits_of(h))
-            bands.append(band_keys(h))
-        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "bands": pd.Series(bands, dtype=object)})
+            whole = np.unique(h)
+            sids.append(int(np.uint64(xxhash.xxh64_intdigest(whole.tobytes())).view(np.int64)))
+            sizes.append(len(whole))
+            keys.append(np.frombuffer(band_keys(whole), np.int64))
+        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "sid": pd.Series(sids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "keys": pd.Series(keys, dtype=object)})
 
     made = docs.withColumn("_made", of(F.coalesce("text", F.lit("")).cast("binary")))
-    return materialise(made.withColumns({"_fp": F.col("_made.fp"), "_bands": F.col("_made.bands")}).drop("_made"), "fingerprints")
+    return materialise(made.withColumns({f"_{c}": F.col(f"_made.{c}") for c in ("fp", "sid", "n", "keys")}).drop("_made"), "fingerprints")
 
 
 def _seg(i: int):
@@ -334,6 +342,182 @@ def wide_links(prints: DataFrame, bits: int = WIDE_BITS) -> DataFrame:
     return dealt.mapInArrow(after, "link boolean, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+#: A group of at most so many shingles is compared in one task.
+WHOLE = 1 << 20
+LEADERS, TURNS = 4, 8
+_FAR = 0.2 + 1e-9  # distance of two linked sets, at most
+
+
+def alike(equal, a, b):
+    """Jaccard similarity of 0.8 or more, from the equal members and the sizes."""
+    return 5 * equal >= 4 * (a + b - equal)
+
+
+def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
+
+
+def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (by place) that join sets as all pairs of similarity 0.8 or more would."""
+    size = np.array([len(x) for x in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate(([0], np.cumsum(size)))
+    has = np.zeros(int(token.max()) + 1, bool)
+    left, found = np.arange(len(sets)), []
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            near_size = left[(5 * size[left] >= 4 * size[x]) & (5 * size[x] >= 4 * size[left])]
+            if not len(near_size):
+                continue
+            has[token[start[x] : start[x + 1]]] = True
+            equal = np.array([np.count_nonzero(has[token[start[y] : start[y + 1]]]) for y in near_size.tolist()])
+            has[token[start[x] : start[x + 1]]] = False
+            hit = near_size[alike(equal, size[x], size[near_size])]
+            if len(hit):
+                found += [(int(x), int(y)) for y in hit]
+                todo += hit.tolist()
+                left = np.setdiff1d(left, hit, assume_unique=True)
+    return found
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (comp, f, set) sorted by comp: links of each group."""
+    comp, fps, sets = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(sets) > 1 and (found := exact_forest(sets)):
+            yield _links_batch([(fps[x], fps[y]) for x, y in found])
+
+    for b in batches:
+        for c, f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if c != comp:
+                yield from done()
+                comp, fps, sets = c, [], []
+            fps.append(f)
+            sets.append(np.frombuffer(x.as_py(), np.uint64))
+    yield from done()
+
+
+def _sets(prints: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(_sid, set) of the texts that a bitmap of ``ids`` (_sid) lets pass, each once."""
+    spark = prints.sparkSession
+    arrow_rows(spark)
+    log_bits = 24
+    shared = spark.sparkContext.broadcast(np.packbits(bitmap(ids.select(F.col("_sid").alias("seed")), log_bits), bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value, bitorder="little")
+        for b in batches:
+            sid = b.column(0).to_numpy()
+            first = np.unique(sid, return_index=True)[1]
+            first = first[bits[(sid[first].view(np.uint64) >> np.uint64(64 - log_bits)).astype(np.int64)] > 0]
+            sets = [np.unique(shingle_hashes(b.column(1)[i].as_py(), words)).tobytes() for i in first.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[first]), pa.array(sets, pa.binary())], ["_sid", "set"])
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return prints.where("_n > 0").select("_sid", text.alias("text")).mapInArrow(run, "_sid long, set binary").join(ids.select("_sid"), "_sid", "left_semi").groupBy("_sid").agg(F.first("set").alias("set"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links of those ``pairs`` (a, b) of set hashes whose sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for u, v, x, y in zip(*(b.column(i) for i in range(4)), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    found.append((u.as_py(), v.as_py()))
+            yield _links_batch(found)
+
+    one = sets.select(F.col("_sid").alias("a"), F.col("f").alias("u"), F.col("set").alias("x"))
+    two = sets.select(F.col("_sid").alias("b"), F.col("f").alias("v"), F.col("set").alias("y"))
+    return pairs.distinct().join(one, "a").join(two, "b").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def _together(sets: DataFrame) -> DataFrame:
+    return sets.select("comp", "f", "set").repartition("comp").sortWithinPartitions("comp").mapInArrow(_exact, "u long, v long")
+
+
+def _large(sets: DataFrame, whole: int) -> DataFrame:
+    """Links of groups too large for one task; ``sets`` (comp, _sid, f, n, set).
+
+    Each turn measures all members of a group against a few leaders.  Members within 0.2 of a leader are
+    linked to it and leave.  Jaccard distance is a metric, so one that left at distance p links to one not of
+    its leader at distance q only if q - p is at most 0.2; such pairs are compared.  The rest goes on until it
+    fits a task; what is left after the last turn is compared pair by pair.
+    """
+    spark = sets.sparkSession
+    fits = F.expr("5 * n >= 4 * n2 and 5 * n2 >= 4 * n")
+    found, left = [], sets
+    for turn in range(TURNS):
+        draw = [F.min(F.struct(F.xxhash64("_sid", F.lit(LEADERS * turn + i)).alias("h"), "_sid"))["_sid"] for i in range(LEADERS)]
+        drawn = left.groupBy("comp").agg(F.array_distinct(F.array(*draw)).alias("l")).select("comp", F.explode("l").alias("_sid"))
+        leaders: dict[int, list] = {}
+        for r in left.join(drawn, ["comp", "_sid"], "left_semi").select("comp", "_sid", "f", "set").collect():  # a few a group of over ``whole`` shingles
+            leaders.setdefault(r["comp"], []).append((r["_sid"], r["f"], np.frombuffer(bytes(r["set"]), np.uint64)))
+        if not leaders:
+            break
+        shared = spark.sparkContext.broadcast({c: sorted(x, key=lambda e: e[0]) for c, x in leaders.items()})
+
+        def measure(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, to, far = [], [], []
+                for c, x in zip(b.column(0).to_pylist(), b.column(4), strict=True):
+                    x, mine = np.frombuffer(x.as_py(), np.uint64), shared.value[c]
+                    equal = [len(np.intersect1d(x, y, assume_unique=True)) for _, _, y in mine]
+                    hit = next((i for i, e in enumerate(equal) if alike(e, len(x), len(mine[i][2]))), None)
+                    at.append(hit)
+                    to.append(None if hit is None else mine[hit][1])
+                    far.append([1 - e / (len(x) + len(y) - e) for e, (_, _, y) in zip(equal, mine, strict=True)])
+                columns = [b.column(i) for i in range(4)] + [pa.array(at, pa.int32()), pa.array(to, pa.int64()), pa.array(far, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["comp", "_sid", "f", "n", "at", "to", "far"])
+
+        arrow_rows(spark)
+        rated = materialise(left.select("comp", "_sid", "f", "n", "set").mapInArrow(measure, "comp long, _sid long, f long, n long, at int, to long, far array<double>"), "rated")
+        found.append(rated.where("at is not null").select(F.col("f").alias("u"), F.col("to").alias("v")))
+        gone = rated.where("at is not null").select("comp", "at", F.col("_sid").alias("a"), "n", F.get("far", "at").alias("p"), F.col("far").alias("far_a")).where("p > 0")
+        others = rated.select("comp", F.col("_sid").alias("b"), F.col("n").alias("n2"), F.col("at").alias("own"), F.col("far").alias("far_b"), F.posexplode("far").alias("at", "q"))
+        others = others.where((F.col("q") <= 2 * _FAR) & ~F.col("at").eqNullSafe(F.col("own")))
+        close = F.forall(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x - y) <= _FAR), lambda ok: ok)
+        pairs = gone.join(others, ["comp", "at"]).where(fits & (F.col("q") - F.col("p") <= _FAR) & close).select("a", "b")
+        found.append(_compared(pairs, sets))
+        rest = rated.where("at is null").select("comp", "_sid", "n")
+        weight = rest.groupBy("comp").agg(F.sum("n").alias("w"))
+        rest = materialise(sets.join(rest.join(weight, "comp").select("_sid", "w"), "_sid").select("comp", "_sid", "f", "n", "w", "set"), "rest")
+        found.append(_together(rest.where(F.col("w") <= whole)))
+        left = rest.where(F.col("w") > whole).drop("w")
+    else:
+        narrow = left.select("comp", F.col("_sid").alias("a"), "n")
+        pairs = narrow.join(left.select("comp", F.col("_sid").alias("b"), F.col("n").alias("n2")), "comp").where((F.col("a") < F.col("b")) & fits).select("a", "b")
+        found.append(_compared(pairs, sets))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def near_links(prints: DataFrame, words: int, whole: int = WHOLE) -> DataFrame:
+    """(u, v): fingerprints of rows of :func:`with_bands` whose sets of shingles are alike, as a forest
+    that joins what all such pairs of a group would."""
+    some = prints.where("_n > 0")
+    entries = materialise(some.groupBy("_sid").agg(F.min("_fp").alias("f"), F.first("_n").alias("n"), F.first("_keys").alias("keys")), "entries")
+    same = some.select("_sid", "_fp").distinct().join(entries.select("_sid", "f"), "_sid").where("_fp <> f").select(F.col("_fp").alias("u"), F.col("f").alias("v"))
+    keys = entries.select(F.explode("keys").alias("key"), "_sid")
+    first = keys.groupBy("key").agg(F.min("_sid").alias("lead"), F.max("_sid").alias("last")).where("lead <> last").select("key", "lead")
+    groups = connected_components(keys.join(first, "key").select(F.col("_sid").alias("u"), F.col("lead").alias("v")))
+    members = groups.select(F.col("node").alias("_sid"), F.col("root").alias("comp")).join(entries.select("_sid", "f", "n"), "_sid")
+    weight = members.groupBy("comp").agg(F.sum("n").alias("w"))
+    members = materialise(members.join(weight, "comp").select("comp", "_sid", "f", "n", "w"), "members")
+    sets = materialise(_sets(prints, members, words).join(members, "_sid").select("comp", "_sid", "f", "n", "w", "set"), "sets")
+    found = same.unionByName(_together(sets.where(F.col("w") <= whole)))
+    large = sets.where(F.col("w") > whole).drop("w")
+    return found.unionByName(_large(large, whole)) if large.limit(1).count() else found
+
+
 def components(prints: DataFrame, bucket: int = 4096, more: DataFrame | None = None) -> DataFrame:
     """(fp, first, first_fp) of every fingerprint in ``prints`` (doc_id, _fp): the smallest doc_id
     reachable, and the smallest fingerprint it has.  ``more``: further links (u, v)."""
@@ -359,12 +543,12 @@ def op6_simhash(docs: DataFrame, words: int = 3, bucket: int = 4096) -> DataFram
 def dedup_stage(docs: DataFrame, words: int = 5, bucket: int = 4096) -> DataFrame:
     """Pipeline stage: one document of each group of near copies stays (the smallest doc_id), whole.
 
-    Linked are fingerprints within 3 bits, and those within 12 (0.8 of the bits equal) that share a
-    key of their shingles.  Rows without doc_id stay only where their group has no other.
+    Linked are fingerprints within 3 bits, and texts whose sets of shingles have a Jaccard similarity of 0.8
+    or more.  Rows without doc_id stay only where their group has no other.
     """
     plain = docs.columns
     prints = with_bands(docs, words)
-    c = components(prints.select("doc_id", "_fp"), bucket, wide_links(prints))
+    c = components(prints.select("doc_id", "_fp"), bucket, near_links(prints, words))
     keep = c.where("fp = first_fp").select(F.col("fp").alias("_kf"), F.col("first").alias("_kd"))
     kept = prints.join(keep, (prints["_fp"] == keep["_kf"]) & prints["doc_id"].eqNullSafe(keep["_kd"]), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text")))
