@@ -46,3 +46,11 @@ def test_near_copies_are_those_of_brute_force(spark, parts, whole):
     prints = simhash.with_bands(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 5)
     first = simhash.components(prints.select("doc_id", "_fp"), 4096, simhash.near_links(prints, 5, whole))
     assert {r["first"] for r in first.select("first").collect()} == brute_first(rows)
+
+
+def test_pairs_at_the_threshold_share_a_key():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        h = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a, b = (np.frombuffer(simhash.band_keys(x), np.uint64) for x in (h[:90], h[10:]))  # 80 of 100 equal
+        assert (a == b).any()
