@@ -3,9 +3,10 @@
 Each of a few fixed masks lays over ten words and ignores four of them, so that a
 substituted word spoils only some seeds.  The hashes of all benchmark windows are joined
 to those of all document windows; a hit gives an alignment of the document and the item,
-and the words around it are compared: a stretch that agrees in over four of five words
-(best sum of +1 for an equal word, -4 for another) with at least ``least`` equal words is
-contamination.  Items of 5 to 9 words are sought whole, shorter ones not at all.
+and the words around it are compared: any stretch that agrees in over four of five words
+(a positive sum of +1 for an equal word, -4 for another) with at least ``least`` equal words is
+contamination; of items of 10 to 14 words four fifths of their words are enough.  Items of 5 to 9
+words are sought whole, shorter ones not at all.
 
 Document windows are first held against a bitmap of benchmark hashes, of a fixed size
 however large the benchmark; what passes is joined by an ordinary (shuffle or, where
@@ -117,16 +118,13 @@ def hits(docs: DataFrame, shared, log_bits: int, lengths: tuple[int, ...]) -> Da
 
 
 def best_stretch(equal: np.ndarray) -> int:
-    """Equal words in the stretch with the best sum of +1 for an equal word and -4 for another."""
-    best = here = same = most = 0
-    for e in equal.tolist():
-        if here <= 0:
-            here = same = 0
-        here += 1 if e else -4
-        same += e
-        if here > best:
-            best, most = here, same
-    return int(most)
+    """The most equal words in any stretch with a positive sum of +1 for an equal word and -4 for another."""
+    same = np.concatenate(([0], np.cumsum(equal, dtype=np.int64)))
+    total = 5 * same - 4 * np.arange(len(same))
+    # The earliest start whose sum lies below that of the end gives the longest stretch to each end.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, side="right")
+    end = np.flatnonzero(start < np.arange(len(same)))
+    return int((same[end] - same[start[end]]).max(initial=0))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 12, log_bits: int = 24) -> DataFrame:
@@ -153,7 +151,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 12, log_bi
         return pd.Series(out, dtype="int32")
 
     done = lined.join(whole, "item_id").withColumn("overlap", overlap("words", "start", "shift", "item"))
-    done = done.where(F.col("overlap") >= F.least(F.lit(least), F.col("size")))
+    enough = F.when(F.col("size") < SPAN, F.col("size")).otherwise(F.ceil(F.col("size") * 4 / 5))
+    done = done.where(F.col("overlap") >= F.least(F.lit(least), enough))
     return done.groupBy("doc_id", "th", "item_id").agg(F.max("overlap").alias("overlap"), F.max("size").alias("size"))
 
 
