@@ -297,12 +297,10 @@ def agglomerate(x: np.ndarray, weight: np.ndarray, linkage: str = "ward", k: int
     ``threshold``. ``ward`` is on weighted points; ``complete`` and ``average`` on 1 - correlation."""
     n = len(x)
     if linkage == "ward":
-        sq = ((x[:, None, :] - x[None]) ** 2).sum(-1)
-        d = np.sqrt(2 * sq * weight[:, None] * weight / (weight[:, None] + weight))
-    else:
-        c = x - x.mean(1, keepdims=True)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-        d = 1 - c @ c.T
+        return _ward(x, weight, k, threshold)
+    c = x - x.mean(1, keepdims=True)
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    d = 1 - c @ c.T
     d = d.astype(float)
     np.fill_diagonal(d, np.inf)
     w, alive, label = weight.astype(float).copy(), n, np.arange(n)
@@ -310,10 +308,7 @@ def agglomerate(x: np.ndarray, weight: np.ndarray, linkage: str = "ward", k: int
         i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
         if threshold is not None and d[i, j] > threshold:
             break
-        if linkage == "ward":
-            with np.errstate(invalid="ignore"):
-                new = np.sqrt(np.maximum(((w[i] + w) * d[i] ** 2 + (w[j] + w) * d[j] ** 2 - w * d[i, j] ** 2) / (w[i] + w[j] + w), 0))
-        elif linkage == "complete":
+        if linkage == "complete":
             new = np.maximum(d[i], d[j])
         else:
             new = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
@@ -326,6 +321,38 @@ def agglomerate(x: np.ndarray, weight: np.ndarray, linkage: str = "ward", k: int
     return np.unique(label, return_inverse=True)[1]
 
 
+def _ward(x: np.ndarray, weight: np.ndarray, k: int | None, threshold: float | None) -> np.ndarray:
+    """Ward by chains of nearest neighbours: exact, with memory for the points alone."""
+    n = len(x)
+    at, w, alive = x.astype(float).copy(), weight.astype(float).copy(), np.ones(n, bool)
+    merges, chain = [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        i = chain[-1]
+        d = np.einsum("ij,ij->i", at - at[i], at - at[i]) * (2 * w * w[i] / (w + w[i]))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        j = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+            del chain[-2:]
+            i, j = sorted((i, j))
+            merges.append((float(np.sqrt(d[j] if np.isfinite(d[j]) else d[i])), i, j))
+            at[i] = (w[i] * at[i] + w[j] * at[j]) / (w[i] + w[j])
+            w[i] += w[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    label = np.arange(n)
+    for far, i, j in sorted(merges, key=lambda m: m[0])[: n - max(k or 1, 1)]:
+        if threshold is not None and far > threshold:
+            break
+        a, b = sorted((label[i], label[j]))
+        label[label == b] = a
+    return np.unique(label, return_inverse=True)[1]
+
+
 def sparse_components(cov: np.ndarray, k: int, share: float = 0.2, rounds: int = 200) -> np.ndarray:
     """k sparse unit loadings from a covariance: power steps with weights below ``share`` of the
     largest cut to zero, deflating what each explains."""
