@@ -19,10 +19,13 @@ or more.  No chain of a ring of 64 bits tells such a pair (about 10 differing bi
 texts that share one of ``BANDS`` keys, each made of the smallest values of ``ROWS`` permutations of the
 shingles' hashes, are put into one group, and within a group the sets themselves are compared: a link is a
 pair at 0.8 or more, by the counts of equal 64-bit shingle hashes.  A pair of similarity s shares a key with
-probability 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 1.00000 at 0.85.
+probability 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 1.00000 at 0.85.  Nothing depends on how rows fall into
+partitions or batches.
 
 Null, empty or wordless text: fingerprint zero, linked like any other.  Repeated rows
-share a fingerprint.  Null doc_id: linked, but never named as a component unless alone.
+share a fingerprint.  Null doc_id: linked, but never named as a component unless alone.  An empty table
+gives no rows.  Only narrow tables of hashes are made; the stage carries a row as one struct, so its columns may
+have any names and keep their values.
 """
 
 from __future__ import annotations
@@ -36,8 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, forget, materialise
-from .decontaminate import bitmap
+from .common import bitmap, connected_components, materialise, passes, small
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS, WIDTH, MAX_BITS = 8, 8, 3
@@ -45,7 +47,7 @@ SEGMENTS, WIDTH, MAX_BITS = 8, 8, 3
 CHAIN = [MAX_BITS * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
 
 
-BANDS, ROWS, WIDE_BITS = 32, 6, 12
+BANDS, ROWS = 32, 6
 _ODD = np.random.default_rng(64).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,38 +93,58 @@ def band_keys(h: np.ndarray) -> bytes:
     return b"".join(xxhash.xxh64_digest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS))
 
 
-def with_fingerprint(docs: DataFrame, words: int, name: str = "_fp") -> DataFrame:
-    """``docs`` with the fingerprint of ``text``; written to the shared folder, so made once."""
-    arrow_rows(docs.sparkSession)
+def _each(batch: pa.RecordBatch, column: int, of) -> Iterator:
+    """``of`` each text of a batch, equal texts once."""
+    known = {}
+    for t in batch.column(column):
+        t = t.as_py()
+        if t not in known:
+            known[t] = of(t)
+        yield known[t]
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
 
-    return materialise(docs.withColumn(name, of(F.coalesce("text", F.lit("")).cast("binary"))), "fingerprints")
+def with_fingerprint(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, _fp) of each row of ``docs``; written to the shared folder, so made once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_each(b, 1, lambda t: fingerprint(t, words)), pa.int64())], ["doc_id", "_fp"])
 
-def with_bands(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with ``_fp`` as above, ``_sid`` and ``_n``, the hash and size of the set of shingles, and
-    ``_keys``, the keys of near copies; written once."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return materialise(texts.mapInArrow(run, "doc_id long, _fp long"), "fingerprints")
+
+
+PRINTS = "doc_id long, _th long, _fp long, _sid long, _n long, _keys array<long>"
+
+
+def set_hash(whole: np.ndarray) -> int:
     import xxhash
 
-    arrow_rows(docs.sparkSession)
+    return int(np.uint64(xxhash.xxh64_intdigest(whole.tobytes())).view(np.int64))
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def with_bands(docs: DataFrame, words: int) -> DataFrame:
+    """Of each row of ``docs``: doc_id, ``_th``, a hash of its text, ``_fp`` as above, ``_sid`` and ``_n``, the hash and size of its
+    set of shingles, and ``_keys``, the keys of near copies; written once."""
+
+    def of(t: bytes) -> tuple:
+        h = shingle_hashes(t, words)
+        whole = np.unique(h)
+        return bits_of(h), set_hash(whole), len(whole), np.frombuffer(band_keys(whole), np.int64)
 
-    @F.pandas_udf("fp long, sid long, n long, keys array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        fps, sids, sizes, keys = [], [], [], []
-        for t in texts:
-            h = shingle_hashes(t, words)
-            fps.append(bits_of(h))
-            whole = np.unique(h)
-            sids.append(int(np.uint64(xxhash.xxh64_intdigest(whole.tobytes())).view(np.int64)))
-            sizes.append(len(whole))
-            keys.append(np.frombuffer(band_keys(whole), np.int64))
-        return pd.DataFrame({"fp": pd.Series(fps, dtype="int64"), "sid": pd.Series(sids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "keys": pd.Series(keys, dtype=object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            fps, sids, sizes, keys = zip(*_each(b, 2, of), strict=True) if b.num_rows else ((),) * 4
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (fps, sids, sizes)), lists], [c.split()[0] for c in PRINTS.split(", ")])
 
-    made = docs.withColumn("_made", of(F.coalesce("text", F.lit("")).cast("binary")))
-    return materialise(made.withColumns({f"_{c}": F.col(f"_made.{c}") for c in ("fp", "sid", "n", "keys")}).drop("_made"), "fingerprints")
+    texts = docs.select(F.col("doc_id").cast("long"), text_hash().alias("_th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return materialise(texts.mapInArrow(run, PRINTS), "prints")
 
 
 def _seg(i: int):
@@ -242,8 +264,6 @@ def _runs(bucket: int, second: bool):
 def links(fps: DataFrame, bucket: int = 4096) -> DataFrame:
     """(u, v): links among distinct fingerprints (fp) that connect all that lie within MAX_BITS."""
     out = "over boolean, a long, b long"
-    spark = fps.sparkSession
-    arrow_rows(spark, 20_000)
     first = materialise(keyed(fps).repartition("key").sortWithinPartitions("key").mapInArrow(_runs(bucket, False), out), "links")
     found = first.where("not over").select(F.col("a").alias("u"), F.col("b").alias("v"))
     over = first.where("over").select(F.col("a").alias("key"), F.col("b").alias("fp"))
@@ -253,97 +273,8 @@ def links(fps: DataFrame, bucket: int = 4096) -> DataFrame:
     return found
 
 
-def _led(members: np.ndarray, bits: int) -> tuple[list[np.uint64], list[tuple[int, int]]]:
-    """One leader of each component of ``members`` at ``bits`` bits, and the links that hold it together."""
-    leaders, found, left = [], [], members
-    while len(left):
-        leaders.append(left[0])
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            x = todo.pop()
-            hit = np.bitwise_count(left ^ x) <= bits
-            if hit.any():
-                found += [(int(x), int(y)) for y in left[hit]]
-                todo += list(left[hit])
-                left = left[~hit]
-    return leaders, found
-
-
-_WIDE = pa.schema([("link", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _wide_batch(link: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(a), link)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, schema=_WIDE)
-
-
-def _grouped(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Leaders (keys, fps) and links of rows sorted by key."""
-    if not len(keys):
-        return keys, fps, []
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    ends = np.concatenate((starts[1:], [len(keys)]))
-    many = ends - starts > 1
-    single = starts[~many]
-    k, f, found = [keys[single]], [fps[single]], []
-    for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-        leaders, made = _led(np.unique(fps[s:e]), bits)
-        k.append(np.full(len(leaders), keys[s], np.uint64))
-        f.append(np.array(leaders, np.uint64))
-        found += made
-    return np.concatenate(k), np.concatenate(f), found
-
-
-def wide_links(prints: DataFrame, bits: int = WIDE_BITS) -> DataFrame:
-    """(u, v): links of fingerprints within ``bits`` bits that share a key of ``prints`` (_fp, _bands).
-
-    Each key's rows are joined up to their leaders within a batch before they are dealt by
-    key, so a key of a third of all rows arrives as a few leaders a batch; after it, leaders
-    are carried from batch to batch.
-    """
-    arrow_rows(prints.sparkSession, 20_000)
-
-    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = [(f, b) for f, b in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), strict=True) if b]
-            if not some:
-                continue
-            fps = np.array([f for f, _ in some], np.int64).view(np.uint64)
-            keys = np.frombuffer(b"".join(b for _, b in some), np.uint64).reshape(-1, BANDS)
-            for band in range(BANDS):
-                order = np.argsort(keys[:, band], kind="stable")
-                k, f, found = _grouped(keys[order, band], fps[order], bits)
-                yield _wide_batch(False, k, f)
-                if found:
-                    yield _wide_batch(True, *np.array(found, np.uint64).T.copy())
-
-    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            link = batch.column(0).to_numpy(zero_copy_only=False)
-            a = batch.column(1).to_numpy().view(np.uint64)
-            b = batch.column(2).to_numpy().view(np.uint64)
-            if link.any():
-                yield _wide_batch(True, a[link], b[link])
-            keys, fps = a[~link], b[~link]
-            if not len(keys):
-                continue
-            if len(left):
-                keys, fps = np.concatenate((np.full(len(left), key, np.uint64), keys)), np.concatenate((left, fps))
-            _, _, found = _grouped(keys, fps, bits)
-            if found:
-                yield _wide_batch(True, *np.array(found, np.uint64).T.copy())
-            # The last key may go on in the next batch: its leaders go with it.
-            key = keys[-1]
-            left = np.array(_led(np.unique(fps[keys == key]), bits)[0], np.uint64)
-
-    local = prints.select("_fp", "_bands").mapInArrow(before, "link boolean, a long, b long")
-    dealt = local.repartition("link", "a").sortWithinPartitions("link", "a")
-    return dealt.mapInArrow(after, "link boolean, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 #: A group of at most so many shingles is compared in one task.
-WHOLE = 1 << 20
+WHOLE = 1 << 18
 LEADERS, TURNS = 4, 8
 _FAR = 0.2 + 1e-9  # distance of two linked sets, at most
 
@@ -401,24 +332,21 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def _sets(prints: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(_sid, set) of the texts that a bitmap of ``ids`` (_sid) lets pass, each once."""
-    spark = prints.sparkSession
-    arrow_rows(spark)
-    log_bits = 24
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap(ids.select(F.col("_sid").alias("seed")), log_bits), bitorder="little"))
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(_sid, set) of ``ids`` (_sid, _th: the hash of a text that has it); the texts are those that a bitmap lets pass."""
+    bits, log_bits = bitmap(ids.select(F.col("_th").alias("seed")))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value, bitorder="little")
-        for b in batches:
-            sid = b.column(0).to_numpy()
-            first = np.unique(sid, return_index=True)[1]
-            first = first[bits[(sid[first].view(np.uint64) >> np.uint64(64 - log_bits)).astype(np.int64)] > 0]
-            sets = [np.unique(shingle_hashes(b.column(1)[i].as_py(), words)).tobytes() for i in first.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[first]), pa.array(sets, pa.binary())], ["_sid", "set"])
+        for b in small(batches):
+            th = b.column(0).to_numpy()
+            first = np.unique(th, return_index=True)[1]
+            first = first[passes(shared.value, log_bits, th[first].view(np.uint64))]
+            sets = [np.unique(shingle_hashes(b.column(1)[i].as_py(), words)) for i in first.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["_sid", "set"])
 
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return prints.where("_n > 0").select("_sid", text.alias("text")).mapInArrow(run, "_sid long, set binary").join(ids.select("_sid"), "_sid", "left_semi").groupBy("_sid").agg(F.first("set").alias("set"))
+    texts = docs.select(text_hash().alias("_th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return texts.mapInArrow(run, "_sid long, set binary").join(ids.select("_sid"), "_sid", "left_semi").groupBy("_sid").agg(F.first("set").alias("set"))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -442,42 +370,58 @@ def _together(sets: DataFrame) -> DataFrame:
     return sets.select("comp", "f", "set").repartition("comp").sortWithinPartitions("comp").mapInArrow(_exact, "u long, v long")
 
 
+RATED = "comp long, _sid long, f long, n long, at int, to long, far array<double>"
+
+
+def _rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (comp, salt, lead, _sid, f, n, set) sorted by comp, salt and lead (leaders first): each member
+    measured against its group's leaders; ``at``: the first of them that is alike."""
+    now, leaders, out = None, [], []
+
+    def made() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in RATED.split(", ")])
+
+    for b in batches:
+        for comp, salt, lead, sid, f, n, x in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6), strict=True):
+            x = np.frombuffer(x.as_py(), np.uint64)
+            if (comp, salt) != now:
+                now, leaders = (comp, salt), []
+            if lead == 0:
+                leaders.append((f, x))
+                continue
+            equal = [len(np.intersect1d(x, y, assume_unique=True)) for _, y in leaders]
+            at = next((i for i, (e, (_, y)) in enumerate(zip(equal, leaders, strict=True)) if alike(e, len(x), len(y))), None)
+            out.append((comp, sid, f, n, at, None if at is None else leaders[at][0], [1 - e / (len(x) + len(y) - e) for e, (_, y) in zip(equal, leaders, strict=True)]))
+        if len(out) >= 2000:
+            yield made()
+            out = []
+    yield made()
+
+
 def _large(sets: DataFrame, whole: int) -> DataFrame:
     """Links of groups too large for one task; ``sets`` (comp, _sid, f, n, set).
 
-    Each turn measures all members of a group against a few leaders.  Members within 0.2 of a leader are
+    Each turn measures all members of a group against a few leaders, whose sets go to as many salted parts of the group as
+    it has weight.  Members within 0.2 of a leader are
     linked to it and leave.  Jaccard distance is a metric, so one that left at distance p links to one not of
     its leader at distance q only if q - p is at most 0.2; such pairs are compared.  The rest goes on until it
     fits a task; what is left after the last turn is compared pair by pair.
     """
-    spark = sets.sparkSession
     fits = F.expr("5 * n >= 4 * n2 and 5 * n2 >= 4 * n")
     found, left = [], sets
     for turn in range(TURNS):
         draw = [F.min(F.struct(F.xxhash64("_sid", F.lit(LEADERS * turn + i)).alias("h"), "_sid"))["_sid"] for i in range(LEADERS)]
-        drawn = left.groupBy("comp").agg(F.array_distinct(F.array(*draw)).alias("l")).select("comp", F.explode("l").alias("_sid"))
-        leaders: dict[int, list] = {}
-        for r in left.join(drawn, ["comp", "_sid"], "left_semi").select("comp", "_sid", "f", "set").collect():  # a few a group of over ``whole`` shingles
-            leaders.setdefault(r["comp"], []).append((r["_sid"], r["f"], np.frombuffer(bytes(r["set"]), np.uint64)))
-        if not leaders:
+        drawn = left.groupBy("comp").agg(F.array_distinct(F.array(*draw)).alias("l"), F.ceil(F.sum("n") / F.lit(whole)).cast("int").alias("parts"))
+        drawn = materialise(drawn, "drawn")
+        if drawn.isEmpty():
             break
-        shared = spark.sparkContext.broadcast({c: sorted(x, key=lambda e: e[0]) for c, x in leaders.items()})
-
-        def measure(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at, to, far = [], [], []
-                for c, x in zip(b.column(0).to_pylist(), b.column(4), strict=True):
-                    x, mine = np.frombuffer(x.as_py(), np.uint64), shared.value[c]
-                    equal = [len(np.intersect1d(x, y, assume_unique=True)) for _, _, y in mine]
-                    hit = next((i for i, e in enumerate(equal) if alike(e, len(x), len(mine[i][2]))), None)
-                    at.append(hit)
-                    to.append(None if hit is None else mine[hit][1])
-                    far.append([1 - e / (len(x) + len(y) - e) for e, (_, _, y) in zip(equal, mine, strict=True)])
-                columns = [b.column(i) for i in range(4)] + [pa.array(at, pa.int32()), pa.array(to, pa.int64()), pa.array(far, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["comp", "_sid", "f", "n", "at", "to", "far"])
-
-        arrow_rows(spark)
-        rated = materialise(left.select("comp", "_sid", "f", "n", "set").mapInArrow(measure, "comp long, _sid long, f long, n long, at int, to long, far array<double>"), "rated")
+        named = drawn.select("comp", "parts", F.explode("l").alias("_sid"))
+        leaders = left.join(named, ["comp", "_sid"]).select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("lead"), "_sid", "f", "n", "set")
+        members = left.join(drawn.select("comp", "parts"), "comp").select("comp", F.pmod(F.xxhash64("_sid"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("lead"), "_sid", "f", "n", "set")
+        dealt = leaders.unionByName(members).repartition("comp", "salt").sortWithinPartitions("comp", "salt", "lead", "_sid")
+        rated = materialise(dealt.mapInArrow(_rate, RATED), "rated")
         found.append(rated.where("at is not null").select(F.col("f").alias("u"), F.col("to").alias("v")))
         gone = rated.where("at is not null").select("comp", "at", F.col("_sid").alias("a"), "n", F.get("far", "at").alias("p"), F.col("far").alias("far_a")).where("p > 0")
         others = rated.select("comp", F.col("_sid").alias("b"), F.col("n").alias("n2"), F.col("at").alias("own"), F.col("far").alias("far_b"), F.posexplode("far").alias("at", "q"))
@@ -500,22 +444,22 @@ def _large(sets: DataFrame, whole: int) -> DataFrame:
     return out
 
 
-def near_links(prints: DataFrame, words: int, whole: int = WHOLE) -> DataFrame:
-    """(u, v): fingerprints of rows of :func:`with_bands` whose sets of shingles are alike, as a forest
-    that joins what all such pairs of a group would."""
+def near_links(docs: DataFrame, prints: DataFrame, words: int, whole: int = WHOLE) -> DataFrame:
+    """(u, v): fingerprints of rows of ``docs`` (``prints``: :func:`with_bands` of them) whose sets of shingles are alike,
+    as a forest that joins what all such pairs of a group would."""
     some = prints.where("_n > 0")
-    entries = materialise(some.groupBy("_sid").agg(F.min("_fp").alias("f"), F.first("_n").alias("n"), F.first("_keys").alias("keys")), "entries")
+    entries = materialise(some.groupBy("_sid").agg(F.min("_fp").alias("f"), F.first("_n").alias("n"), F.min("_th").alias("_th"), F.first("_keys").alias("keys")), "entries")
     same = some.select("_sid", "_fp").distinct().join(entries.select("_sid", "f"), "_sid").where("_fp <> f").select(F.col("_fp").alias("u"), F.col("f").alias("v"))
     keys = entries.select(F.explode("keys").alias("key"), "_sid")
     first = keys.groupBy("key").agg(F.min("_sid").alias("lead"), F.max("_sid").alias("last")).where("lead <> last").select("key", "lead")
     groups = connected_components(keys.join(first, "key").select(F.col("_sid").alias("u"), F.col("lead").alias("v")))
-    members = groups.select(F.col("node").alias("_sid"), F.col("root").alias("comp")).join(entries.select("_sid", "f", "n"), "_sid")
+    members = groups.select(F.col("node").alias("_sid"), F.col("root").alias("comp")).join(entries.select("_sid", "f", "n", "_th"), "_sid")
     weight = members.groupBy("comp").agg(F.sum("n").alias("w"))
-    members = materialise(members.join(weight, "comp").select("comp", "_sid", "f", "n", "w"), "members")
-    sets = materialise(_sets(prints, members, words).join(members, "_sid").select("comp", "_sid", "f", "n", "w", "set"), "sets")
+    members = materialise(members.join(weight, "comp").select("comp", "_sid", "f", "n", "_th", "w"), "members")
+    sets = materialise(_sets(docs, members, words).join(members, "_sid").select("comp", "_sid", "f", "n", "w", "set"), "sets")
     found = same.unionByName(_together(sets.where(F.col("w") <= whole)))
     large = sets.where(F.col("w") > whole).drop("w")
-    return found.unionByName(_large(large, whole)) if large.limit(1).count() else found
+    return found if large.isEmpty() else found.unionByName(_large(large, whole))
 
 
 def components(prints: DataFrame, bucket: int = 4096, more: DataFrame | None = None) -> DataFrame:
@@ -534,7 +478,7 @@ def components(prints: DataFrame, bucket: int = 4096, more: DataFrame | None = N
 
 def op6_simhash(docs: DataFrame, words: int = 3, bucket: int = 4096) -> DataFrame:
     """Every document's fingerprint and component."""
-    prints = with_fingerprint(docs.select("doc_id", "text"), words).select("doc_id", "_fp")
+    prints = with_fingerprint(docs, words)
     c = components(prints, bucket)
     out = prints.join(c, prints["_fp"] == c["fp"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
@@ -544,12 +488,14 @@ def dedup_stage(docs: DataFrame, words: int = 5, bucket: int = 4096) -> DataFram
     """Pipeline stage: one document of each group of near copies stays (the smallest doc_id), whole.
 
     Linked are fingerprints within 3 bits, and texts whose sets of shingles have a Jaccard similarity of 0.8
-    or more.  Rows without doc_id stay only where their group has no other.
+    or more.  Rows without doc_id stay only where their group has no other.  Of rows that share that doc_id and their fingerprint
+    the text of least hash stays, and of equal rows one.
     """
-    plain = docs.columns
     prints = with_bands(docs, words)
-    c = components(prints.select("doc_id", "_fp"), bucket, near_links(prints, words))
-    keep = c.where("fp = first_fp").select(F.col("fp").alias("_kf"), F.col("first").alias("_kd"))
-    kept = prints.join(keep, (prints["_fp"] == keep["_kf"]) & prints["doc_id"].eqNullSafe(keep["_kd"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*plain)
+    c = components(prints.select("doc_id", "_fp"), bucket, near_links(docs, prints, words))
+    keep = c.where("fp = first_fp").select(F.col("fp").alias("_fp"), F.col("first").alias("_first"))
+    mine = prints.select("doc_id", "_fp", "_th").join(keep, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    kept = mine.groupBy("doc_id", "_fp").agg(F.min("_th").alias("_th")).select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_k"), "_th")
+    rows = docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_k"), text_hash().alias("_th"), F.struct(*docs.columns).alias("_row"))
+    once = rows.join(kept, ["_k", "_th"], "left_semi").groupBy("_k", "_th").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return once.select("_row.*")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import materialise, small
 
 WINDOW, GRAM = 50, 24
 SPREAD = WINDOW - GRAM + 1
@@ -172,7 +172,7 @@ def _deal(buckets: int):
     """Texts to entries by bucket; runs that repeat within the batch are answered at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             doc_ids = b.column(0).to_numpy()
             parts = []
             for at, r in laid_out(b.column(1).to_pylist()):
@@ -422,7 +422,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in small(batches):
         n = b.num_rows
         data = [z.compress(t) if t else b"" for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([TEXT] * n, pa.int32()), pa.array(data, pa.binary())], schema=SCHEMA)
@@ -430,8 +430,6 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """Each document's removed stretches and what is left of it (or the digests of op10)."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     known = text.where(F.col("doc_id").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
