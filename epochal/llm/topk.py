@@ -1,22 +1,26 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit for each positive component.  Rows are cut into shards of
-bounded size.  A shard keeps its distinct codes in one sorted index for each of
-``SEGMENTS`` segments.  A query probes every segment with all values at segment distance
-0, then 1, 2, ...; after radius s every code within SEGMENTS * (s + 1) - 1 bits has been
-seen, and the search ends when the kth verified distance is within that.  Where more
-values would be probed than the shard has codes, the rest is compared outright.  A shard's
-answer is exact, so the k best of all shards' answers are.
-
-Queries (a stated set) go in blocks of at most ``block`` rows, each broadcast; equal codes
-are searched once.  Ties go to the smaller id; a row is not its own neighbour.  Null ids,
-null vectors and vectors of another length than ``bits`` are left out; NaN and null
-components count as not positive.  Equal vectors are each found.
+A vector's code has a bit for each positive component, cut into ``SEGMENTS`` segments.  A code
+within radius r of a query has a segment within r / SEGMENTS of the query's, so after all
+segments were probed at distances 0, 1, ... s, every code within SEGMENTS * (s + 1) - 1
+bits has been seen and its whole distance verified.  The radius grows by rounds over the whole table:
+a round probes one more radius for the queries that are still open, in every shard, and merges what the shards
+verified; a query is closed when its kth verified distance is covered.  So the radius
+is that of the kth neighbour in the whole table, not in a shard, and nothing is compared that no
+segment brought up.
+
+A task indexes its rows ``shard`` at a time, whatever its partition holds.  Of rows with one code in a
+shard the k + 1 smallest ids can matter.  Queries (a stated set) go in blocks of at most ``block`` rows,
+whose codes and bounds are broadcast; a block's answers are written before the next begins.
+Ties go to the smaller id; a row is not its own neighbour.  Null ids, null vectors and vectors of another
+length than ``bits`` are left out; NaN and null components count as not positive.  Equal vectors are each
+found, repeated rows once.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import append, forget, materialise
 
 SEGMENTS, WIDTH = 4, 16
 
@@ -49,120 +53,137 @@ def ring(radius: int) -> np.ndarray:
     return _RINGS[radius]
 
 
+@dataclass
+class Open:
+    """Queries of a block that are not closed: distinct codes, and the distance a new neighbour may have at most."""
+
+    code: np.ndarray
+    bound: np.ndarray
+
+
 class Shard:
-    """Multi-index over a shard's distinct codes; of equal codes the ids that can matter."""
+    """Multi-index over a shard's rows; of equal codes the ids that can matter."""
 
     def __init__(self, ids: np.ndarray, code: np.ndarray, k: int):
         order = np.lexsort((ids, code))
         ids, code = ids[order], code[order]
-        self.codes, first = np.unique(code, return_index=True)
-        ends = np.append(first[1:], len(code))
+        new = np.concatenate(([True], code[1:] != code[:-1]))
+        place = np.arange(len(code))
+        nth = place - np.maximum.accumulate(np.where(new, place, 0))
         # A query wants k neighbours besides itself: k + 1 smallest ids of a code do.
-        self.ids = [ids[s : min(e, s + k + 1)] for s, e in zip(first, ends, strict=True)]
+        self.ids, self.codes = ids[nth <= k], code[nth <= k]
         self.index = []
         for s in range(SEGMENTS):
             seg = ((self.codes >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
             by = np.argsort(seg, kind="stable")
-            starts = np.searchsorted(seg[by], np.arange((1 << WIDTH) + 1))
-            self.index.append((by, starts))
-
-    def search(self, code: np.uint64, k: int) -> list[tuple[int, int]]:
-        """(distance, place of the code) of the nearest codes that hold k + 1 ids or more, and all ties with the last."""
-        n = len(self.codes)
-        seen = np.zeros(n, bool)
-        found, dist = [], []
-        for s in range(WIDTH + 1):
-            if len(ring(s)) * SEGMENTS > n and not seen.all():
-                new = np.flatnonzero(~seen)  # fewer codes than probes
-                covered = 64
-            else:
-                new = []
-                for i, (by, starts) in enumerate(self.index):
-                    probe = ring(s) ^ int((int(code) >> (WIDTH * i)) & ((1 << WIDTH) - 1))
-                    lo, hi = starts[probe], starts[probe + 1]
-                    some = hi > lo
-                    new += [by[a:b] for a, b in zip(lo[some], hi[some], strict=True)]
-                new = np.unique(np.concatenate(new)) if new else np.zeros(0, np.int64)
-                new = new[~seen[new]]
-                covered = SEGMENTS * (s + 1) - 1
-            seen[new] = True
-            found.append(new)
-            dist.append(np.bitwise_count(self.codes[new] ^ code).astype(np.int64))
-            d = np.concatenate(dist)
-            f = np.concatenate(found)
-            order = np.lexsort((f, d))
-            held, last = 0, None
-            for o in order:
-                held += len(self.ids[f[o]])
-                if held >= k + 1:
-                    last = d[o]
-                    break
-            if (last is not None and last <= covered) or covered >= 64 or seen.all():
-                bound = last if last is not None else 64
-                return [(int(d[o]), int(f[o])) for o in order if d[o] <= bound]
-        raise AssertionError("unreachable: at the last radius everything is seen")
-
-
-OUT = "query_id long, neighbor_id long, distance int"
-
-
-def search_block(rows: DataFrame, queries: list[tuple[int, int]], k: int) -> DataFrame:
-    """Each shard's exact k best for each query of one block."""
-    shared = rows.sparkSession.sparkContext.broadcast(queries)
+            self.index.append((by, np.searchsorted(seg[by], np.arange((1 << WIDTH) + 1))))
+
+    def probe(self, code: np.uint64, radii: range) -> np.ndarray:
+        """Rows with a segment at one of ``radii`` from the code's."""
+        found = []
+        for i, (by, starts) in enumerate(self.index):
+            own = int((int(code) >> (WIDTH * i)) & ((1 << WIDTH) - 1))
+            for s in radii:
+                lo, n = starts[p := ring(s) ^ own], starts[p + 1]
+                n = n - lo
+                lo, n = lo[n > 0], n[n > 0]
+                if len(n):
+                    found.append(by[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def nearest(self, code: np.uint64, radii: range, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k + 1 nearest that ``radii`` bring up, within ``bound`` bits."""
+        at = self.probe(code, radii)
+        dist = np.bitwise_count(self.codes[at] ^ code).astype(np.int64)
+        at, dist = at[dist <= bound], dist[dist <= bound]
+        best = np.lexsort((self.ids[at], dist))[: k + 1]
+        return self.ids[at[best]], dist[best]
+
+
+FOUND = "code long, id long, distance int"
+
+
+def _round(rows: DataFrame, todo: Open, radii: range, k: int, shard: int) -> DataFrame:
+    """(code, id, distance): each shard's best for each open code at ``radii``."""
+    shared = rows.sparkSession.sparkContext.broadcast(todo)
+    names = ["code", "id", "distance"]
+
+    def answers(ids: list[np.ndarray], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        index, out, size = Shard(np.concatenate(ids), np.concatenate(codes).view(np.uint64), k), [], 0
+        for c, bound in zip(shared.value.code, shared.value.bound.tolist(), strict=True):
+            near, dist = index.nearest(c, radii, k, bound)
+            if len(near):
+                out.append((np.full(len(near), c, np.uint64).view(np.int64), near, dist.astype(np.int32)))
+                size += len(near)
+            if size > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        shard = Shard(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]).view(np.uint64), k)
-        by_code: dict[int, list[int]] = {}
-        for q, c in shared.value:
-            by_code.setdefault(c, []).append(q)
-        out: list[tuple[int, int, int]] = []
-        for c, qs in by_code.items():
-            near = shard.search(np.int64(c).view(np.uint64), k)
-            # Ids in order of (distance, id): ties between codes at one distance go by id.
-            best, i = [], 0
-            while i < len(near) and len(best) < k + 1:
-                j = i
-                while j < len(near) and near[j][0] == near[i][0]:
-                    j += 1
-                best += [(near[i][0], x) for x in sorted(int(y) for _, f in near[i:j] for y in shard.ids[f])]
-                i = j
-            for q in qs:
-                out += [(q, x, d) for d, x in [b for b in best if b[1] != q][:k]]
-            if len(out) > 50_000:
-                yield _rows(out)
-                out = []
-        yield _rows(out)
-
-    return rows.mapInArrow(run, OUT)
-
-
-def _rows(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) if out else [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["query_id", "neighbor_id", "distance"])
+        ids, codes, n = [], [], 0
+        for b in batches:
+            ids.append(b.column(0).to_numpy())
+            codes.append(b.column(1).to_numpy())
+            n += b.num_rows
+            if n >= shard:
+                yield from answers(ids, codes)
+                ids, codes, n = [], [], 0
+        if n:
+            yield from answers(ids, codes)
+
+    return rows.select("id", "code").mapInArrow(run, FOUND)
+
+
+def search_block(rows: DataFrame, n: int, codes: np.ndarray, k: int, shard: int, first: int = 2) -> DataFrame:
+    """(code, id, distance): the k + 1 nearest of each of ``codes`` (distinct) among the ``n`` rows.
+
+    The first round takes radii 0 to ``first``, each later one a radius more."""
+    todo, best, radii = Open(codes, np.full(len(codes), 64)), None, range(first + 1)
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("distance", "id"))
+    while True:
+        new = _round(rows, todo, radii, k, shard)
+        new = new if best is None else new.unionByName(best)
+        then = materialise(new.distinct().withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n"), "nearest")
+        forget(best)
+        best, covered = then, SEGMENTS * radii.stop - 1
+        # One row a query of the block.
+        held = best.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).toPandas()
+        full = held["n"].to_numpy() >= k + 1
+        last = held["d"].to_numpy(dtype=np.int64)
+        done = (full & (last <= covered)) | (held["n"].to_numpy() >= n) | (covered >= SEGMENTS * WIDTH)
+        bound = dict(zip(held["code"].to_numpy(dtype=np.int64)[~done].tolist(), np.where(full, last, 64)[~done].tolist(), strict=True))
+        closed = set(held["code"].to_numpy(dtype=np.int64)[done].tolist())
+        left = [c for c in todo.code.view(np.int64).tolist() if c not in closed]
+        if not left or covered >= SEGMENTS * WIDTH:
+            return best
+        todo = Open(np.array(left, np.int64).view(np.uint64), np.array([bound.get(c, 64) for c in left]))
+        radii = range(radii.stop, radii.stop + 1)
 
 
 def top_k(rows: DataFrame, is_query, k: int = 10, block: int = 1 << 17, shard: int = 1 << 18) -> DataFrame:
     """Exact k nearest of every row of ``rows`` (id, code) for which ``is_query`` (of id) holds.
 
-    Returns (query_id, rank, neighbor_id, distance).  Shards hold about ``shard`` rows;
-    a block's queries take 16 bytes each, so a broadcast has at most 2 MB."""
+    Returns (query_id, rank, neighbor_id, distance).  A block's codes and bounds take 16 bytes each, so a
+    broadcast has at most 2 MB."""
     spark = rows.sparkSession
-    rows = materialise(rows.distinct(), "codes")
+    rows = materialise(rows.repartition(spark.sparkContext.defaultParallelism, "id").distinct(), "codes")
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    parts = max(spark.sparkContext.defaultParallelism, -(-n // shard))
-    sharded = rows.repartition(parts, F.xxhash64("id"))
     blocks = max(1, -(-asked * 5 // (block * 4)))  # room for uneven hashing
-    answers = None
-    for i in range(blocks):
-        mine = rows.where(is_query & (F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == i)).distinct()
-        got = [(r[0], r[1]) for r in mine.collect()]  # bounded by the block
-        part = search_block(sharded, got, k)
-        answers = part if answers is None else answers.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    made = None
+    for i in range(blocks):
+        mine = rows.where(is_query & (F.pmod(F.xxhash64("code", F.lit("block")), F.lit(blocks)) == i))
+        codes = mine.select("code").distinct().toPandas()["code"].to_numpy(dtype=np.int64)  # bounded by the block
+        near = search_block(rows, n, codes.view(np.uint64), k, shard)
+        pairs = mine.select(F.col("id").alias("query_id"), "code").join(near, "code").where("query_id <> id")
+        pairs = pairs.select("query_id", F.col("id").alias("neighbor_id"), "distance").withColumn("rank", rank)
+        part = pairs.where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+        if blocks == 1:
+            return part
+        made = append(part, made, "topk")
+    return made
 
 
 def op8_topk(embeddings: DataFrame, k: int = 10) -> DataFrame:
