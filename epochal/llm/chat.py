@@ -5,21 +5,27 @@ backslash is doubled and every control string (of this and of common other templ
 gets a backslash after its first character, so no control string is left, and
 dropping one backslash before each character it guards gives the text back.
 
-Windows: turns are costed at a quarter of their formatted characters, rounded up.
-Prefix sums of the costs say in which stride of the budget a turn begins; turns of
-one stride form a window, so a window never cuts a turn.  Each window begins with the
+Windows: a turn costs its tokens: pieces of up to five letters or three digits, and every other
+mark that is not white space (``tokens`` takes another count, as an expression).  Prefix sums
+of the costs say where a turn begins and ends.  With room for system turn and history taken
+off the budget, a conversation whose largest turn takes at most half of what is left is cut into strides of
+the room less that turn: turns that begin in one stride form a window.  Otherwise the prefix
+sums are cut into blocks of the room: turns wholly in a block form a window, a turn
+that reaches over a block's end has one of its own.  So a window never cuts a turn and
+keeps within the budget wherever each of its turns does so beside the system turn.  Each window begins with the
 system turn and with as many of the preceding window's last turns as fit the history
-allowance; these repeats are context, never loss targets.  A stride is the budget less
-system turn, history and longest turn (half the budget at least), so a window keeps
-within the budget unless a single turn alone is over half of it.
+allowance and the budget; these repeats are context, never loss targets.
 
 Null text and role: empty.  Turns order by turn, then role and text; repeated rows
-are turns of their own.  Conversations meet in one task only in order, for running
-sums; what is collected is one window (and for the digests, one conversation).
+are turns of their own.  A conversation meets in one task for its running
+sums (sorted on disk where it is long); what is held is one window (and for the digests, one conversation).
+An empty table gives no windows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +33,11 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Where a backslash goes, between the first character and the rest of a control string.
 CONTROL = r"(?<=[<\[])(?=\||/?s>|</?SYS>>|/?INST\])"
 UNGUARD = r"(?s)\\(.)"
+TOKEN = r"\p{L}{1,5}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
+
+
+def count_tokens(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(TOKEN))
 
 
 def escape(c: Column) -> Column:
@@ -37,21 +48,21 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, UNGUARD, "$1")
 
 
-def turns_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, role, text, _pos, _block, _cost): turns in order, formatted and costed."""
+def turns_of(conversations: DataFrame, tokens: Callable[[Column], Column] = count_tokens) -> DataFrame:
+    """(conv_id, turn, role, text, _block, _cost): turns formatted and costed."""
     t = conversations.select(
         "conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     t = t.withColumn("_block", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY), escape(F.col("text")), F.lit(END)))
-    return t.withColumn("_cost", F.ceil(F.char_length("_block") / F.lit(4)).cast("long"))
+    return t.withColumn("_cost", tokens(F.col("_block")).cast("long"))
 
 
-def windows(conversations: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = 2048, history: int = 256, tokens: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """One row a window: conv_id, window, n_context (leading repeated turns), formatted,
     loss_spans (start and length, in characters, of the assistant texts that count), cost."""
     conv = Window.partitionBy("conv_id")
     order = conv.orderBy("turn", "role", "text")
-    t = turns_of(conversations)
+    t = turns_of(conversations, tokens)
     t = t.withColumn("_pos", F.row_number().over(order))
     system = (F.col("_pos") == 1) & (F.col("role") == "system")
     t = t.withColumn("_sys", system)
@@ -59,19 +70,27 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 256) ->
     own = F.when(F.col("_sys"), F.lit(0)).otherwise(F.col("_cost"))
     t = t.withColumns(
         {
+            "_own": own,
             "_end": F.sum(own).over(upto),
-            "_room": F.lit(budget - history) - F.sum(F.when(F.col("_sys"), F.col("_cost")).otherwise(F.lit(0))).over(conv),
+            "_room": F.lit(budget) - F.sum(F.when(F.col("_sys"), F.col("_cost")).otherwise(F.lit(0))).over(conv),
             "_most": F.max(own).over(conv),
             "_head": F.first(F.when(F.col("_sys"), F.struct("role", "text", "_block", "_cost"))).over(upto),
         }
     )
-    stride = F.greatest(F.col("_room") - F.col("_most"), F.floor(F.col("_room") / 2), F.lit(1))
-    t = t.withColumn("_start", F.col("_end") - own).withColumn("_win", F.floor(F.col("_start") / stride))
+    left = F.col("_room") - F.lit(history)
+    small = F.col("_most") * 2 <= left
+    pitch = F.greatest(F.when(small, left - F.col("_most")).otherwise(left), F.lit(1))
+    t = t.withColumn("_start", F.col("_end") - F.col("_own"))
+    block = F.floor(F.col("_start") / pitch)
+    over = ~small & (F.floor(F.greatest(F.col("_end") - 1, F.col("_start")) / pitch) > block)
+    t = t.withColumn("_win", (block * 2 + F.when(over, 1).otherwise(0)).cast("long"))
+    # What of the preceding window may be repeated: the history, as far as the budget goes.
+    t = t.withColumn("_allow", F.least(F.lit(history), F.col("_room") - F.sum("_own").over(Window.partitionBy("conv_id", "_win"))))
     # The start of the next window that has turns: the least start among later windows.
     later = conv.orderBy(F.col("_win").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    nxt = F.min(F.struct(F.col("_start").alias("s"), F.col("_win").alias("w"))).over(later)
+    nxt = F.min(F.struct(F.col("_start").alias("s"), F.col("_win").alias("w"), F.col("_allow").alias("a"))).over(later)
     t = t.withColumn("_next", nxt)
-    again = (~F.col("_sys")) & F.col("_next").isNotNull() & (F.col("_next.s") - F.col("_start") <= history)
+    again = (~F.col("_sys")) & F.col("_next").isNotNull() & (F.col("_next.s") - F.col("_start") <= F.col("_next.a"))
     places = F.array_compact(
         F.array(F.struct(F.col("_win").alias("w"), F.lit(True).alias("fresh")), F.when(again, F.struct(F.col("_next.w").alias("w"), F.lit(False).alias("fresh"))))
     )
