@@ -7,8 +7,11 @@ the floor or the ceiling of its expectation and a source's words come within abo
 one document of its target.  Ranks come from three levels of pre-aggregated counts
 (size class, hash bucket, row), so that no task holds a whole source.
 
+Sizes are counted once and written, narrow; counts come from that table.
+
 Null source: a source of its own, last.  Null or empty text: size 0.  A source
-without words has target 0 and gives no copies.  Repeated rows count each.
+without words has target 0 and gives no copies.  Repeated rows count each.  An empty table gives no rows.
+A row travels as one struct, so its columns may have any names and keep their values.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,51 +52,61 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``; nothing is dropped yet."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    bits = F.length(F.bin(F.col("size")))
-    shift = F.greatest(bits - 5, F.lit(0))
-    rows = (
-        docs.withColumns({"size": size, "_key": key, "_null": F.col("source").isNull(), "_src": F.coalesce(F.col("source"), F.lit(""))})
-        # size class: exact below 32, then steps of 1/16 of the size
-        .withColumn("_class", (shift * 32 + F.expr(f"shiftright(size, greatest(length(bin(size)) - 5, 0))")).cast("int"))
-        .withColumn("_bucket", F.substring("_key", 1, 2))
-    )
-    cells = rows.groupBy("_null", "_src", "_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_s"))
+def placed(row, size, doc_id="doc_id", source="source", seed: str = "mix") -> list:
+    """Columns that say where a row stands: its source, size class, hash bucket and key; and the row itself."""
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    shift = F.greatest(F.length(F.bin(size)) - 5, F.lit(0))
+    # size class: exact below 32, then steps of 1/16 of the size
+    level = (shift * 32 + F.call_function("shiftright", size, shift)).cast("int")
+    return [
+        F.col(source).isNull().alias("_null"), F.coalesce(F.col(source), F.lit("")).alias("_src"), level.alias("_class"), F.substring(key, 1, 2).alias("_bucket"),
+        key.alias("_key"), F.col(doc_id).alias("_id"), size.alias("size"), row.alias("row"),
+    ]
+
+
+def firsts(narrow: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """For each (source, class, bucket): the rows before it in its source, and the source's size and target."""
+    cells = narrow.groupBy("_null", "_src", "_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_s"))
     classes = cells.groupBy("_null", "_src", "_class").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     by_class = Window.partitionBy("_null", "_src").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = Window.partitionBy("_null", "_src", "_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = classes.select("_null", "_src", "_class", F.coalesce(F.sum("_n").over(by_class), F.lit(0)).alias("_above"))
     sources = targets(classes.groupBy("_null", "_src").agg(F.sum("_s").alias("source_size")), weights, cap)
-    first = (
+    return (
         cells.select("_null", "_src", "_class", "_bucket", F.coalesce(F.sum("_n").over(by_bucket), F.lit(0)).alias("_before"))
         .join(starts, ["_null", "_src", "_class"])
         .join(sources, ["_null", "_src"])
     )
-    rank = F.row_number().over(Window.partitionBy("_null", "_src", "_class", "_bucket").orderBy("size", "_key", "doc_id"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", whole: bool = True) -> DataFrame:
+    """(row, size, source_size, target, copies): each row of ``docs`` as a struct, and how often the mix takes it.
+
+    Without ``whole`` the row is (doc_id) alone, and texts are read once."""
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    counted = materialise(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    narrow = counted.select(*placed(F.struct("doc_id"), F.col("size"), seed=seed))
+    rows = docs.select(*placed(F.struct(*docs.columns), size, seed=seed)) if whole else narrow
+    rank = F.row_number().over(Window.partitionBy("_null", "_src", "_class", "_bucket").orderBy("size", "_key", "_id"))
     # The offset: 20 bits of a hash of the source, so that sums with it stay exact.
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_src"), F.col("_null").cast("string")).cast("binary")), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = rows.withColumn("_rank", rank).join(first, ["_null", "_src", "_class", "_bucket"])
+    out = rows.withColumn("_rank", rank).join(firsts(narrow, weights, cap), ["_null", "_src", "_class", "_bucket"])
     at = F.col("_above") + F.col("_before") + F.col("_rank")
-    crossed = F.floor(at * F.col("_ratio") + F.col("_offset")) - F.floor((at - 1) * F.col("_ratio") + F.col("_offset"))
-    return out.withColumns({"_ratio": ratio, "_offset": offset}).withColumn("copies", crossed.cast("long"))
+    crossed = F.floor(at * ratio + offset) - F.floor((at - 1) * ratio + offset)
+    return out.select("row", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def op3_mixing(docs: DataFrame) -> DataFrame:
     """Digest: words each document gives to the mix."""
-    m = mix(docs.select("doc_id", "source", "text"))
-    return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    m = mix(docs, whole=False)
+    return m.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each row as often as the mix takes it, with the input's columns."""
-    plain = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    m = mix(docs.select(*plain))
-    return m.where("copies > 0").select(*plain, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copies")).drop("copies")
+    """Pipeline stage: each row as often as the mix takes it, with all the input's columns."""
+    taken = mix(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")
 
 
 #: The same in DuckDB.

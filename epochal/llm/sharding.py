@@ -99,5 +99,5 @@ def op9_sharding(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def shard_stage(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """Pipeline stage: every row with its shard; a projection, no shuffle."""
-    return assign(docs, shards).drop("grown_shard")
+    """Pipeline stage: every row with its shard (a column of that name is replaced, all others stay); a projection, no shuffle."""
+    return docs.withColumn("shard", shard_of(F.col("doc_id"), layout(shards)))
