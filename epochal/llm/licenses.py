@@ -3,11 +3,13 @@
 Texts are lower-cased (A-Z) and cut into words at every ASCII character that is not a
 letter or digit; joined by single blanks they are scanned once by an automaton that
 holds all notice phrases and identifier tags, so overlapping places are all found.
-Where an ``SPDX-License-Identifier`` tag or a ``License:`` field stands, the expression behind it
-is parsed by a shunting yard (with > and > or, brackets) and evaluated.
+Where it meets an ``SPDX-License-Identifier`` tag or a ``License`` field, followed by a colon (for the field, an equals
+sign too), the rest of that line is parsed by a shunting yard (with > and > or, brackets) and evaluated; a field only
+counts where each name is a known licence, as prose follows the word as well.
 
 Null or empty text: no words, no labels, score 0.  Malformed expressions give no
-labels.  Repeated rows are scanned each; whole texts are scanned.
+labels.  Repeated rows are scanned each; whole texts are scanned.  An empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: The contract's phrases and labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further notice phrases (as words) and their labels.
@@ -45,13 +49,16 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit",
     "redistribution and use in source and binary forms": "bsd",
 }
-TAGS = ("spdx license identifier",)
+#: Tag and whether any name may follow it (else only known licences).
+TAGS = {"spdx license identifier": True, "license": False}
 #: How freely a label's texts may be used, 0 to 1; unknown labels count 0.5.
 FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "cc0": 1.0, "bsl": 1.0, "cc-by": 0.9, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "cc-by-nc-sa": 0.1, "cc-by-nc-nd": 0.05, "reserved": 0.0}
 IDS = ("cc-by-nc-sa", "cc-by-nc-nd", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "cc0", "apache", "agpl", "lgpl", "gpl", "mpl", "epl", "bsd", "isc", "mit", "unlicense", "bsl")
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: What follows a tag's last word: blanks or a closing quote, a colon or equals sign, and the expression.
+_BEHIND = {True: re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)"), False: re.compile(rb"[\"' \t]*[:=][ \t]*[\"']?([^\r\n]*)")}
+_WORD = re.compile(rb"[^ ]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+|\S")
 _RANK = {"or": 1, "and": 2, "with": 3}
 _AUTOMATON = []
@@ -65,8 +72,8 @@ def automaton():
         a = ahocorasick.Automaton()
         for p, label in NOTICES.items():
             a.add_word(f" {p} ", (p, label, False))
-        for p in TAGS:
-            a.add_word(f" {p} ", (p, None, False))
+        for p, free in TAGS.items():
+            a.add_word(f" {p} ", (p, None, free))
         for p, label in BASE.items():
             a.add_word(f" {p} ", (p, label, True))
         a.make_automaton()
@@ -125,26 +132,31 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
 
 def scan(text: str | None) -> dict:
     """All findings in one text: words, base places (word index), labels and freedom."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    plain = raw.translate(_LOWER)
+    found = plain.split()
     line = (b" " + b" ".join(found) + b" ").decode("latin-1")
-    places, base, labels, worth = [], set(), set(), []
+    places, base, labels, worth, tags = [], set(), set(), [], []
     at = words = 0
-    tagged = False
     for end, (phrase, label, is_base) in automaton().iter(line):
         start = end - len(phrase) - 1  # where the leading blank stands
-        if label is None:
-            tagged = True
-            continue
-        if is_base:
+        if is_base or label is None:
             # Longer phrases that end together come first, so starts may step back a little.
             words += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
             at = start
+        if label is None:
+            tags.append((words + phrase.count(" "), is_base))
+            continue
+        if is_base:
             places.append(words)
             base.add(label)
         labels.add(label)
-    if tagged:
-        for m in _TAG.finditer(text):
-            if postfix := parse(m[1]):
+    if tags:
+        ends = [m.end() for m in _WORD.finditer(plain)]  # of each word, in the text itself
+        for last, free in tags:
+            m = _BEHIND[free].match(raw, ends[last])
+            postfix = m and parse(m[1].decode("utf-8", "replace"))
+            if postfix and (free or all(t in _RANK or label_of(t.rstrip("+")) in IDS or (i and i + 1 < len(postfix) and postfix[i + 1] == "with") for i, t in enumerate(postfix))):
                 named, freedom = evaluate(postfix)
                 labels |= named
                 worth.append(freedom)
@@ -156,7 +168,7 @@ OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long,
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = []
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             s = scan(t.as_py())

@@ -10,10 +10,12 @@ Fitting takes a bounded sample: the ``max_rows`` labelled rows with the least ha
 doc_id.  Scoring covers every whole text.  As the output is linear in the mean, scoring
 keeps one number a feature (the difference of the class logits), 8 bytes x ``buckets``.
 Features are made for many texts at once, over the bytes of about ``CHUNK`` at a time; a
-longer text is cut at white space and its sums added up (a repeat across a cut is not seen).
+longer text is cut at white space and its sums added up (a token that repeats the last one before a cut counts).
+A token of over ``CHUNK`` bytes counts as several of that size.
 
-Null and empty texts: the score of the bias alone.  Repeated rows are scored each.
-Without labels of both classes every document is kept (score 1).
+Null and empty texts: the score of the bias alone.  Repeated rows are scored each; of labelled rows that share a
+doc_id the one of least text hash is learned from.  Without labels of both classes every document is kept (score 1).
+An empty table gives no rows; other columns are not read, and the stage hands them on.
 """
 
 from __future__ import annotations
@@ -27,28 +29,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 CHUNK = 1 << 20
 _SPACE = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 _MUL = np.uint64(1099511628211)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Indices and texts in groups of about CHUNK bytes, long texts cut at white space."""
+def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], bool]]:
+    """Indices and texts in groups of about CHUNK bytes, long texts cut at white space (or, without any, after
+    CHUNK more bytes); and whether a cut text goes on with the token it was cut behind."""
     at, group, size = [], [], 0
     for i, t in enumerate(texts):
         t = t.translate(_SPACE)
-        while len(t) > CHUNK and (cut := t.find(b" ", CHUNK)) > 0:
-            yield [i], [t[:cut]]
-            t = t[cut:]
+        again = False
+        while len(t) > CHUNK:
+            cut = t.find(b" ", CHUNK, 2 * CHUNK)
+            cut = cut if cut >= 0 else 2 * CHUNK
+            if cut >= len(t):
+                break
+            yield [i], [t[:cut]], again
+            last = t[max(t.rfind(b" ", 0, cut) + 1, cut - CHUNK) : cut]
+            blank = t[cut : cut + 1] == b" "
+            t = t[cut:].lstrip(b" ")
+            again = bool(blank and last and t.startswith(last) and t[len(last) : len(last) + 1] in (b" ", b""))
+        if again:
+            yield [i], [t], True
+            continue
         if group and size + len(t) > CHUNK:
-            yield at, group
+            yield at, group, False
             at, group, size = [], [], 0
         at.append(i)
         group.append(t)
         size += len(t)
     if group:
-        yield at, group
+        yield at, group, False
 
 
 def features(group: list[bytes], buckets: int, shortest: int = 3, longest: int = 4) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,7 +125,10 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
-        for at, group in pieces(texts):
+        for at, group, again in pieces(texts):
+            if again:
+                total[at[0]] += self.value[0]
+                n[at[0]] += 1
             for bucket, ok, starts in features(group, len(self.value)):
                 v = self.value[bucket]
                 np.add.at(total, at, _sums(v if ok is None else v * ok, starts))
@@ -123,7 +142,8 @@ def bags(texts: list[bytes], buckets: int) -> list[tuple[np.ndarray, np.ndarray]
     out = []
     for t in texts:
         c = np.zeros(buckets)
-        for _, group in pieces([t]):
+        for _, group, again in pieces([t]):
+            c[0] += again
             for bucket, ok, _ in features(group, buckets):
                 c += np.bincount(bucket if ok is None else bucket[ok], minlength=buckets)
         at = np.flatnonzero(c)
@@ -168,7 +188,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     kept = kept.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     sample = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # A fixed number of ids: broadcasting it is safe at any size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "_y").dropDuplicates(["doc_id"]).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "_y")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "_y"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.text", "r._y").toPandas()
     rows = rows.sort_values("doc_id")
     return [bytes(t) for t in rows["text"]], rows["_y"].tolist()
 
@@ -183,7 +204,7 @@ def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(b.column(1).to_pylist()), pa.float64())], ["doc_id", column])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"doc_id long, {column} double")

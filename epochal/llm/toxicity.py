@@ -10,8 +10,8 @@ weight of their own, however toxic the company they are seen in, and neutral men
 are not flagged.
 
 Fitting takes a bounded sample (``max_rows`` labelled rows with the least hash of
-doc_id), scoring every whole text.  Null and empty texts: the bias alone.  Without
-labels of both classes the score is 0.
+doc_id), scoring every whole text.  Null and empty texts: the bias alone.  Repeated rows are scored each.
+Without labels of both classes the score is 0.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -104,8 +104,9 @@ def swapped(found: set[bytes], turn: int) -> set[bytes] | None:
     return out
 
 
-def choose(bags: Iterable[set[bytes]], y: np.ndarray, least: float, most: int) -> list[bytes]:
-    """Words whose presence tells the classes apart: likelihood ratio at least ``least``.
+def choose(bags: Iterable[set[bytes]], y: np.ndarray, least: float, most: int, fewest: int = 0) -> list[bytes]:
+    """Words whose presence tells the classes apart: likelihood ratio at least ``least``; where a small sample
+    has fewer than ``fewest`` of those, its best at 3.84 (one chance in twenty) or more.
     Bags are counted one after another and not kept."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     pos, neg = Counter(), Counter()
@@ -122,15 +123,15 @@ def choose(bags: Iterable[set[bytes]], y: np.ndarray, least: float, most: int) -
     g = 2 * (part(k1, n1, k1 / n1) + part(k0, n0, k0 / n0) - part(k1, n1, (k1 + k0) / (n1 + n0)) - part(k0, n0, (k1 + k0) / (n1 + n0)))
     g[k1 / n1 < k0 / n0] = 0
     order = np.lexsort((terms, -g)) if terms else []
-    return [terms[i] for i in order if g[i] >= least][:most]
+    return [terms[i] for n, i in enumerate(order) if g[i] >= least or (n < fewest and g[i] >= 3.84)][:most]
 
 
-def fit(texts: list[bytes], labels: list[int], least: float = 24.0, most: int = 4096, strength: float = 5.0, decay: float = 2e-4, epochs: int = 300) -> Model:
+def fit(texts: list[bytes], labels: list[int], least: float = 24.0, fewest: int = 16, most: int = 4096, strength: float = 5.0, decay: float = 2e-4, epochs: int = 300) -> Model:
     """Logistic loss + decay |w|^2 + strength x mean squared score change over counterfactual pairs."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Model({}, -50.0)
-    chosen = choose((stemmed(words(t)) for t in texts), y, least, most)
+    chosen = choose((stemmed(words(t)) for t in texts), y, least, most, fewest)
     terms = list(dict.fromkeys([*chosen, *(t.encode() for t in GROUP)]))
     at = {w: i for i, w in enumerate(terms)}
     # Rows and columns of the ones, as flat arrays: the design matrix is very sparse.
