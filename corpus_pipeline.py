@@ -6,11 +6,9 @@ returns the columns of ``documents`` (the last one adds ``shard``).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from epochal.llm.common import shared_dir
+from epochal.llm.common import forget, materialise
 from epochal.llm.decontaminate import decontaminate_stage
 from epochal.llm.mixing import mix_stage
 from epochal.llm.quality import quality_stage
@@ -51,12 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = f"{base}/{i}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    """All stages, each written as Parquet to the shared folder and read again; what a stage has read is deleted then,
+    and the last one's table when the session ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        after = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)
+        docs = before = after
     return docs
