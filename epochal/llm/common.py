@@ -66,6 +66,14 @@ def forget(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def bounded(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of at most ``limit`` bytes for the whole session, the same for every operator (rows are left as they
+    are set): what Spark and its Python workers hold of texts at a time is bounded, however long they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).removesuffix("b") != str(limit):
+        spark.conf.set(key, str(limit))
+
+
 def small(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes (one row at least): memory is bounded by bytes,
     whatever the session's batch settings are."""

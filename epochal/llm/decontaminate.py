@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialise, passes, small
+from .common import bitmap, bounded, materialise, passes, small
 from .tokens import many, mix, word_hashes
 
 #: Each pair of the ten positions is ignored (0) by one of the nine; the last takes six words running.
@@ -282,6 +282,7 @@ def _by_join(docs: DataFrame, item: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most_seeds: int = 1 << 20) -> DataFrame:
     """(doc_id, th, item_id, overlap, size): verified overlaps of documents and items."""
+    bounded(docs.sparkSession)
     item = materialise(benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_items, ITEM), "items")
     found = _in_scan(docs, item) if item.count() <= most_seeds else _by_join(docs, item)
     return found.groupBy("doc_id", "th", "item_id").agg(F.max("overlap").alias("overlap"), F.max("size").alias("size"))

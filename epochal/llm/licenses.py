@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import bounded, small
 
 #: The contract's phrases and labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -184,6 +184,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row a document; see the contract of op2 for the columns.  No shuffle."""
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_batches, OUT)
 
 

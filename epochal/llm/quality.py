@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import bounded, small
 
 CHUNK = 1 << 20
 _SPACE = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
@@ -200,6 +200,7 @@ def held_out(column: str = "doc_id"):
 
 def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
     """(doc_id, score) of every text; the model (a bounded table) is broadcast."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +222,7 @@ def quality_stage(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, thre
     """Pipeline stage: the rows that the classifier does not reject, columns unchanged.
 
     Scored as a column beside the row (no join), so nulls and repeated ids are safe."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, "quality", max_rows)))
 
     @F.pandas_udf("double")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, materialise, passes, small
+from .common import bitmap, bounded, connected_components, materialise, passes, small
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS, WIDTH, MAX_BITS = 8, 8, 3
@@ -110,6 +110,7 @@ def with_fingerprint(docs: DataFrame, words: int) -> DataFrame:
         for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_each(b, 1, lambda t: fingerprint(t, words)), pa.int64())], ["doc_id", "_fp"])
 
+    bounded(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return materialise(texts.mapInArrow(run, "doc_id long, _fp long"), "fingerprints")
 
@@ -143,6 +144,7 @@ def with_bands(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (fps, sids, sizes)), lists], [c.split()[0] for c in PRINTS.split(", ")])
 
+    bounded(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_hash().alias("_th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return materialise(texts.mapInArrow(run, PRINTS), "prints")
 

@@ -3,25 +3,28 @@
 A document loses each byte covered by a 50-byte window that also starts in a document with
 a smaller doc_id.  Windows are grouped by a depth-limited radix sort: suffixes are ordered
 only through the threshold, by most-significant-digit passes, and suffixes that are still
-equal after the last digit are exactly the repeated windows.
+equal after the last digit are exactly the repeated windows.  Every decision is made on bytes; hashes only deal
+windows out, and a collision costs time, nothing else.
 
-Sorting every suffix of a corpus would move each byte many times over, so two passes with
-content-defined digits come first and leave few suffixes to the byte passes:
+A suffix's first digit is its anchor: among the 16-byte grams of its window the one of least hash.  Consecutive windows
+with one anchor form a run, which travels as one entry: its bytes with document and place.
+Entries are dealt to buckets by the anchor's hash, and in a bucket
 
-1. Each window has an anchor, its 24-gram of least hash.  Consecutive windows with one
-   anchor form a run.  Runs are dealt by anchor hash (48 bits and bucket) and, within it, by a
-   hash of all the run's bytes (40 bits).  Equal windows have equal anchors, so a run alone with its
-   anchor repeats nothing; a run whose bytes also stand in a smaller document is removed
-   whole; only runs whose anchor is followed or preceded by different bytes elsewhere stay open.
-2. The bytes of open runs (one of each kind) are dealt by anchor hash and their suffixes
-   radix-sorted, eight bytes a digit, dropping a suffix as soon as it is alone.
+1. entries are ordered by the anchor's bytes; an anchor that is there once repeats nothing;
+2. of entries with equal bytes those of the smallest document stay, the others are removed whole;
+3. where an anchor still has entries of several kinds, their suffixes are radix-sorted: by the anchor's place in
+   the window, then by the window's bytes, eight a digit, dropping a suffix as soon as it is alone.
 
-Entries travel in blobs by hash bucket; the number of buckets grows with the input.
-Within an Arrow batch equal runs are combined first, so a group of copies sends one entry
-a batch.  Texts are never gathered by content, only dealt by doc_id for the answer.
+Equal runs within a megabyte of text are met at once, so a group of copies sends one entry a megabyte.  An anchor that
+stands in over a hundredth of the documents in ever different surroundings would overfill its bucket: such anchors are
+found in a sample of documents, and their windows are entries of their own, dealt by the hash of the whole
+window.  The sample has a say in the dealing only; results are the same with any.  Buckets hold some ``BUCKET`` bytes of text;
+buckets and partitions grow in number with the input.  What is removed goes back to the documents as places, dealt
+by document; texts move once, to their answers.
 
 Null or empty text: no bytes, nothing removed.  Texts under 50 bytes keep all.  Rows with
-one doc_id do not remove from each other.  Rows without doc_id neither lose nor remove.
+one doc_id do not remove from each other.  Rows without doc_id neither lose nor remove.  Repeated rows are answered
+each.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,21 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import bounded, materialise, small
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 16
 SPREAD = WINDOW - GRAM + 1
-PIECE = 1 << 20
+PIECE, BUCKET = 1 << 20, 8 << 20
 _P = 0x5851F42D4C957F2D
 _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW: list[np.ndarray] = []
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POW:
-        n = PIECE * 2 + 2 * WINDOW
-        for base in (_P, pow(_P, -1, 1 << 64)):
-            _POW.append(np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))).astype(np.uint64)))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, and those of the inverse; made once a worker."""
+    if not _POW or len(_POW[0]) < n:
+        n = max(n, PIECE * 2 + 2 * WINDOW)
+        _POW[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))).astype(np.uint64)) for base in (_P, pow(_P, -1, 1 << 64))]
     return _POW[0], _POW[1]
 
 
@@ -60,12 +63,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of the windows of some texts laid end to end.
 
-    doc: index of the text; low, high: first and last window (place in ``a``); anchor, body: hashes."""
+    doc: index of the text; low, high: first and last window, at: anchor (places in ``a``); anchor, body: hashes."""
 
     def __init__(self, texts: list[bytes], offsets: list[int]):
         self.a = a = np.frombuffer(b"".join(texts), np.uint8)
         self.texts, self.offsets = texts, offsets
-        power, self.inv = _powers()
+        power, self.inv = _powers(len(a) + WINDOW)
         self.sums = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(_TABLE[a] * power[: len(a)], out=self.sums[1:])
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -86,7 +89,7 @@ class Runs:
         at = s + rel[s]
         cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(s) != 1))
         lo, hi = np.concatenate(([0], cut + 1)), np.concatenate((cut, [total - 1]))
-        self.low, self.high = s[lo], s[hi]
+        self.low, self.high, self.at = s[lo], s[hi], at[lo]
         self.doc = np.searchsorted(self.starts, self.low, side="right") - 1
         self.anchor = gram[at[lo]]
         self.body = self.hashed(self.low, self.high + WINDOW)
@@ -120,203 +123,198 @@ def laid_out(texts: list[bytes]) -> Iterator[tuple[list[int], Runs]]:
         yield ids, Runs(group, offsets)
 
 
-def _short(anchor: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return anchor >> np.uint64(16), body >> np.uint64(24)
+def same_bytes(a: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the ``size`` bytes of ``a`` at ``one`` those at ``two``?  ``a`` ends in eight spare bytes."""
+    view = np.lib.stride_tricks.sliding_window_view(a, 8)
+    ok = np.ones(len(one), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        pick = np.flatnonzero(ok & (size > k))
+        x = np.ascontiguousarray(view[one[pick] + k]).view("<u8").ravel() ^ np.ascontiguousarray(view[two[pick] + k]).view("<u8").ravel()
+        rest = np.minimum(size[pick] - k, 8).astype(np.uint64)
+        ok[pick] = (x << (np.uint64(64) - np.uint64(8) * rest)) == 0
+    return ok
 
 
-def keys(anchor48: np.ndarray, body40: np.ndarray) -> np.ndarray:
-    """One name for a run's anchor and bytes, in answers to its document."""
-    return _mix(anchor48 * np.uint64(_P) + body40)
+class Entries:
+    """Runs to be dealt: document (id, low half of its text's hash), place in it, length, place of the anchor in the run, bytes."""
 
+    KINDS = (("id", "<i8"), ("th", "<u4"), ("pos", "<u4"), ("size", "u1"), ("rel", "u1"))
 
-ROW = "bucket int, doc_id long, kind int, data binary"
-SCHEMA = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-#: Kinds of rows.
-WHOLE, OPEN, PART, TEXT = 0, 1, 2, 3
+    def __init__(self, id, th, pos, size, rel, a, start):  # noqa: A002
+        self.id, self.th, self.pos, self.size, self.rel, self.a, self.start = id, th, pos, size, rel, a, start
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+    def take(self, at: np.ndarray) -> Entries:
+        return Entries(*(getattr(self, k)[at] for k, _ in self.KINDS), self.a, self.start[at])
+
+    def pack(self) -> bytes:
+        import zstandard
+
+        size = self.size.astype(np.int64)
+        flat = np.repeat(self.start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+        parts = [np.uint32(len(self)).tobytes(), *(getattr(self, k).astype(t).tobytes() for k, t in self.KINDS), self.a[flat].tobytes()]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+    @classmethod
+    def unpack(cls, blobs: list[bytes]) -> Entries:
+        import zstandard
+
+        columns, bodies = [[] for _ in cls.KINDS], []
+        for blob in blobs:
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            n, at = int(np.frombuffer(raw, "<u4", 1)[0]), 4
+            for c, (_, t) in zip(columns, cls.KINDS, strict=True):
+                c.append(np.frombuffer(raw, t, n, at))
+                at += n * np.dtype(t).itemsize
+            bodies.append(raw[at:])
+        a = np.frombuffer(b"".join([*bodies, bytes(8)]), np.uint8)
+        id, th, pos, size, rel = (np.concatenate(c) for c in columns)  # noqa: A001
+        ends = np.cumsum(size.astype(np.int64))
+        return cls(id, th, pos, size, rel, a, ends - size)
+
+
+ROW = "bucket int, q int, data binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("q", pa.int32()), ("data", pa.binary())])
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) if out else [[]] * 4
+    cols = list(zip(*out, strict=True)) if out else [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
 
 
-def _answers(doc: np.ndarray, kind: int, key: np.ndarray) -> list[tuple]:
-    """A row for each document: the keys of one kind."""
-    order = np.argsort(doc, kind="stable")
-    doc, key = doc[order], key[order]
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])) if len(doc) else [0]
-    return [(-1, int(doc[s]), kind, key[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-
+class Answers:
+    """Stretches to remove (id, th, start, size), gathered and sent off by the group of documents they go to."""
 
-def _pack(anchor48: np.ndarray, body40: np.ndarray, doc: np.ndarray) -> bytes:
-    """Entries sorted by document: ids, counts, then 6 + 5 bytes each."""
-    ids, counts = np.unique(doc, return_counts=True)
-    six = anchor48.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    five = body40.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return b"".join((np.uint32(len(ids)).tobytes(), ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.hstack((six, five)).tobytes()))
+    KINDS = (("id", "<i8"), ("th", "<u4"), ("start", "<u4"), ("size", "u1"))
 
+    def __init__(self, groups: int, most: int = 1 << 20):
+        self.groups, self.most, self.held, self.n = groups, most, [], 0
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<u4", 1)[0])
-    ids = np.frombuffer(blob, "<i8", n, 4)
-    counts = np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-    raw = np.frombuffer(blob, np.uint8, offset=4 + 12 * n).reshape(-1, 11)
-    wide = np.zeros((len(raw), 16), np.uint8)
-    wide[:, :6] = raw[:, :6]
-    wide[:, 8:13] = raw[:, 6:]
-    pair = wide.view("<u8")
-    return pair[:, 0].copy(), pair[:, 1].copy(), np.repeat(ids, counts)
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.held.append(tuple(c.astype(t) for c, (_, t) in zip(columns, self.KINDS, strict=True)))
+            self.n += len(columns[0])
+        if self.n >= self.most:
+            yield from self.flush()
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _deal(buckets: int):
-    """Texts to entries by bucket; runs that repeat within the batch are answered at once."""
+        if not self.held:
+            return
+        id, th, start, size = (np.concatenate(c) for c in zip(*self.held, strict=True))  # noqa: A001
+        self.held, self.n = [], 0
+        q = group_of(id, th, self.groups)
+        order = np.lexsort((start, th, id, q))
+        id, th, start, size, q = id[order], th[order], start[order], size[order], q[order]  # noqa: A001
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(q)) + 1, [len(q)]))
+        pack = lambda s, e: zstandard.ZstdCompressor(level=1).compress(b"".join((np.uint32(e - s).tobytes(), *(c[s:e].tobytes() for c in (id, th, start, size)))))
+        for i in range(0, len(cut) - 1, 4096):
+            yield _rows([(-1, int(q[s]), pack(s, e)) for s, e in zip(cut[i : i + 4096].tolist(), cut[i + 1 : i + 4097].tolist())])
+
+    @classmethod
+    def unpack(cls, blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        import zstandard
+
+        columns = [[np.zeros(0, t)] for _, t in cls.KINDS]
+        for blob in blobs:
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            n, at = int(np.frombuffer(raw, "<u4", 1)[0]), 4
+            for c, (_, t) in zip(columns, cls.KINDS, strict=True):
+                c.append(np.frombuffer(raw, t, n, at))
+                at += n * np.dtype(t).itemsize
+        return tuple(np.concatenate(c) for c in columns)
+
+
+def group_of(id: np.ndarray, th: np.ndarray, groups: int) -> np.ndarray:  # noqa: A002
+    """The group of documents that (id, th) belongs to; :func:`group_column` says the same in Spark."""
+    low = (id.astype(np.int64) ^ th.astype(np.int64)) & 0xFFFFFFFF
+    return ((low >> 16) * 40503 + low) % groups
+
+
+def group_column(groups: int):
+    low = F.col("doc_id").bitwiseXOR(F.col("th")).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.shiftright(low, 16) * F.lit(40503) + low, F.lit(groups)).cast("int")
+
+
+def _entries(ids: np.ndarray, ths: np.ndarray, at: list[int], r: Runs, hot: np.ndarray) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of some texts' runs, with hashes of their bytes and of what deals them out; runs of ``hot`` anchors window by window."""
+    low, high, anchor, body, place = r.low, r.high, r.anchor, r.body, r.at
+    deal = anchor
+    if len(hot) and (many := _isin(anchor, hot)).any():
+        n = (high - low + 1)[many]
+        s = np.repeat(low[many] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        whole = r.hashed(s, s + WINDOW)
+        low, high = np.concatenate((low[~many], s)), np.concatenate((high[~many], s))
+        place = np.concatenate((place[~many], np.repeat(place[many], n)))
+        body, deal = np.concatenate((body[~many], whole)), np.concatenate((anchor[~many], whole))
+    doc = np.searchsorted(r.starts, low, side="right") - 1
+    text = np.asarray(at)[doc]
+    pos = low - r.starts[doc] + np.asarray(r.offsets)[doc]
+    a = np.concatenate((r.a, np.zeros(8, np.uint8)))
+    return Entries(ids[text], ths[text], pos, high - low + WINDOW, place - low, a, low), body, deal, text
+
+
+def _deal(buckets: int, groups: int, hot: np.ndarray):
+    """Texts to entries by bucket; runs that repeat within a megabyte are answered at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(groups)
         for b in small(batches):
-            doc_ids = b.column(0).to_numpy()
-            parts = []
-            for at, r in laid_out(b.column(1).to_pylist()):
-                parts.append((r.anchor, r.body, doc_ids[np.asarray(at)[r.doc]]))
-            if not parts:
-                continue
-            anchor, body, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = (anchor & np.uint64(0xFFFF)) % np.uint64(buckets)
-            a48, b40 = _short(anchor, body)
-            # Name collisions between buckets do no harm: the name only orders within the batch.
-            name = keys(a48, b40)
-            order = np.lexsort((doc, name))
-            a48, b40, doc, bucket, name = a48[order], b40[order], doc[order], bucket[order], name[order]
-            head = np.concatenate(([True], (name[1:] != name[:-1]) | (a48[1:] != a48[:-1]) | (b40[1:] != b40[:-1])))
-            least = doc[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
-            late = doc > least
-            out = _answers(doc[late], WHOLE, name[late])
-            a48, b40, doc, bucket = a48[head], b40[head], doc[head], bucket[head]
-            order = np.lexsort((a48, doc, bucket))
-            a48, b40, doc, bucket = a48[order], b40[order], doc[order], bucket[order]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            out += [(int(bucket[s]), -1, -1, _pack(a48[s:e], b40[s:e], doc[s:e])) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield _rows(out)
+            ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy() & 0xFFFFFFFF
+            for at, r in laid_out(b.column(2).to_pylist()):
+                e, body, deal, _ = _entries(ids, ths, at, r, hot)
+                order = np.lexsort((e.id, e.size, body))
+                e, body, deal = e.take(order), body[order], deal[order]
+                head = np.concatenate(([True], (body[1:] != body[:-1]) | (e.size[1:] != e.size[:-1])))
+                first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+                late = np.flatnonzero(e.id > e.id[first])
+                late = late[same_bytes(e.a, e.start[late], e.start[first[late]], e.size[late])]
+                yield from answers.add(e.id[late], e.th[late], e.pos[late], e.size[late])
+                left = np.ones(len(e), bool)
+                left[late] = False
+                e, deal = e.take(np.flatnonzero(left)), deal[left]
+                bucket = ((deal >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((e.pos, e.th, e.id, bucket))
+                e, bucket = e.take(order), bucket[order]
+                cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+                yield _rows([(int(bucket[s]), None, e.take(np.arange(s, t)).pack()) for s, t in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+        yield from answers.flush()
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], one) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: answers pass; the blobs of each bucket go to ``one`` together."""
-    now, blobs = -1, []
-    for b in batches:
-        passed = []
-        for bucket, doc, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if bucket < 0:
-                passed.append((bucket, doc, kind, data))
-                continue
-            if bucket != now:
-                if blobs:
-                    yield from one(blobs)
-                now, blobs = bucket, []
-            blobs.append(data)
-        if passed:
-            yield _rows(passed)
-    if blobs:
-        yield from one(blobs)
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digits one and two: by anchor, then by bytes of the run."""
-
-    def one(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        a, b, doc = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        blobs.clear()
-        # Drop anchors seen once before the full sort.
-        order = np.argsort(a, kind="stable")
-        s = a[order]
-        many = np.zeros(len(s), bool)
-        same = s[1:] == s[:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        order = order[many]
-        a, b, doc = a[order], b[order], doc[order]
-        if not len(a):
-            return
-        order = np.lexsort((doc, b, a))
-        a, b, doc = a[order], b[order], doc[order]
-        new_a = np.concatenate(([True], a[1:] != a[:-1]))
-        new_b = new_a | np.concatenate(([True], b[1:] != b[:-1]))
-        index = np.arange(len(a))
-        least = doc[np.maximum.accumulate(np.where(new_b, index, 0))]
-        group = np.cumsum(new_a) - 1
-        kinds = np.bincount(group, new_b)
-        name = keys(a, b)
-        late = doc > least
-        opened = ~late & (kinds[group] > 1)
-        # Of an open kind one run in its smallest document is enough; others there are answered by content alike.
-        out = _answers(doc[late], WHOLE, name[late]) + _answers(doc[opened & new_b], OPEN, name[opened & new_b])
-        for i in range(0, len(out), 20_000):
-            yield _rows(out[i : i + 20_000])
-
-    yield from _by_bucket(batches, one)
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, np.ndarray], bytes]]:
-    """Rows sorted by (doc_id, kind): each text with the answers to its document."""
-    import zstandard
-
-    plain = zstandard.ZstdDecompressor()
-    now, got = None, {}
-    for b in batches:
-        for doc, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if doc != now:
-                now, got = doc, {}
-            if kind < TEXT:
-                got.setdefault(kind, []).append(np.frombuffer(data, np.uint64))
-            else:
-                yield doc, {k: np.unique(np.concatenate(v)) for k, v in got.items()}, plain.decompress(data) if data else b""
-
-
-def _isin(x: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    if known is None or not len(known):
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, n): of each megabyte of a sample, the anchors that stand in two kinds of runs or more."""
+    for b in small(batches):
+        for _, r in laid_out(b.column(0).to_pylist()):
+            kinds = np.unique(np.stack((r.anchor, r.body), 1), axis=0)[:, 0]
+            anchor, n = np.unique(kinds, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[n > 1].view(np.int64)), pa.array(n[n > 1])], ["anchor", "n"])
+
+
+def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
         return np.zeros(len(x), bool)
     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
     return known[at] == x
 
 
-def _open(buckets: int):
-    """Documents with open runs: the runs' bytes, by bucket of their anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        size = 0
-        for doc, got, text in _documents(batches):
-            if OPEN not in got:
-                continue
-            for _, r in laid_out([text]):
-                a48, b40 = _short(r.anchor, r.body)
-                name = keys(a48, b40)
-                pick = np.flatnonzero(_isin(name, got[OPEN]))
-                pick = pick[np.unique(name[pick], return_index=True)[1]]
-                for i in pick:
-                    body = r.a[r.low[i] : r.high[i] + WINDOW].tobytes()
-                    held.setdefault(int(r.anchor[i] & np.uint64(0xFFFF)) % buckets, []).append(np.array([doc], "<i8").tobytes() + np.array([len(body)], "<u4").tobytes() + body)
-                    size += len(body) + 12
-            if size > PIECE * 4:
-                yield _rows([(k, -1, -1, b"".join(v)) for k, v in held.items()])
-                held, size = {}, 0
-        yield _rows([(k, -1, -1, b"".join(v)) for k, v in held.items()])
-
-    return run
-
-
-def equal_suffixes(a: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Depth-limited radix sort: (suffix, group) of the suffixes of ``a`` whose first WINDOW bytes
-    stand in it more than once.  Each pass orders by the next digit of eight bytes (the last: two)
-    within the groups so far and drops suffixes that are alone."""
-    group = np.zeros(len(suffix), np.int64)
-    padded = np.concatenate((a, np.zeros(8, np.uint8)))
-    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for depth in range(0, WINDOW, 8):
-        digit = np.ascontiguousarray(view[suffix + depth]).view(">u8").ravel().astype(np.uint64)
-        if WINDOW - depth < 8:
-            digit >>= np.uint64(8 * (8 - (WINDOW - depth)))
-        order = np.lexsort((digit, group))
+def equal_suffixes(a: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depth-limited radix sort: (suffix, group) of the suffixes of ``a`` whose first WINDOW bytes stand
+    more than once in their group.  Each pass orders by the next digit of eight bytes (the last: two)
+    within the groups so far and drops suffixes that are alone.  ``a`` ends in eight spare bytes."""
+    view = np.lib.stride_tricks.sliding_window_view(a, 8)
+    for depth in (None, *range(0, WINDOW, 8)):
+        if depth is None:
+            digit = np.zeros(len(suffix), np.uint64)
+        else:
+            digit = np.ascontiguousarray(view[suffix + depth]).view(">u8").ravel().astype(np.uint64)
+            if WINDOW - depth < 8:
+                digit >>= np.uint64(8 * (8 - (WINDOW - depth)))
+        order = np.lexsort((digit, group)) if depth is not None else np.argsort(group, kind="stable")
         suffix, group, digit = suffix[order], group[order], digit[order]
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))) if len(suffix) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
@@ -325,84 +323,143 @@ def equal_suffixes(a: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.nd
     return suffix, group
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The byte passes over each bucket's open runs: windows with a smaller document are answered."""
+def repeated(e: Entries) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, th, start, size) of what the entries of a bucket lose."""
+    view = np.lib.stride_tricks.sliding_window_view(e.a, 8)
+    word = lambda start: np.ascontiguousarray(view[start]).view(">u8").ravel().astype(np.uint64)
+    # The anchor's bytes; entries alone with theirs repeat nothing.
+    digits = [word(e.start + e.rel + k) for k in range(0, GRAM, 8)]
+    order = np.lexsort(digits[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for d in digits:
+        d = d[order]
+        new[1:] |= d[1:] != d[:-1]
+    anchor = np.cumsum(new) - 1
+    many = np.bincount(anchor)[anchor] > 1
+    e, anchor = e.take(order[many]), anchor[many]
+    if not len(e):
+        return
+    # Kinds of equal bytes, numbered as they come; an anchor's entries stand together, and so do its kinds' numbers.
+    raw, known = e.a.tobytes(), {}
+    kind = np.fromiter((known.setdefault(raw[s:t], len(known)) for s, t in zip(e.start.tolist(), (e.start + e.size).tolist(), strict=True)), np.int64, len(e))
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, e.id)
+    late = e.id > least[kind]
+    yield e.id[late], e.th[late], e.pos[late], e.size[late]
+    e, kind, anchor = e.take(np.flatnonzero(~late)), kind[~late], anchor[~late]
+    # One entry of each kind stands for it in the byte passes, where its anchor has other kinds.
+    shown = np.unique(kind, return_index=True)[1]
+    kinds_of = np.bincount(anchor[shown], minlength=int(anchor.max()) + 1)
+    shown = shown[kinds_of[anchor[shown]] > 1]
+    if not len(shown):
+        return
+    order = np.argsort(kind, kind="stable")
+    begin = np.searchsorted(kind[order], np.arange(len(known) + 1))
+    share = np.cumsum(e.size[shown].astype(np.int64) - WINDOW + 1) >> 21
+    # At most some two million suffixes at a time, whole anchors together.
+    part = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(anchor[shown]) != 0)), share, 0))
+    for p in np.unique(part):
+        pick = shown[part == p]
+        n = e.size[pick].astype(np.int64) - WINDOW + 1
+        owner = np.repeat(pick, n)
+        shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        group = anchor[owner].astype(np.int64) * 256 + e.rel[owner] - shift
+        at, group = equal_suffixes(e.a, e.start[owner] + shift, group)
+        if not len(at):
+            continue
+        # Which entry a suffix lies in: entries that are shown do not overlap.
+        by = pick[np.argsort(e.start[pick])]
+        owner = by[np.searchsorted(e.start[by], at, side="right") - 1]
+        low = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, group, e.id[owner])
+        gone = e.id[owner] > low[group]
+        owner, shift = owner[gone], (at - e.start[owner])[gone]
+        order2 = np.lexsort((shift, owner))
+        owner, shift = owner[order2], shift[order2]
+        if not len(owner):
+            continue
+        edge = np.concatenate(([True], (owner[1:] != owner[:-1]) | (shift[1:] != shift[:-1] + 1)))
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:], len(owner)) - 1
+        # The same stretch goes from every entry of the kind (all of one document).
+        k = kind[owner[first]]
+        count = begin[k + 1] - begin[k]
+        every = order[np.repeat(begin[k] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))]
+        yield e.id[every], e.th[every], e.pos[every] + np.repeat(shift[first], count), np.repeat(shift[last] - shift[first] + WINDOW, count)
+
+
+def _sort(groups: int):
+    """Rows sorted by bucket: answers pass; each bucket's entries are sorted together."""
 
-    def one(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        docs, bodies = [], []
-        for blob in blobs:
-            at = 0
-            while at < len(blob):
-                docs.append(int.from_bytes(blob[at : at + 8], "little", signed=True))
-                n = int.from_bytes(blob[at + 8 : at + 12], "little")
-                bodies.append(blob[at + 12 : at + 12 + n])
-                at += 12 + n
-        blobs.clear()
-        sizes = np.array([len(x) for x in bodies], np.int64)
-        a = np.frombuffer(b"".join(bodies), np.uint8)
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        counts = sizes - WINDOW + 1
-        suffix = np.arange(int(counts.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
-        suffix, group = equal_suffixes(a, suffix)
-        if not len(suffix):
-            return
-        doc = np.array(docs, np.int64)[np.searchsorted(starts, suffix, side="right") - 1]
-        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc)
-        late = doc > least[group]
-        suffix, doc = suffix[late], doc[late]
-        name = np.zeros(len(suffix), np.uint64)
-        power, _ = _powers()
-        for i in range(WINDOW):
-            name += _TABLE[a[suffix + i]] * power[i]
-        out = _answers(doc, PART, _mix(name + np.full(1, WINDOW, np.uint64) * np.uint64(_P)))
-        for i in range(0, len(out), 20_000):
-            yield _rows(out[i : i + 20_000])
-
-    yield from _by_bucket(batches, one)
-
-
-def spans(text: bytes, got: dict[int, np.ndarray]) -> np.ndarray:
-    """(start, end) of each maximal stretch to remove."""
-    if not got.keys() & {WHOLE, PART}:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, now, blobs = Answers(groups), None, []
+        for b in batches:
+            passed = []
+            for bucket, q, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket < 0:
+                    passed.append((bucket, q, data))
+                    continue
+                if bucket != now:
+                    if blobs:
+                        for found in repeated(Entries.unpack(blobs)):
+                            yield from answers.add(*found)
+                    now, blobs = bucket, []
+                blobs.append(data)
+            if passed:
+                yield _rows(passed)
+        if blobs:
+            for found in repeated(Entries.unpack(blobs)):
+                yield from answers.add(*found)
+        yield from answers.flush()
+
+    return run
+
+
+def spans(size: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(start, end) of each maximal stretch that the given ones cover, from those sorted by start."""
+    if not len(start):
         return np.zeros((0, 2), np.int64)
-    change = np.zeros(len(text) + 1, np.int64)
-    for _, r in laid_out([text]):
-        off = r.offsets[0] - r.starts[0]
-        a48, b40 = _short(r.anchor, r.body)
-        name = keys(a48, b40)
-        whole = _isin(name, got.get(WHOLE))
-        np.add.at(change, r.low[whole] + off, 1)
-        np.add.at(change, r.high[whole] + WINDOW + off, -1)
-        if PART in got:
-            left = np.flatnonzero(~whole & _isin(name, got.get(OPEN)))
-            n = r.high[left] - r.low[left] + 1
-            s = np.arange(int(n.sum())) + np.repeat(r.low[left] - np.concatenate(([0], np.cumsum(n)))[:-1], n) if len(left) else np.zeros(0, np.int64)
-            s = s[_isin(r.hashed(s, s + WINDOW), got[PART])] if len(s) else s
-            np.add.at(change, s + off, 1)
-            np.add.at(change, s + WINDOW + off, -1)
-    cover = np.cumsum(change[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], cover, [False])).astype(np.int8)))
-    return edge.reshape(-1, 2)
+    start = start.astype(np.int64)
+    reach = np.maximum.accumulate(start + length)
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return np.stack((start[new], reach[np.append(new[1:], len(start)) - 1]), 1)
 
 
 OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _finish(digest: bool):
+    """Rows (q, kind, doc_id, th, data) sorted by (q, kind): answers of a group of documents, then their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for doc, got, text in _documents(batches):
-            cut = spans(text, got)
-            kept = b"".join(text[s:e] for s, e in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(text)], strict=True)) if len(cut) else text
-            if digest:
-                rows.append((doc, len(text), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(kept).hexdigest()))
-            else:
-                rows.append((doc, len(text), [{"start": s, "end": e} for s, e in cut.tolist()], kept))
-                size += len(kept)
-            if len(rows) >= 2000 or size > PIECE * 8:
-                yield made(rows)
-                rows, size = [], 0
+        now, blobs, known, rows, size = None, [], None, [], 0
+        for b in batches:
+            for q, kind, doc, th, data in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), strict=True):
+                if q != now:
+                    now, blobs, known = q, [], None
+                if kind == 0:
+                    blobs.append(data.as_py())
+                    continue
+                if known is None:
+                    id, half, start, length = Answers.unpack(blobs)  # noqa: A001
+                    order = np.lexsort((start, half, id))
+                    id, half, start, length, blobs = id[order], half[order], start[order], length[order], []  # noqa: A001
+                    new = np.flatnonzero(np.concatenate(([True], (id[1:] != id[:-1]) | (half[1:] != half[:-1])))) if len(id) else np.zeros(0, np.int64)
+                    known = {(i, h): (s, e) for i, h, s, e in zip(id[new].tolist(), half[new].tolist(), new.tolist(), [*new[1:].tolist(), len(id)][: len(new)], strict=True)}
+                text = data.as_py()
+                s, e = known.get((doc, th & 0xFFFFFFFF), (0, 0))
+                cut = spans(len(text), start[s:e], length[s:e])
+                kept = b"".join(text[x:y] for x, y in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(text)], strict=True)) if len(cut) else text
+                if digest:
+                    rows.append((doc, len(text), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(kept).hexdigest()))
+                else:
+                    rows.append((doc, len(text), [{"start": x, "end": y} for x, y in cut.tolist()], kept))
+                    size += len(kept)
+                if len(rows) >= 2000 or size > PIECE * 8:
+                    yield made(rows)
+                    rows, size = [], 0
         yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -417,50 +474,39 @@ def _finish(digest: bool):
     return run
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the way to their answers."""
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=1)
-    for b in small(batches):
-        n = b.num_rows
-        data = [z.compress(t) if t else b"" for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([TEXT] * n, pa.int32()), pa.array(data, pa.binary())], schema=SCHEMA)
+def crowded_anchors(texts: DataFrame, total: int, n: int, sample: int = 16 << 20) -> np.ndarray:
+    """Hashes of anchors that stand in over a hundredth of the documents of a sample (some ``sample`` bytes) in different
+    runs; a document has a bounded number of anchors a byte, so these are few whatever the input's size."""
+    every = max(1, total // sample)
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(every)) == 0).select("text")
+    found = some.mapInArrow(_crowded, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, n // every // 100))
+    return np.sort(found.select("anchor").toPandas()["anchor"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, digest: bool = False, bucket: int = BUCKET) -> DataFrame:
     """Each document's removed stretches and what is left of it (or the digests of op10)."""
-    text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    bounded(docs.sparkSession)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    text = docs.select(F.col("doc_id").cast("long"), F.xxhash64(raw).alias("th"), raw.alias("text"))
     known = text.where(F.col("doc_id").isNotNull())
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About 2 million runs a bucket; the low 16 bits of an anchor name it.
-    buckets = min(1 << 16, max(32, int(total // (27 << 20))))
-    answers = materialise(
-        known.mapInArrow(_deal(buckets), ROW).repartition(buckets, F.when(F.col("bucket") < 0, F.col("doc_id")).otherwise(F.col("bucket")))
-        .sortWithinPartitions("bucket").mapInArrow(_settle, ROW).select("doc_id", "kind", "data"), "runs"
-    )
-    squeezed = known.mapInArrow(_squeeze, ROW).select("doc_id", "kind", "data")
-
-    def together(*more: DataFrame) -> DataFrame:
-        rows = squeezed
-        for m in more:
-            rows = rows.unionByName(m)
-        return rows.repartition(buckets, "doc_id").sortWithinPartitions("doc_id", "kind")
-
-    parts = materialise(
-        together(answers.where(f"kind = {OPEN}")).mapInArrow(_open(buckets), ROW).repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket").mapInArrow(_sort, ROW).select("doc_id", "kind", "data"), "windows"
-    )
+    total, n = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = max(8, total // bucket + 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (32 << 20))
+    groups = 2 * parts + 1
+    hot = crowded_anchors(known, total, n)
+    dealt = known.mapInArrow(_deal(buckets, groups, hot), ROW).repartition(parts, F.when(F.col("bucket") < 0, F.col("q")).otherwise(F.col("bucket") + F.lit(1 << 24)))
+    answers = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(_sort(groups), ROW).select("q", "data"), "answers")
+    none = F.lit(None).cast("long")
+    rows = answers.select("q", F.lit(0).alias("kind"), none.alias("doc_id"), none.alias("th"), "data").unionByName(
+        known.select(group_column(groups).alias("q"), F.lit(1).alias("kind"), "doc_id", "th", F.col("text").alias("data"))
+    )
+    out = rows.repartition(parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_finish(digest), DIGEST if digest else OUT)
+    rest = text.where(F.col("doc_id").isNull())
     if digest:
-        out = together(answers, parts).mapInArrow(_finish(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        rest = text.where(F.col("doc_id").isNull()).select(
-            "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
-        )
+        zero = F.lit(0).cast("long")
+        rest = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     else:
-        out = together(answers, parts).mapInArrow(_finish(False), OUT)
-        rest = text.where(F.col("doc_id").isNull()).select(
-            "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("removed"), F.col("text").alias("kept")
-        )
+        rest = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("removed"), F.col("text").alias("kept"))
     return out.unionByName(rest)
 
 

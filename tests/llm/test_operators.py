@@ -693,3 +693,45 @@ def test_suffixes_long_text_in_pieces(spark):
         assert (covered == 1).all()
     finally:
         suffixes.PIECE = old
+
+
+def test_suffixes_many_buckets_and_a_crowded_anchor(spark):
+    """A phrase shorter than a window in every third text, in ever different surroundings, and a passage with it in some."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    phrase, passage = word(34), word(300)
+    rows = []
+    for i in range(900):
+        t = word(int(rng.integers(40, 160)))
+        if i % 3 == 0:
+            t += phrase + word(int(rng.integers(20, 80)))
+        if i % 50 == 0:
+            t += passage[: int(rng.integers(60, 300))] + phrase + "the same behind it in every such text"
+        rows.append((int(rng.integers(0, 2000)), t))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts = df.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    hot = suffixes.crowded_anchors(texts, 100_000, 900)
+    assert 0 < len(hot) < 60
+    n = sum(len(t) for _, t in rows)
+    assert n // 2000 > 32
+    want = brute_repeats([(d, t.encode()) for d, t in rows])
+    assert as_counter(suffixes.repeats(df, digest=True, bucket=2000)) == want
+    assert as_counter(suffixes.op10_suffixes(df.repartition(1))) == want
+
+
+def test_suffixes_hashes_decide_nothing(spark, monkeypatch):
+    """With body hashes that all collide the answers are the same: bytes decide."""
+    rows = [(i, ("x%d " % (i % 7)) * 40 + "shared passage that all of the texts here have in common, word by word" + str(i) * 60) for i in range(40)]
+    plain = suffixes.Runs.hashed
+    monkeypatch.setattr(suffixes.Runs, "hashed", lambda self, s, e: plain(self, s, e) & np.uint64(0xF00))
+    ids, texts = [r[0] for r in rows], [r[1].encode() for r in rows]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts, pa.binary())], ["a", "b", "c"])
+    out = [tuple(v.values()) for b in suffixes._deal(4, 3, np.zeros(0, np.uint64))(iter([batch])) for v in b.to_pylist()]
+    out = [tuple(v.values()) for b in suffixes._sort(3)(iter([suffixes._rows(sorted(out, key=lambda r: r[0]))])) for v in b.to_pylist()]
+    gone = defaultdict(set)
+    for i, _, start, size in zip(*suffixes.Answers.unpack([d for *_, d in out]), strict=True):
+        gone[int(i)] |= set(range(int(start), int(start) + int(size)))
+    want = {d: removed for (d, _, removed, _, _), _ in brute_repeats(list(zip(ids, texts, strict=True))).items()}
+    assert {i: len(gone[i]) for i in ids} == want
