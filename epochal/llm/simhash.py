@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded, connected_components, materialise, passes, small
+from .common import append, bitmap, bounded, connected_components, materialise, passes, small
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS, WIDTH, MAX_BITS = 8, 8, 3
@@ -276,7 +276,7 @@ def links(fps: DataFrame, bucket: int = 4096) -> DataFrame:
 
 
 #: A group of at most so many shingles is compared in one task.
-WHOLE = 1 << 18
+WHOLE = 1 << 20
 LEADERS, TURNS = 4, 8
 _FAR = 0.2 + 1e-9  # distance of two linked sets, at most
 
@@ -412,7 +412,7 @@ def _large(sets: DataFrame, whole: int) -> DataFrame:
     fits a task; what is left after the last turn is compared pair by pair.
     """
     fits = F.expr("5 * n >= 4 * n2 and 5 * n2 >= 4 * n")
-    found, left = [], sets
+    found, left = None, sets
     for turn in range(TURNS):
         draw = [F.min(F.struct(F.xxhash64("_sid", F.lit(LEADERS * turn + i)).alias("h"), "_sid"))["_sid"] for i in range(LEADERS)]
         drawn = left.groupBy("comp").agg(F.array_distinct(F.array(*draw)).alias("l"), F.ceil(F.sum("n") / F.lit(whole)).cast("int").alias("parts"))
@@ -424,26 +424,24 @@ def _large(sets: DataFrame, whole: int) -> DataFrame:
         members = left.join(drawn.select("comp", "parts"), "comp").select("comp", F.pmod(F.xxhash64("_sid"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("lead"), "_sid", "f", "n", "set")
         dealt = leaders.unionByName(members).repartition("comp", "salt").sortWithinPartitions("comp", "salt", "lead", "_sid")
         rated = materialise(dealt.mapInArrow(_rate, RATED), "rated")
-        found.append(rated.where("at is not null").select(F.col("f").alias("u"), F.col("to").alias("v")))
+        new = rated.where("at is not null").select(F.col("f").alias("u"), F.col("to").alias("v"))
         gone = rated.where("at is not null").select("comp", "at", F.col("_sid").alias("a"), "n", F.get("far", "at").alias("p"), F.col("far").alias("far_a")).where("p > 0")
         others = rated.select("comp", F.col("_sid").alias("b"), F.col("n").alias("n2"), F.col("at").alias("own"), F.col("far").alias("far_b"), F.posexplode("far").alias("at", "q"))
         others = others.where((F.col("q") <= 2 * _FAR) & ~F.col("at").eqNullSafe(F.col("own")))
         close = F.forall(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x - y) <= _FAR), lambda ok: ok)
         pairs = gone.join(others, ["comp", "at"]).where(fits & (F.col("q") - F.col("p") <= _FAR) & close).select("a", "b")
-        found.append(_compared(pairs, sets))
+        new = new.unionByName(_compared(pairs, sets))
         rest = rated.where("at is null").select("comp", "_sid", "n")
         weight = rest.groupBy("comp").agg(F.sum("n").alias("w"))
         rest = materialise(sets.join(rest.join(weight, "comp").select("_sid", "w"), "_sid").select("comp", "_sid", "f", "n", "w", "set"), "rest")
-        found.append(_together(rest.where(F.col("w") <= whole)))
+        # A turn's links are written before the next begins, so plans do not grow with turns.
+        found = append(new.unionByName(_together(rest.where(F.col("w") <= whole))), found, "near")
         left = rest.where(F.col("w") > whole).drop("w")
     else:
         narrow = left.select("comp", F.col("_sid").alias("a"), "n")
         pairs = narrow.join(left.select("comp", F.col("_sid").alias("b"), F.col("n").alias("n2")), "comp").where((F.col("a") < F.col("b")) & fits).select("a", "b")
-        found.append(_compared(pairs, sets))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        found = append(_compared(pairs, sets), found, "near")
+    return found
 
 
 def near_links(docs: DataFrame, prints: DataFrame, words: int, whole: int = WHOLE) -> DataFrame:
