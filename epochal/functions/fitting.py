@@ -164,6 +164,8 @@ def temporal_features(t: np.ndarray, v: np.ndarray, nstd: float = 1.0, latest: f
         pre = main
     opposite = np.sign(v[pre]) != np.sign(v[main])
     out["transience"] = float(min(1.0, 2 * abs(v[pre]) / (abs(v[main]) + abs(v[pre])))) if opposite else 0.0
+    if (np.diff(t) <= 0).any():
+        raise ValueError("a time course has one value a time")
     f = natural_spline(t, v)
     near = np.linspace(t[main] - 0.1, t[main] + 0.1, 1001)
     out["peak_lag"] = float(-near[np.argmax(f(near))])
@@ -383,3 +385,63 @@ def spread_explained(cov: np.ndarray, loadings: np.ndarray) -> float:
     q, r = np.linalg.qr(loadings.T)
     q = q[:, np.abs(np.diag(r)) > 1e-9]
     return float(np.trace(q.T @ cov @ q) / np.trace(cov))
+
+
+class Mixture:
+    """A Gaussian mixture: weights, means, and a covariance a component (or one for all)."""
+
+    def __init__(self, weights, means, covs, loglik: float, params: float):
+        self.weights, self.means, self.covs, self.loglik, self.params = weights, means, covs, loglik, params
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """Log of weight times density of each row under each component."""
+        out = np.empty((len(x), len(self.weights)))
+        for j, (w, m, c) in enumerate(zip(self.weights, self.means, self.covs, strict=True)):
+            half = np.linalg.cholesky(c)
+            z = np.linalg.solve(half, (x - m).T)
+            out[:, j] = np.log(w) - 0.5 * (z * z).sum(0) - np.log(np.diag(half)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+        return out
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.logs(x).argmax(1)
+
+
+def fit_mixture(x: np.ndarray, k: int, kind: str, seed: int = 0, rounds: int = 200, floor: float = 1e-6) -> Mixture:
+    """Expectation maximisation from spread-out rows; ``kind`` of covariance: spherical, tied, diag or full."""
+    rng = np.random.default_rng(seed)
+    n, dim = x.shape
+    k = min(k, n)
+    means = [x[rng.integers(n)]]
+    for _ in range(1, k):
+        d = np.min([((x - m) ** 2).sum(1) for m in means], axis=0)
+        means.append(x[rng.choice(n, p=d / d.sum())] if d.sum() > 0 else x[rng.integers(n)])
+    means = np.array(means)
+    start = np.diag(x.var(0) + floor)
+    m = Mixture(np.full(k, 1 / k), means, [start] * k, -np.inf, 0.0)
+    before = -np.inf
+    for _ in range(rounds):
+        logs = m.logs(x)
+        top = logs.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+        loglik = float(total.sum())
+        r = np.exp(logs - total[:, None])
+        nk = r.sum(0) + 1e-12
+        means = (r.T @ x) / nk[:, None]
+        each = []
+        for j in range(k):
+            d = x - means[j]
+            full = (d * r[:, j : j + 1]).T @ d / nk[j]
+            if kind == "spherical":
+                full = np.eye(dim) * np.trace(full) / dim
+            elif kind == "diag":
+                full = np.diag(np.diag(full))
+            each.append(full)
+        if kind == "tied":
+            each = [sum(c * w for c, w in zip(each, nk / n, strict=True))] * k
+        m = Mixture(nk / nk.sum(), means, [c + floor * np.eye(dim) for c in each], loglik, 0.0)
+        if loglik - before < 1e-6 * max(1.0, abs(loglik)):
+            break
+        before = loglik
+    shape = {"spherical": k, "diag": k * dim, "tied": dim * (dim + 1) / 2, "full": k * dim * (dim + 1) / 2}[kind]
+    m.params = k - 1 + k * dim + shape
+    return m

@@ -23,21 +23,43 @@ def butterworth(order: int, cutoff: float, fs: float) -> np.ndarray:
     return np.array(out)
 
 
-def lowpass(x: np.ndarray, fs: float, cutoff: float, order: int = 6) -> np.ndarray:
-    """Zero-phase low-pass: forward and backward over the mirrored trace."""
+def recurse(x: np.ndarray, section: np.ndarray, block: int = 64) -> np.ndarray:
+    """A second-order recursion over ``x``, settled at its first value, a block of samples at a time: within a block the output is the response to
+    the block's input plus that to the two outputs before it, both matrices that are made once."""
+    b0, b1, b2, a1, a2 = section
+    h = np.zeros(block)  # impulse response of 1 / (1 + a1 z + a2 z^2)
+    g = np.zeros((block, 2))  # response to the outputs one and two samples before
+    one, two = 0.0, 0.0
+    for i in range(block):
+        h[i] = (1.0 if i == 0 else 0.0) - a1 * one - a2 * two
+        one, two = h[i], one
+    for j, (p, q) in enumerate(((1.0, 0.0), (0.0, 1.0))):
+        for i in range(block):
+            g[i, j] = -a1 * p - a2 * q
+            p, q = g[i, j], p
+    lower = np.array([[h[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+    padded = np.concatenate(([x[0], x[0]], x))
+    feed = b0 * x + b1 * padded[1:-1] + b2 * padded[:-2]
+    out = np.empty(len(x))
+    last = np.array([x[0], x[0]]) * ((b0 + b1 + b2) / (1 + a1 + a2))
+    for s in range(0, len(x), block):
+        n = min(block, len(x) - s)
+        out[s : s + n] = lower[:n, :n] @ feed[s : s + n] + g[:n] @ last
+        last = np.array([out[s + n - 1], out[s + n - 2] if n > 1 else last[0]])
+    return out
+
+
+def lowpass(x: np.ndarray, fs: float, cutoff: float, order: int = 6, zero_phase: bool = True) -> np.ndarray:
+    """Low-pass, forward and backward over the mirrored trace (zero phase), or forward only."""
     pad = min(len(x) - 1, 3 * order)
     y = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1])) if pad else x.astype(float)
-    for _ in range(2):
-        for b0, b1, b2, a1, a2 in butterworth(order, cutoff, fs):
-            # Start settled at the first value, so that a constant passes unchanged.
-            z1, z2 = y[0] * (1 - b0), y[0] * (b2 - a2)
-            out = np.empty(len(y))
-            for i, v in enumerate(y.tolist()):
-                o = b0 * v + z1
-                z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-                out[i] = o
-            y = out
-        y = y[::-1]
+    if not zero_phase:
+        y, pad = x.astype(float), 0
+    for _ in range(2 if zero_phase else 1):
+        for section in butterworth(order, cutoff, fs):
+            y = recurse(y, section)
+        if zero_phase:
+            y = y[::-1]
     return y[pad : len(y) - pad] if pad else y
 
 

@@ -103,3 +103,11 @@ def scan_type(nx: Column, ny: Column, nz: Column) -> Column:
 def surround_strength(lo_on: Column, gl_on: Column, lo_off: Column, gl_off: Column, lp: Column, gp: Column) -> Column:
     """(local - global) / local of the common polarity; null if polarities differ."""
     return F.when((lp > 0) & (gp > 0), F.try_divide(lo_on - gl_on, lo_on)).when((lp < 0) & (gp < 0), F.try_divide(lo_off - gl_off, lo_off))
+
+
+def corr(a, b) -> Column:
+    """Pearson correlation as an aggregate; null where either side does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -38,10 +38,15 @@ def anti(df: DataFrame, by) -> DataFrame:
     return df.where(~reduce(lambda a, b: a | b, [F.coalesce(_condition(df, x), F.lit(False)) for x in conditions], F.lit(False)))
 
 
-def natural_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Equi-join on all shared columns; without any, every pair (only for stated parameter tables)."""
+def natural_join(a: DataFrame, b: DataFrame, parameters: int = 0) -> DataFrame:
+    """Equi-join on all shared columns.  Without any it is an error, unless ``b`` is a parameter table of at most
+    ``parameters`` rows, which is counted and then broadcast."""
     on = shared(a, b)
-    return a.join(b, on) if on else a.crossJoin(b)
+    if on:
+        return a.join(b, on)
+    if not parameters or b.limit(parameters + 1).count() > parameters:
+        raise ValueError("the tables share no column, and the second is no small parameter table")
+    return a.crossJoin(F.broadcast(b))
 
 
 def with_params(keys: DataFrame, params: list[dict]) -> DataFrame:
@@ -121,6 +126,36 @@ def merge_keys(one: dict, two: dict) -> dict:
     return one | two
 
 
+def closest_rows(df: DataFrame, other: DataFrame) -> bool:
+    """Do two tables have the same columns and rows, repeats counted?"""
+    if sorted(df.columns) != sorted(other.columns):
+        return False
+    a, b = df, other.select(*df.columns)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def fetch_keys(df: DataFrame, key: list[str]) -> list[dict]:
+    """The keys as dicts (at the edge of the API only)."""
+    return [r.asDict() for r in df.select(*key).distinct().collect()]
+
+
+def numbers_equal(a, b, relative: float = 1e-5) -> bool:
+    """Equality of nested values: numbers within a relative tolerance, NaN like NaN, arrays item by item."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(numbers_equal(a[k], b[k], relative) for k in a)
+    if isinstance(a, list | tuple) and isinstance(b, list | tuple):
+        return len(a) == len(b) and all(numbers_equal(x, y, relative) for x, y in zip(a, b, strict=True))
+    if isinstance(a, float) or isinstance(b, float):
+        return (a != a and b != b) or abs(a - b) <= relative * max(abs(a), abs(b), 1e-300)
+    return a == b
+
+
+def grouped(df: DataFrame, by: list[str], *values: str) -> DataFrame:
+    """Results by parameter: number, mean and extremes of each value."""
+    each = [f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *each)
+
+
 def secondary(df: DataFrame, key: list[str]) -> list[str]:
     return [c for c in df.columns if c not in key]
 

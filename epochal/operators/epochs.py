@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.functions.scalars import corr
+
 
 def asof(targets: DataFrame, data: DataFrame, key: str, time: str, value: str, how: str = "backward", tolerance: float | None = None) -> DataFrame:
     """Each target with the nearest datum before it, after it, or on either side (the earlier of two
@@ -47,13 +49,14 @@ def ffill_lookup(rows: DataFrame, dated: list[tuple], date: str, columns: list[s
 
 
 def epoch_starts(samples: DataFrame, key: str, is_trigger, every: int = 1) -> DataFrame:
-    """(key, start, k, rep): starts of epochs at every n-th trigger, length k the floored median step;
-    every epoch that is not complete is dropped."""
+    """(key, start, k, rep): starts of epochs at every n-th trigger, length k the floored median step (of a lone
+    epoch: to the end of the trace); every epoch that is not complete is dropped."""
     w = Window.partitionBy(key).orderBy("i")
     t = samples.where(is_trigger).select(key, F.col("i").alias("start"), "n", F.row_number().over(w).alias("_r")).where((F.col("_r") - 1) % every == 0)
     w = Window.partitionBy(key).orderBy("start")
     t = t.withColumn("_d", F.lead("start").over(w) - F.col("start"))
-    t = t.withColumn("k", F.floor(F.percentile("_d", F.lit(0.5)).over(Window.partitionBy(key))).cast("int"))
+    step = F.floor(F.percentile("_d", F.lit(0.5)).over(Window.partitionBy(key))).cast("int")
+    t = t.withColumn("k", F.coalesce(step, (F.col("n") - F.col("start") + 1).cast("int")))
     t = t.where(F.col("start") + F.col("k") - 1 <= F.col("n"))
     return t.select(key, "start", "k", F.row_number().over(w).alias("rep"))
 
@@ -71,17 +74,19 @@ def averages(s: DataFrame, key: str) -> DataFrame:
 
 
 def repeat_qi(s: DataFrame, key: str) -> DataFrame:
-    """Quality: variance of the mean response over the mean variance of the repeats."""
-    mean = s.groupBy(key, "t").agg(F.avg("v").alias("m")).groupBy(key).agg(F.var_pop("m").alias("a"))
-    per = s.groupBy(key, "rep").agg(F.var_pop("v").alias("x")).groupBy(key).agg(F.avg("x").alias("b"), F.count(F.lit(1)).alias("reps"))
-    return mean.join(per, key).select(key, F.when(F.col("b") != 0, F.col("a") / F.col("b")).alias("qidx"), (F.lit(1.0) / F.col("reps")).alias("min_qidx"))
+    """Quality: variance of the mean response over the mean variance of the repeats.  Both come from one unrolling of the
+    snippets, each sample once for its time and once for its repeat."""
+    axis = F.explode(F.array(F.struct(F.lit(0).alias("a"), F.col("t").cast("long").alias("u")), F.struct(F.lit(1).alias("a"), F.col("rep").cast("long").alias("u"))))
+    part = s.select(key, "v", axis.alias("x")).groupBy(key, "x.a", "x.u").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    g = part.groupBy(key).agg(F.var_pop(F.when(F.col("a") == 0, F.col("m"))).alias("p"), F.avg(F.when(F.col("a") == 1, F.col("s"))).alias("b"), F.count(F.when(F.col("a") == 1, F.lit(1))).alias("reps"))
+    return g.select(key, F.when(F.col("b") != 0, F.col("p") / F.col("b")).alias("qidx"), (F.lit(1.0) / F.col("reps")).alias("min_qidx"))
 
 
 def repeat_correlation(s: DataFrame, key: str) -> DataFrame:
     """Mean correlation over pairs of repeats (a before b).  Repeats of a key meet pairwise by definition;
     moments are summed in the JVM and nothing is collected."""
     a, b = s.select(key, "t", F.col("rep").alias("ra"), F.col("v").alias("va")), s.select(key, "t", F.col("rep").alias("rb"), F.col("v").alias("vb"))
-    c = a.join(b, [key, "t"]).where("ra < rb").groupBy(key, "ra", "rb").agg(F.corr("va", "vb").alias("c"))
+    c = a.join(b, [key, "t"]).where("ra < rb").groupBy(key, "ra", "rb").agg(corr("va", "vb").alias("c"))
     return c.groupBy(key).agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("rep_corr"))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.functions.scalars import corr
+
 
 def contrast(a: Column, b: Column) -> Column:
     """(a - b) / (a + b), 0 where the sum is tiny."""
@@ -107,7 +109,7 @@ def split(samples: DataFrame, train: float = 0.8, dev: float = 0.1) -> DataFrame
 
 def explained_variance(df: DataFrame, key: str, y: str, fit: str) -> DataFrame:
     v = F.var_pop(y)
-    return df.groupBy(key).agg(F.when(v != 0, 1 - F.var_pop(F.col(y) - F.col(fit)) / v).alias("explained"), F.corr(y, fit).alias("cc"), F.avg((F.col(y) - F.col(fit)) * (F.col(y) - F.col(fit))).alias("mse"))
+    return df.groupBy(key).agg(F.when(v != 0, 1 - F.var_pop(F.col(y) - F.col(fit)) / v).alias("explained"), corr(y, fit).alias("cc"), F.avg((F.col(y) - F.col(fit)) * (F.col(y) - F.col(fit))).alias("mse"))
 
 
 def permutation_p(r: DataFrame, key: str, direction: str, response: str, n_dirs: int, n: int = 100, seed: int = 1) -> DataFrame:

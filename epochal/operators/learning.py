@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.functions.scalars import corr
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,7 +22,7 @@ def order_by_correlation(means: DataFrame, key: str, vector: str) -> DataFrame:
     """Rank of each (of few) traces by correlation with the trace most correlated to all."""
     a = means.select(F.col(key).alias("a"), F.posexplode(vector).alias("p", "x"))
     b = means.select(F.col(key).alias("b"), F.posexplode(vector).alias("p", "y"))
-    c = a.join(b, "p").groupBy("a", "b").agg(F.corr("x", "y").alias("c"))
+    c = a.join(b, "p").groupBy("a", "b").agg(corr("x", "y").alias("c"))
     total = c.groupBy("a").agg(F.sum("c").alias("s"))
     top = total.groupBy().agg(F.min_by("a", F.struct(-F.round("s", 9), "a")).alias("top"))
     picked = c.join(F.broadcast(top), c["a"] == top["top"])  # one row
@@ -55,24 +58,176 @@ def forest(df: DataFrame, vector: str, label: str, trees: int = 100, seed: int =
     return RandomForestClassifier(featuresCol="_v", labelCol=label, weightCol="_w", numTrees=trees, seed=seed).fit(d)
 
 
-def mixture(df: DataFrame, vector: str, ks: range, seed: int = 0):
-    """Gaussian mixture (full covariance) with the best Bayesian criterion over ``ks``."""
+def mixture(df: DataFrame, vector: str, ks: range, seed: int = 0, kinds: tuple[str, ...] = ("full",), metric: str = "bic", most: int = 20_000):
+    """Gaussian mixture with the best criterion (``bic``, ``aic`` or ``likelihood``) over ``ks`` and covariance ``kinds`` (``spherical``,
+    ``tied``, ``diag``, ``full``): (criterion, k, model).
+
+    Full covariances are fitted by Spark ML on all rows.  The other kinds, which it lacks, are fitted in numpy on at most ``most`` vectors
+    (those of least hash); the model gives ``predict`` of an array, and :func:`assign_mixture` applies it to all rows."""
     import math
 
+    import numpy as np
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 
-    d = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    n, dim = d.count(), len(d.select(vector).first()[0])
+    from epochal.functions.fitting import fit_mixture
+
+    def criterion(loglik: float, params: float, n: int) -> float:
+        return {"bic": params * math.log(n) - 2 * loglik, "aic": 2 * params - 2 * loglik, "likelihood": -loglik}[metric]
+
     best = None
-    for k in ks:
-        m = GaussianMixture(featuresCol="_v", k=k, seed=seed).fit(d)
-        bic = (k - 1 + k * dim + k * dim * (dim + 1) / 2) * math.log(n) - 2 * m.summary.logLikelihood
-        if best is None or bic < best[0]:
-            best = (bic, k, m)
+    if "full" in kinds:
+        d = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+        n, dim = d.count(), len(d.select(vector).first()[0])
+        for k in ks:
+            m = GaussianMixture(featuresCol="_v", k=k, seed=seed).fit(d)
+            value = criterion(m.summary.logLikelihood, k - 1 + k * dim + k * dim * (dim + 1) / 2, n)
+            if best is None or value < best[0]:
+                best = (value, k, m)
+    others = [x for x in kinds if x != "full"]
+    if others:
+        rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector), vector).limit(most).select(vector).collect()  # at most ``most``
+        x = np.array([r[0] for r in rows], float)
+        for kind in others:
+            for k in ks:
+                m = fit_mixture(x, k, kind, seed)
+                value = criterion(m.loglik, m.params, len(x))
+                if best is None or value < best[0]:
+                    best = (value, k, m)
     return best
 
 
+def assign_mixture(df: DataFrame, vector: str, model) -> DataFrame:
+    """Rows with the ``cluster`` of a numpy mixture."""
+    import numpy as np
+
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("int")
+    def of(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.predict(np.array(v.tolist(), float)), dtype="int32") if len(v) else pd.Series([], dtype="int32")
+
+    return df.withColumn("cluster", of(F.col(vector).cast("array<double>")))
+
+
+def sort_clusters(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """Rows with ``sorted``: clusters numbered anew, in falling order of the correlation of their mean trace with that of the largest
+    cluster; -1 stays.  New numbers are the old ones in order."""
+    real = rows.where(F.col(cluster) != -1)
+    each = real.select(cluster, F.posexplode(vector).alias("p", "x")).groupBy(cluster, "p").agg(F.avg("x").alias("m"))
+    size = real.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    top = size.groupBy().agg(F.min_by(F.col(cluster), F.struct(-F.col("n"), F.col(cluster))).alias("_c"))
+    lead = each.join(F.broadcast(top), F.col(cluster) == F.col("_c")).select("p", F.col("m").alias("_m"))  # one row is broadcast
+    cc = each.join(lead, "p").groupBy(cluster).agg(F.round(corr("m", "_m"), 9).alias("cc"))
+    by_cc = cc.withColumn("_r", F.row_number().over(Window.orderBy(F.col("cc").desc(), F.col(cluster).desc())))  # one row a cluster
+    names = size.select(F.col(cluster).alias("sorted"), F.row_number().over(Window.orderBy(cluster)).alias("_r"))
+    table = by_cc.join(names, "_r").select(cluster, "sorted")
+    return rows.join(table, cluster, "left").withColumn("sorted", F.coalesce("sorted", F.lit(-1)))
+
+
+def trained(df: DataFrame, vector: str, label: str, key: str, trees: int = 1000, seed: int = 0) -> tuple:
+    """(model, scores): a balanced forest fitted on four fifths of the rows (by hash of the key), its accuracy on them and on the rest, and,
+    fitted again on all, on all."""
+    held = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(5)) == 0
+    first = forest(df.where(~held), vector, label, trees, seed)
+    final = forest(df, vector, label, trees, seed)
+
+    def accuracy(model, rows: DataFrame):
+        from pyspark.ml.functions import array_to_vector
+
+        out = model.transform(rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>"))))
+        return out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+
+    return final, {"train": accuracy(first, df.where(~held)), "test": accuracy(first, df.where(held)), "all": accuracy(final, df)}
+
+
+def classify(df: DataFrame, vector: str, model) -> DataFrame:
+    """Rows with ``probabilities`` of all classes, the class of the largest, and that as ``confidence``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    out = model.transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>"))))
+    out = out.withColumn("probabilities", vector_to_array("probability"))
+    best = F.array_max("probabilities")
+    return out.withColumns({"cell_class": F.array_position("probabilities", best).cast("int") - 1, "confidence": best}).select(*df.columns, "probabilities", "cell_class", "confidence")
+
+
+def confident(rows: DataFrame, least: float, other: int = -1) -> DataFrame:
+    """Rows with the class only where the confidence is at least ``least``."""
+    return rows.withColumn("cell_class", F.when(F.col("confidence") >= least, F.col("cell_class")).otherwise(F.lit(other)))
+
+
+def cell_features(rows: DataFrame, chirp: str, bar: str, p_value: str, area: str, chirp_basis: list[list[float]], bar_basis: list[list[float]]) -> DataFrame:
+    """Rows with ``features``: dot products with the chirp and bar filters, the tuning's p-value and the region's area; and their names."""
+    parts = [dot(F.col(c), F.array(*[F.lit(float(x)) for x in b])) for c, basis in ((chirp, chirp_basis), (bar, bar_basis)) for b in basis]
+    names = [f"chirp_{i}" for i in range(len(chirp_basis))] + [f"bar_{i}" for i in range(len(bar_basis))] + ["bar_ds_pvalue", "roi_size_um2"]
+    return rows.withColumns({"features": F.array(*parts, F.col(p_value).cast("double"), F.col(area).cast("double")), "feature_names": F.array(*map(F.lit, names))})
+
+
+#: Samples and step of the published chirp and bar responses.
+CHIRP_SAMPLES, CHIRP_SECONDS, BAR_SAMPLES, STEP, BASE = 249, 32.0, 32, 0.128, 8
+
+
+def interpolated(v: Column, dt: float, at: list[float], shift: float = 0.0, extend: bool = False) -> Column:
+    """An array of samples every ``dt`` (from ``shift`` on), linear at the times ``at``: held beyond the ends, or, with ``extend``, carried on."""
+    def one(t: float) -> Column:
+        x = (t - shift) / dt
+        last = F.size(v) - 1
+        low = F.greatest(F.lit(0), F.least(F.floor(F.lit(x)).cast("int"), last - 1)) if extend or x >= 0 else F.lit(0)
+        part = F.lit(x) - low
+        if not extend:
+            part = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+        a, b = F.get(v, low), F.coalesce(F.get(v, low + 1), F.get(v, low))
+        return a + (b - a) * part
+
+    return F.array(*[one(t) for t in at])
+
+
+def median_of(v: Column, n: int) -> Column:
+    """Median of the first ``n`` items."""
+    s = F.array_sort(F.slice(v, 1, n))
+    return (F.get(s, F.lit((n - 1) // 2)) + F.get(s, F.lit(n // 2))) / 2
+
+
+def amplitude_one(rows: DataFrame, column: str, base: int = BASE) -> DataFrame:
+    """Less the median of the first ``base`` items, over the largest size."""
+    d = rows.withColumn("_b", median_of(F.col(column), base)).withColumn(column, F.transform(column, lambda x: x - F.col("_b"))).drop("_b")
+    top = F.array_max(F.transform(column, F.abs))
+    return d.withColumn("_t", top).withColumn(column, F.transform(column, lambda x: F.try_divide(x, F.col("_t")))).drop("_t")
+
+
+def published_chirp(rows: DataFrame, column: str, dt: float, shift: int = 1) -> DataFrame:
+    """Chirp averages on the published grid: ``shift`` steps later, baseline taken off, largest size 1."""
+    at = [CHIRP_SECONDS * i / (CHIRP_SAMPLES - 1) for i in range(CHIRP_SAMPLES)]
+    return amplitude_one(rows.withColumn(column, interpolated(F.col(column), dt, at, shift * STEP)), column)
+
+
+def published_bar(rows: DataFrame, column: str, dt: float, shift: int = -4) -> DataFrame:
+    """Bar time courses on the published grid, turned by ``shift`` samples, baseline taken off, largest size 1."""
+    v = interpolated(F.col(column), dt, [i * STEP for i in range(BAR_SAMPLES)], 0.0, True)
+    d = rows.withColumn("_v", v)
+    turned = F.transform(F.sequence(F.lit(0), F.lit(BAR_SAMPLES - 1)), lambda i: F.get("_v", F.pmod(i - shift, F.lit(BAR_SAMPLES))))
+    return amplitude_one(d.withColumn(column, turned).drop("_v"), column)
+
+
+def warped_chirp(rows: DataFrame, column: str, dt: float = STEP) -> DataFrame:
+    """Chirp averages on the published grid, whose second 80 samples are a little longer, largest size 1."""
+    step = [0.0]
+    for i in range(1, CHIRP_SAMPLES):
+        step.append(step[-1] + (1 / 7.5 if 80 <= i < 160 else STEP))
+    d = rows.withColumn(column, interpolated(F.col(column), dt, step, STEP))
+    return d.withColumn("_t", F.array_max(F.transform(column, F.abs))).withColumn(column, F.transform(column, lambda x: F.try_divide(x, F.col("_t")))).drop("_t")
+
+
+def role_matrix(averages: DataFrame, unit: str, role: str, roles: list[str], vector: str, tolerance: float = 0.15) -> DataFrame:
+    """Units that have a trace of every role, one column a role, each cut to the role's shortest; an error where lengths of a role
+    differ by more than ``tolerance``."""
+    size = averages.where(F.col(role).isin(*roles)).groupBy(role).agg(F.min(F.size(vector)).alias("_l"), F.max(F.size(vector)).alias("_h"))
+    ok = F.when(F.col("_h") - F.col("_l") <= tolerance * F.col("_h"), F.col("_l")).otherwise(F.raise_error(F.lit("traces of a role differ in length")).cast("int"))
+    cut = averages.join(size.select(role, ok.alias("_n")), role).select(unit, role, F.slice(vector, F.lit(1), F.col("_n")).alias("_v"))
+    wide = cut.groupBy(unit).agg(*[F.max(F.when(F.col(role) == r, F.col("_v"))).alias(r) for r in roles])
+    return wide.where(" and ".join(f"`{r}` is not null" for r in roles))
+
+
 def roll_up(probs: DataFrame, key: str, levels: list[str], prob: str) -> DataFrame:
     """Summed probability of each class at each level of a hierarchy; one pass over unrolled levels."""
     each = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("class")) for c in levels])
@@ -130,10 +285,10 @@ def sparse_pca(df: DataFrame, vector: str, k: int, share: float = 0.2):
     return df.withColumn("spc", F.array(*each)), loadings, spread_explained(c, loadings)
 
 
-def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, most: int = 1000, seed: int = 0) -> DataFrame:
-    """Adds ``cluster`` by bottom-up clustering of the distinct vectors, or, above ``most`` of them, of that
-    many k-means centres weighted by their members (so the quadratic step has a fixed size). A null vector
-    has a null cluster."""
+def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, most: int = 4096, seed: int = 0, approximate: bool = False) -> DataFrame:
+    """Adds ``cluster`` by bottom-up clustering of the distinct vectors, of which there may be at most ``most`` (its quadratic step
+    is the driver's).  With ``approximate``, that many k-means centres, weighted by their members, stand for the vectors,
+    however many there are. A null vector has a null cluster."""
     import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -142,8 +297,10 @@ def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | No
 
     spark = df.sparkSession
     points = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
-    head = points.orderBy("_p").limit(most + 1).collect()  # at most ``most`` + 1 rows
-    if len(head) <= most:
+    if not approximate:
+        head = points.orderBy("_p").limit(most + 1).collect()  # at most ``most`` + 1 rows
+        if len(head) > most:
+            raise ValueError(f"over {most} distinct vectors: allow more, or ask for an approximate clustering")
         if not head:
             return df.withColumn("cluster", F.lit(None).cast("int"))
         x, w = np.array([r["_p"] for r in head], float), np.array([r["_w"] for r in head], float)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.functions.scalars import corr
+
 
 def overlap(a: DataFrame, b: DataFrame, on: list[str], la: str, lb: str) -> DataFrame:
     """Pixels shared by each pair of labels."""
@@ -40,12 +42,15 @@ def neighbour_correlation(stack: DataFrame, frame: str = "f") -> DataFrame:
 
 
 def neighbour_correlation_by(stack: DataFrame, key: str, frame: str = "f") -> DataFrame:
-    """The same for every key. Each sample is sent to its eight neighbours and met by an equi-join."""
-    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS])
+    """The same for every key. Each sample is sent to four of its neighbours and met by an equi-join; the correlation of a pair counts
+    for both."""
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS if (dx, dy) > (0, 0)])
     sent = stack.select(F.explode(shifts).alias("s"), key, "x", "y", frame, F.col("v").alias("w"))
     sent = sent.select(key, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), frame, "w", "s")
-    c = stack.join(sent, [key, "x", "y", frame]).groupBy(key, "x", "y", "s").agg(F.corr("v", "w").alias("c"))
-    return c.groupBy(key, "x", "y").agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("corr"))
+    c = stack.join(sent, [key, "x", "y", frame]).groupBy(key, "x", "y", "s").agg(corr("v", "w").alias("c"))
+    other = F.struct((F.col("x") - F.col("s.dx")).alias("x"), (F.col("y") - F.col("s.dy")).alias("y"))
+    both = c.select(key, "c", F.explode(F.array(F.struct("x", "y"), other)).alias("p")).select(key, "c", "p.x", "p.y")
+    return both.groupBy(key, "x", "y").agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("corr"))
 
 
 def best_shift(a: DataFrame, b: DataFrame, most: int) -> DataFrame:

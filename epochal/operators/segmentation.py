@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochal.functions.scalars import corr
+
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
@@ -149,7 +151,7 @@ def cross_correlation(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     r = F.sequence(F.lit(-most), F.lit(most))
     s = b.select(F.explode(r).alias("dx"), "x", "y", F.col("v").alias("w")).select("dx", F.explode(r).alias("dy"), "x", "y", "w")
     s = s.select("dx", "dy", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w")
-    return a.join(s, ["x", "y"]).groupBy("dx", "dy").agg(F.corr("v", "w").alias("corr"))
+    return a.join(s, ["x", "y"]).groupBy("dx", "dy").agg(corr("v", "w").alias("corr"))
 
 
 def grow(stack: DataFrame, key: str, q: float = 0.7, least_corr: float = 0.1, most: int = 25, most_x: int = 5, most_y: int = 5, least: int = 3, border: int = 1, only_seeds: bool = False) -> DataFrame:

@@ -67,9 +67,13 @@ def robust_events(df: DataFrame, key: str, n_sigma: float = 1.0) -> DataFrame:
     return df.withColumn("peak", F.when(peak, F.col("v")).otherwise(F.lit(0.0)))
 
 
-def baseline_subtract(df: DataFrame, key: str, start: str) -> DataFrame:
-    """Minus the median of the samples before the one that precedes ``start``; unchanged without any."""
-    base = F.percentile(F.when(F.col("i") < F.col(start) - 1, F.col("v")), F.lit(0.5)).over(over(key))
+def baseline_subtract(df: DataFrame, key: str, start: str, most: int | None = None) -> DataFrame:
+    """Minus the median of the samples before the one that precedes ``start`` (the last ``most`` of them, if given);
+    unchanged without any."""
+    before = F.col("i") < F.col(start) - 1
+    if most is not None:
+        before = before & (F.col("i") >= F.col(start) - 1 - most)
+    base = F.percentile(F.when(before, F.col("v")), F.lit(0.5)).over(over(key))
     return df.withColumn("vb", F.col("v") - F.coalesce(base, F.lit(0.0)))
 
 
@@ -172,10 +176,11 @@ def clip_unit(df: DataFrame, key: str, bound: float = 7.0) -> DataFrame:
     return df.withColumn("vc", F.greatest(F.lit(-bound), F.least(F.lit(bound), std_one(F.col("v"), over(key)))))
 
 
-def process(df: DataFrame, key: str, half: int = 0, order: int = 3, baseline: bool = False, positive: bool = False, standardise: int = 0, is_trigger: Column | None = None, cutoff: float = 0.0, fs: float = 1.0) -> DataFrame:
+def process(df: DataFrame, key: str, half: int = 0, order: int = 3, baseline: bool = False, positive: bool = False, standardise: int = 0, is_trigger: Column | None = None, cutoff: float = 0.0, fs: float = 1.0, baseline_most: int | None = None) -> DataFrame:
     """The preprocessing chain, in this order: edge repair, low-pass (``cutoff`` Hz at ``fs``), trend of
     2 ``half`` + 1 samples, baseline before the first trigger, no negatives, and the standard deviation
-    of the baseline (1) or of all samples (2). A step that is off leaves ``v`` as it is; ``resample`` and
+    of the baseline (1) or of all samples (2). ``baseline_most`` bounds the samples whose median is taken off, not
+    those of the deviation. A step that is off leaves ``v`` as it is; ``resample`` and
     ``block_mean`` may follow."""
     from epochal.functions.kernels import lowpass
 
@@ -193,7 +198,7 @@ def process(df: DataFrame, key: str, half: int = 0, order: int = 3, baseline: bo
     if is_trigger is not None:
         d = d.withColumn("_start", F.min(F.when(is_trigger, F.col("i"))).over(over(key)))
         if baseline:
-            d = baseline_subtract(d, key, "_start").withColumn("v", F.col("vb")).drop("vb")
+            d = baseline_subtract(d, key, "_start", baseline_most).withColumn("v", F.col("vb")).drop("vb")
     elif baseline or standardise == 1:
         raise ValueError("a baseline needs triggers")
     if positive:

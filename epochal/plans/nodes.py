@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from epochal.operators.algebra import natural_join
 
 
+#: Rows that a parent without shared key columns may have.
+PARAMETERS = 10_000
+
+
 @dataclass
 class Node:
     """name; key columns; parents by name; compute(todo keys, parents' tables) -> rows."""
@@ -20,6 +25,7 @@ class Node:
     compute: Callable[[DataFrame, dict[str, DataFrame]], DataFrame] | None = None
     keep: str | None = None  # restriction of the keys to compute
     only: dict[str, str] = field(default_factory=dict)  # restrictions of parents' rows, by parent
+    also: list[str] = field(default_factory=list)  # tables that compute reads where they are there; no part of the keys
 
 
 class Schema:
@@ -61,26 +67,75 @@ class Schema:
         out = None
         for p in self.nodes[name].parents:
             keys = self.table(p).where(self.nodes[name].only.get(p, "true")).select(*self.nodes[p].key).distinct()
-            out = keys if out is None else natural_join(out, keys)
+            out = keys if out is None else natural_join(out, keys, PARAMETERS)
         return out.where(self.nodes[name].keep) if self.nodes[name].keep else out
 
+    def tried(self, name: str) -> str:
+        """Where the keys stand that were computed, whether they gave rows or not."""
+        return f"_tried/{name}"
+
     def missing(self, name: str) -> DataFrame:
-        source = self.key_source(name)
-        on = [k for k in self.nodes[name].key if k in source.columns]
-        return source.join(self.table(name).select(*on).distinct(), on, "left_anti") if self.has(name) else source
+        """Keys of the source that were not computed yet and have no rows."""
+        out = self.key_source(name)
+        on = [k for k in self.nodes[name].key if k in out.columns]
+        for table in (name, self.tried(name)):
+            if self.has(table):
+                out = out.join(self.table(table).select(*on).distinct(), on, "left_anti")
+        return out
 
     def populate(self, name: str, limit: int | None = None) -> int:
-        """Compute the missing keys (``limit`` of them, if given) and append; returns their number."""
+        """Compute the missing keys (``limit`` of them, if given) and append; returns their number.  Keys that give no rows
+        are not computed again until :meth:`forget`."""
         node = self.nodes[name]
         todo = self.missing(name)
         if limit is not None:
             todo = todo.orderBy(*todo.columns).limit(limit)
+        pending = f"_pending/{name}-{uuid.uuid4().hex}"
+        todo.write.parquet(self.path(pending))
+        todo = self.table(pending)
         n = todo.count()
         if n:
-            node.compute(todo, {p: self.table(p) for p in node.parents}).write.mode("append").parquet(self.path(name))
+            node.compute(todo, {p: self.table(p) for p in [*node.parents, *(a for a in node.also if self.has(a))]}).write.mode("append").parquet(self.path(name))
+            todo.write.mode("append").parquet(self.path(self.tried(name)))
+        self._delete(pending)
         return n
 
+    def populate_all(self, names: list[str] | None = None) -> dict[str, int]:
+        """All computed tables whose parents are there, parents first."""
+        made = {}
+        for name in names or self.order():
+            node = self.nodes[name]
+            if node.compute and all(self.has(p) for p in node.parents):
+                made[name] = self.populate(name)
+        return made
+
+    def forget(self, name: str) -> None:
+        """Let keys without rows be tried again."""
+        self._delete(self.tried(name))
+
+    def reflect(self) -> dict[str, list[str]]:
+        """Tables that stand below the root, declared or not, with their columns."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return {n: self.table(n).columns for n in sorted(names) if not n.startswith("_")}
+
+    def inputs(self, name: str) -> list[str]:
+        """All tables that a node rests on, parents first."""
+        out: list[str] = []
+        for p in self.nodes[name].parents:
+            out += [q for q in [*self.inputs(p), p] if q not in out]
+        return out
+
     def drop(self, name: str) -> None:
+        self._delete(name)
+        self._delete(self.tried(name))
+
+    def drop_all(self) -> None:
+        for name in self.reflect():
+            self.drop(name)
+
+    def _delete(self, name: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -65,7 +65,7 @@ BASE = """s AS (SELECT user_id, event_id, event_type, value::DOUBLE AS v, epoch_
 EPOCH = (
     BASE
     + """, tr AS (SELECT user_id, i AS start, n, lead(i) OVER (PARTITION BY user_id ORDER BY i) - i AS d FROM s WHERE event_type = 'signup'),
-k AS (SELECT *, floor(median(d::DOUBLE) OVER (PARTITION BY user_id))::INTEGER AS k FROM tr),
+k AS (SELECT *, coalesce(floor(median(d::DOUBLE) OVER (PARTITION BY user_id))::INTEGER, n - start + 1) AS k FROM tr),
 st AS (SELECT user_id, start, k, row_number() OVER (PARTITION BY user_id ORDER BY start) AS rep FROM k WHERE start + k - 1 <= n),
 sn AS (SELECT st.user_id, st.rep, s.i - st.start AS t, s.v FROM st JOIN s ON s.user_id = st.user_id AND s.i >= st.start AND s.i < st.start + st.k)"""
 )
@@ -993,3 +993,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from epochal import recording_queries as _more  # noqa: E402, F401  (registers further queries)

@@ -20,5 +20,14 @@ def pair(events: DataFrame, key: str, order: list[str], time: str, is_start: Col
     return e.groupBy(key, "run").agg(F.min(F.when(F.col("_s"), F.col(time))).alias("started"), F.min(F.when(F.col("_e"), F.col(time))).alias("ended"))
 
 
+def attached(runs: DataFrame, parameters: DataFrame, key: str, time: str) -> DataFrame:
+    """Parameter lines (key, time, name, value) with the run they belong to: the one that had ended last when they were written;
+    lines before any end have none and are left out.  One running window a key, no range join."""
+    end = runs.where("ended is not null").select(key, F.col("ended").alias(time), F.col("run").alias("_r"), F.lit(0).alias("_side"))
+    both = parameters.withColumn("_side", F.lit(1)).unionByName(end, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("run", F.last("_r", ignorenulls=True).over(w)).where("_side = 1 and run is not null").select(*parameters.columns, "run")
+
+
 def error_count(events: DataFrame, key: str, level: str = "level") -> DataFrame:
     return events.groupBy(key).agg(F.count_if(F.col(level) == "ERROR").alias("errors"))
