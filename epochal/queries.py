@@ -596,48 +596,64 @@ def _grid(s, d):
     return t(s, d, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("x"), (F.col("l_partkey") % 8).cast("int").alias("y"), F.month("l_shipdate").alias("f")).agg(F.sum("l_quantity").alias("v"))
 
 
+#: One image, and two, of all rows.
+_ONE = "g AS (SELECT (l_suppkey % 8)::INTEGER AS x, (l_partkey % 8)::INTEGER AS y, 1 AS f, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+_TWO = "g AS (SELECT (l_suppkey % 8)::INTEGER AS x, (l_partkey % 8)::INTEGER AS y, (l_linenumber % 2 + 1)::INTEGER AS f, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+def _one(s, d):
+    return t(s, d, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("x"), (F.col("l_partkey") % 8).cast("int").alias("y")).agg(F.sum("l_quantity").alias("v"))
+
+
+def _two(s, d):
+    return t(s, d, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("x"), (F.col("l_partkey") % 8).cast("int").alias("y"), (F.col("l_linenumber") % 2 + 1).alias("f")).agg(F.sum("l_quantity").alias("v"))
+
+
 @query(f"""WITH {_GRID}, c AS (SELECT a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy, corr(a.v, b.v) AS c FROM g a JOIN g b ON a.f = b.f AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL)
 SELECT x, y, round(avg(CASE WHEN isfinite(c) THEN c END), 6) AS corr FROM c GROUP BY 1, 2""")
 def neighbour_corr(s, d):
     return masks.neighbour_correlation(_grid(s, d)).select("x", "y", r6("corr", "corr"))
 
 
-@query(f"""WITH {_GRID}, a AS (SELECT x, y, v FROM g WHERE f = 1), b AS (SELECT x, y, v FROM g WHERE f = 2), m AS (SELECT dx, dy, round(avg((a.v - b.v) * (a.v - b.v)), 6) AS mse
+@query(f"""WITH {_TWO}, a AS (SELECT x, y, v FROM g WHERE f = 1), b AS (SELECT x, y, v FROM g WHERE f = 2), m AS (SELECT dx, dy, round(avg((a.v - b.v) * (a.v - b.v)), 6) AS mse
   FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy), a, b WHERE a.x = b.x + dx AND a.y = b.y + dy GROUP BY 1, 2)
 SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, round(mse, 3) AS mse FROM m ORDER BY m.mse, abs(dx), abs(dy), dx, dy LIMIT 1""")
 def best_image_shift(s, d):
-    g = _grid(s, d)
+    g = _two(s, d)
     return masks.best_shift(g.where("f = 1"), g.where("f = 2"), 2).select("dx", "dy", r6("mse", "mse", 3))
 
 
-@query(f"WITH {_GRID} SELECT ((x + y) % 4)::INTEGER AS label, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS pixels FROM g WHERE f = 1 AND (x + y) % 4 <> 0 GROUP BY 1")
+@query(f"WITH {_ONE} SELECT ((x + y) % 4)::INTEGER AS label, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS pixels FROM g WHERE f = 1 AND (x + y) % 4 <> 0 GROUP BY 1")
 def roi_centres(s, d):
-    return masks.centres(_grid(s, d).where("f = 1").withColumn("label", (F.col("x") + F.col("y")) % 4), "label").select("label", r6("cx", "cx"), r6("cy", "cy"), "pixels")
+    return masks.centres(_one(s, d).withColumn("label", (F.col("x") + F.col("y")) % 4), "label").select("label", r6("cx", "cx"), r6("cy", "cy"), "pixels")
 
 
-@query(f"WITH {_GRID}, m AS (SELECT x, y, ((x + y) % 4)::INTEGER AS label FROM g WHERE f = 1) SELECT a.x, a.y, coalesce(b.label, 0) AS label FROM m a LEFT JOIN m b ON b.x + 1 = a.x AND b.y + 2 = a.y")
+@query(f"WITH {_ONE}, m AS (SELECT x, y, ((x + y) % 4)::INTEGER AS label FROM g WHERE f = 1) SELECT a.x, a.y, coalesce(b.label, 0) AS label FROM m a LEFT JOIN m b ON b.x + 1 = a.x AND b.y + 2 = a.y")
 def shift_image(s, d):
-    m = _grid(s, d).where("f = 1").select("x", "y", ((F.col("x") + F.col("y")) % 4).alias("label"))
+    m = _one(s, d).select("x", "y", ((F.col("x") + F.col("y")) % 4).alias("label"))
     return masks.shifted(m, 1, 2, 8, 8)
 
 
-@query(f"WITH {_GRID} SELECT x, y, (CASE WHEN (x + y) % 4 = 0 THEN 1 ELSE -((x + y) % 4) END)::INTEGER AS label FROM g WHERE f = 1")
+@query(f"WITH {_ONE} SELECT x, y, (CASE WHEN (x + y) % 4 = 0 THEN 1 ELSE -((x + y) % 4) END)::INTEGER AS label FROM g WHERE f = 1")
 def mask_format(s, d):
-    m = _grid(s, d).where("f = 1").select("x", "y", ((F.col("x") + F.col("y")) % 4).alias("label"))
+    m = _one(s, d).select("x", "y", ((F.col("x") + F.col("y")) % 4).alias("label"))
     return masks.to_negative(masks.to_positive(masks.to_negative(m)))
 
 
-@query(f"WITH {_GRID} SELECT (x // 2)::BIGINT AS x, (y // 2)::BIGINT AS y, round(avg(v), 4) AS v FROM g WHERE f = 1 GROUP BY 1, 2")
+@query(f"WITH {_ONE} SELECT (x // 2)::BIGINT AS x, (y // 2)::BIGINT AS y, round(avg(v), 4) AS v FROM g WHERE f = 1 GROUP BY 1, 2")
 def image_block_mean(s, d):
-    return masks.block_mean(_grid(s, d).where("f = 1"), 2).select("x", "y", r6("v", "v", 4))
+    return masks.block_mean(_one(s, d), 2).select("x", "y", r6("v", "v", 4))
 
 
-@query(f"WITH {_GRID}, r AS (SELECT x, y, v FROM g WHERE f = 1) SELECT (x * 2 + a)::INTEGER AS x, (y * 2 + b)::INTEGER AS y, v FROM r, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b)")
+@query(f"WITH {_ONE}, r AS (SELECT x, y, v FROM g WHERE f = 1) SELECT (x * 2 + a)::INTEGER AS x, (y * 2 + b)::INTEGER AS y, v FROM r, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b)")
 def image_pixel_repeat(s, d):
-    return masks.pixel_repeat(_grid(s, d).where("f = 1"), 2)
+    return masks.pixel_repeat(_one(s, d), 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GRID}, m AS (SELECT f, x, y, ((x * 3 + y * 5 + f) % 3)::INTEGER AS label FROM g),
+r(f, x, y, label, p) AS (SELECT f, x, y, label, x * 100 + y FROM m WHERE label <> 0 UNION SELECT n.f, n.x, n.y, n.label, r.p FROM r JOIN m n ON n.f = r.f AND n.label = r.label AND abs(n.x - r.x) + abs(n.y - r.y) = 1),
+l AS (SELECT f, x, y, min(p) AS p FROM r GROUP BY 1, 2, 3), k AS (SELECT f, x, y, dense_rank() OVER (PARTITION BY f ORDER BY p) AS n FROM l)
+SELECT m.f::BIGINT AS f, m.x, m.y, coalesce(n, 0)::INTEGER AS component FROM m LEFT JOIN k USING (f, x, y)""")
 def connected_labels(s, d):
     m = _grid(s, d).select(F.col("f").cast("long").alias("f"), "x", "y", ((F.col("x") * 3 + F.col("y") * 5 + F.col("f")) % 3).alias("label"))
     return masks.connected(m, "f", "label")
@@ -809,35 +825,35 @@ _MIX = "((x * 3 + y * 5 + x * y) % 3)::INTEGER"
 
 def _labelled(s, d, mixed: bool = False):
     label = (F.col("x") * 3 + F.col("y") * 5 + F.col("x") * F.col("y")) % 3 if mixed else F.floor(F.col("x") / 3) * 3 + F.floor(F.col("y") / 3)
-    return _grid(s, d).where("f = 1").select("x", "y", label.cast("int").alias("label"))
+    return _one(s, d).select("x", "y", label.cast("int").alias("label"))
 
 
-@query(f"WITH {_GRID} SELECT x, y, ((x - 3.5::DOUBLE) * (x - 3.5::DOUBLE) + (y - 3) * (y - 3)) <= 6.25::DOUBLE AS inside FROM g WHERE f = 1")
+@query(f"WITH {_ONE} SELECT x, y, ((x - 3.5::DOUBLE) * (x - 3.5::DOUBLE) + (y - 3) * (y - 3)) <= 6.25::DOUBLE AS inside FROM g WHERE f = 1")
 def circular_mask(s, d):
-    return segmentation.circle(_grid(s, d).where("f = 1").select("x", "y"), 3.5, 3, 2.5)
+    return segmentation.circle(_one(s, d).select("x", "y"), 3.5, 3, 2.5)
 
 
-@query(f"WITH {_GRID} SELECT x, y, (CASE WHEN x < 2 THEN 0 ELSE {_LABEL} END)::INTEGER AS label FROM g WHERE f = 1")
+@query(f"WITH {_ONE} SELECT x, y, (CASE WHEN x < 2 THEN 0 ELSE {_LABEL} END)::INTEGER AS label FROM g WHERE f = 1")
 def artifact_columns(s, d):
     return segmentation.clear_artifact_columns(_labelled(s, d), 2)
 
 
-@query(f"WITH {_GRID} SELECT y, round(greatest(quantile_cont(v::DOUBLE, 0.7), 100), 6) AS threshold FROM g WHERE f = 1 GROUP BY y")
+@query(f"WITH {_ONE} SELECT y, round(greatest(quantile_cont(v::DOUBLE, 0.7), 100), 6) AS threshold FROM g WHERE f = 1 GROUP BY y")
 def line_threshold(s, d):
-    return segmentation.line_threshold(_grid(s, d).where("f = 1"), 0.7, 100.0).select("y", r6("threshold", "threshold"))
+    return segmentation.line_threshold(_one(s, d), 0.7, 100.0).select("y", r6("threshold", "threshold"))
 
 
-@query(f"WITH {_GRID}, m AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1) SELECT DISTINCT a.label, b.label AS other FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.label <> 0 AND b.label <> 0 AND a.label <> b.label")
+@query(f"WITH {_ONE}, m AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1) SELECT DISTINCT a.label, b.label AS other FROM m a JOIN m b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.label <> 0 AND b.label <> 0 AND a.label <> b.label")
 def neighbour_labels(s, d):
     return segmentation.neighbour_labels(_labelled(s, d))
 
 
-@query(f"WITH {_GRID}, m AS (SELECT x, y, {_MIX} AS label FROM g WHERE f = 1) SELECT x, y, (CASE WHEN EXISTS (SELECT 1 FROM m b WHERE abs(m.x - b.x) + abs(m.y - b.y) = 1 AND b.label = m.label) THEN label ELSE 0 END)::INTEGER AS label FROM m")
+@query(f"WITH {_ONE}, m AS (SELECT x, y, {_MIX} AS label FROM g WHERE f = 1) SELECT x, y, (CASE WHEN EXISTS (SELECT 1 FROM m b WHERE abs(m.x - b.x) + abs(m.y - b.y) = 1 AND b.label = m.label) THEN label ELSE 0 END)::INTEGER AS label FROM m")
 def isolated_pixels(s, d):
     return segmentation.remove_isolated(_labelled(s, d, True)).select("x", "y", "label")
 
 
-@query(f"""WITH {_GRID}, p AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1), q AS (SELECT x, y, {_MIX} AS o FROM g WHERE f = 1 AND x > 2),
+@query(f"""WITH {_ONE}, p AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1), q AS (SELECT x, y, {_MIX} AS o FROM g WHERE f = 1 AND x > 2),
 n AS (SELECT label, o, count(*) AS n FROM p JOIN q USING (x, y) WHERE label <> 0 AND o <> 0 GROUP BY ALL),
 i AS (SELECT label, max(n / ((SELECT count(*) FROM p WHERE p.label = n.label) + (SELECT count(*) FROM q WHERE q.o = n.o) - n)) AS iou FROM n GROUP BY label)
 SELECT p.label, count(*) AS pixels, round(coalesce(any_value(iou), 0), 6) AS iou FROM p LEFT JOIN i ON i.label = p.label WHERE p.label <> 0 GROUP BY p.label HAVING coalesce(any_value(iou), 0) < 0.2""")
@@ -845,39 +861,48 @@ def mask_suggestions(s, d):
     return segmentation.suggestions(_labelled(s, d), _labelled(s, d, True).where("x > 2"), 0.2).select("label", "pixels", r6("iou", "iou"))
 
 
-@query()
+@query(f"""WITH {_ONE}, m AS (SELECT x, y, {_MIX} AS label FROM g), b AS (SELECT a.x, a.y, coalesce(c.label, 0) AS label FROM m a LEFT JOIN m c ON c.x + 1 = a.x AND c.y = a.y),
+sh AS (SELECT i.dx, j.dy FROM range(-2, 3) i(dx) CROSS JOIN range(-2, 3) j(dy)), pa AS (SELECT dx, dy, x, y, label AS la FROM m, sh WHERE label <> 0 AND x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
+pb AS (SELECT dx, dy, x - dx AS x, y - dy AS y, label AS lb FROM b, sh WHERE label <> 0 AND x - dx BETWEEN 0 AND 7 AND y - dy BETWEEN 0 AND 7),
+k AS (SELECT dx, dy, count(*) FILTER (WHERE la IS DISTINCT FROM lb) AS bad FROM pa FULL JOIN pb USING (dx, dy, x, y) GROUP BY 1, 2)
+SELECT CASE WHEN bad > 0 THEN 'different' WHEN dx = 0 AND dy = 0 THEN 'same' ELSE 'shifted' END AS verdict, dx::INTEGER AS dx, dy::INTEGER AS dy FROM k ORDER BY bad, abs(dx) + abs(dy), dx, dy LIMIT 1""")
 def compare_masks(s, d):
     m = _labelled(s, d, True)
     return segmentation.compare(m, masks.shifted(m, 1, 0, 8, 8), 2)
 
 
-@query(f"WITH {_GRID}, i AS (SELECT x, y, v FROM g WHERE f = 1) SELECT a.a::INTEGER AS x, b.b::INTEGER AS y, round(v::DOUBLE, 4) AS v FROM range(5) a(a) CROSS JOIN range(11) b(b) LEFT JOIN i ON i.x = floor((a.a + 0.5::DOUBLE) * 8 / 5) AND i.y = floor((b.b + 0.5::DOUBLE) * 8 / 11)")
+@query(f"WITH {_ONE}, i AS (SELECT x, y, v FROM g WHERE f = 1) SELECT a.a::INTEGER AS x, b.b::INTEGER AS y, round(v::DOUBLE, 4) AS v FROM range(5) a(a) CROSS JOIN range(11) b(b) LEFT JOIN i ON i.x = floor((a.a + 0.5::DOUBLE) * 8 / 5) AND i.y = floor((b.b + 0.5::DOUBLE) * 8 / 11)")
 def resize_nearest(s, d):
-    return segmentation.resize(_grid(s, d).where("f = 1"), (8, 8), (5, 11)).select("x", "y", r6("v", "v", 4))
+    return segmentation.resize(_one(s, d), (8, 8), (5, 11)).select("x", "y", r6("v", "v", 4))
 
 
-@query(f"""WITH {_GRID}, i AS (SELECT x, y, v::DOUBLE AS v FROM g WHERE f = 1), o AS (SELECT a::INTEGER AS x, b::INTEGER AS y, (a + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE AS sx, (b + 0.5::DOUBLE) * 0.8::DOUBLE - 0.5::DOUBLE AS sy FROM range(16) t(a) CROSS JOIN range(10) u(b)),
+@query(f"""WITH {_ONE}, i AS (SELECT x, y, v::DOUBLE AS v FROM g WHERE f = 1), o AS (SELECT a::INTEGER AS x, b::INTEGER AS y, (a + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE AS sx, (b + 0.5::DOUBLE) * 0.8::DOUBLE - 0.5::DOUBLE AS sy FROM range(16) t(a) CROSS JOIN range(10) u(b)),
 c AS (SELECT o.x, o.y, sum(CASE WHEN i.x IS NULL THEN 0 ELSE (1 - abs(i.x - sx)) * (1 - abs(i.y - sy)) * v END) AS v, max(CASE WHEN i.x = floor(sx + 0.5::DOUBLE) AND i.y = floor(sy + 0.5::DOUBLE) THEN 1 END) AS k
 FROM o LEFT JOIN i ON abs(i.x - sx) < 1 AND abs(i.y - sy) < 1 GROUP BY ALL)
 SELECT x, y, round(CASE WHEN k = 1 THEN greatest((SELECT min(v) FROM i), least((SELECT max(v) FROM i), v)) END, 4) AS v FROM c""")
 def resize_linear(s, d):
-    return segmentation.resize(_grid(s, d).where("f = 1"), (8, 8), (16, 10), 1).select("x", "y", r6("v", "v", 4))
+    return segmentation.resize(_one(s, d), (8, 8), (16, 10), 1).select("x", "y", r6("v", "v", 4))
 
 
-@query()
+@query(f"""WITH {_ONE}, i AS (SELECT x, y, v::DOUBLE AS v FROM g), o AS (SELECT a.a AS ox, b.b AS oy, round((a.a - 5) * 0.866025403784::DOUBLE + (b.b - 5) * 0.5::DOUBLE + 3.5::DOUBLE, 9) AS sx,
+  round((b.b - 5) * 0.866025403784::DOUBLE - (a.a - 5) * 0.5::DOUBLE + 3.5::DOUBLE, 9) AS sy FROM range(11) a(a) CROSS JOIN range(11) b(b)),
+f AS (SELECT *, floor(sx) + p.p AS px, floor(sy) + q.q AS py, (CASE p.p WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE q.q WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS w FROM o CROSS JOIN range(2) p(p) CROSS JOIN range(2) q(q)),
+z AS (SELECT min(v) AS low, max(v) AS high FROM i)
+SELECT ox::INTEGER AS x, oy::INTEGER AS y, round(CASE WHEN max(CASE WHEN px = floor(sx + 0.5) AND py = floor(sy + 0.5) THEN i.v END) IS NOT NULL THEN greatest(any_value(low), least(any_value(high), sum(w * coalesce(i.v, low)))) END, 4) AS v
+FROM f CROSS JOIN z LEFT JOIN i ON i.x = f.px AND i.y = f.py GROUP BY 1, 2""")
 def rotate_image(s, d):
-    return segmentation.rotate(_grid(s, d).where("f = 1"), (8, 8), 30.0).select("x", "y", r6("v", "v", 4))
+    return segmentation.rotate(_one(s, d), (8, 8), 30.0).select("x", "y", r6("v", "v", 4))
 
 
-@query(f"""WITH {_GRID}, b AS (SELECT {_LABEL} AS label, avg(v) AS b FROM g WHERE f = 1 GROUP BY 1)
+@query(f"""WITH {_ONE}, b AS (SELECT {_LABEL} AS label, avg(v) AS b FROM g WHERE f = 1 GROUP BY 1)
 SELECT label, round((b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) AS brightness FROM b WHERE label <> 0""")
 def brightness_index(s, d):
-    return segmentation.brightness_index(_grid(s, d).where("f = 1"), _labelled(s, d)).select("label", r6("brightness", "brightness"))
+    return segmentation.brightness_index(_one(s, d), _labelled(s, d)).select("label", r6("brightness", "brightness"))
 
 
-@query(f"""WITH {_GRID} SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, round(corr(a.v, b.v), 6) AS corr FROM range(-2, 3) i(dx) CROSS JOIN range(-2, 3) j(dy) JOIN g b ON b.f = 2 JOIN g a ON a.f = 1 AND a.x = b.x + dx AND a.y = b.y + dy GROUP BY ALL""")
+@query(f"""WITH {_TWO} SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, round(corr(a.v, b.v), 6) AS corr FROM range(-2, 3) i(dx) CROSS JOIN range(-2, 3) j(dy) JOIN g b ON b.f = 2 JOIN g a ON a.f = 1 AND a.x = b.x + dx AND a.y = b.y + dy GROUP BY ALL""")
 def image_cross_correlation(s, d):
-    g = _grid(s, d)
+    g = _two(s, d)
     return segmentation.cross_correlation(g.where("f = 1"), g.where("f = 2"), 2).select("dx", "dy", r6("corr", "corr"))
 
 

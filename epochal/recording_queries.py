@@ -238,19 +238,26 @@ def stack_medians(s, d):
     return responses.stack_medians(stack(s, d), ["flag"]).select("flag", "x", "y", r6("v", "v", 4))
 
 
-_SHIFT = f"""WITH {_STACK}, a AS (SELECT flag, x, y, v FROM k WHERE f = 1), b AS (SELECT flag, x, y, v FROM k WHERE f = 2),
+_PAIR = "k AS (SELECT l_returnflag AS flag, (l_suppkey % 6)::INTEGER AS x, (l_partkey % 5)::INTEGER AS y, (l_linenumber % 2 + 1)::INTEGER AS f, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+def pair(s, d):
+    return t(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), (F.col("l_suppkey") % 6).cast("int").alias("x"), (F.col("l_partkey") % 5).cast("int").alias("y"), (F.col("l_linenumber") % 2 + 1).alias("f")).agg(F.sum("l_quantity").alias("v"))
+
+
+_SHIFT = f"""WITH {_PAIR}, a AS (SELECT flag, x, y, v FROM k WHERE f = 1), b AS (SELECT flag, x, y, v FROM k WHERE f = 2),
 sc AS (SELECT a.flag, dx::INTEGER AS dx, dy::INTEGER AS dy, -avg((a.v - b.v) * (a.v - b.v)) AS score FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy), a, b WHERE a.flag = b.flag AND a.x = b.x + dx AND a.y = b.y + dy GROUP BY ALL)"""
 
 
 @query(_SHIFT + " SELECT flag, dx, dy, round(score, 3) AS score FROM sc")
 def corr_map_matches(s, d):
-    k = stack(s, d)
+    k = pair(s, d)
     return responses.shift_scores(k.where("f = 1"), k.where("f = 2"), "flag", 1).select("flag", "dx", "dy", r6("score", "score", 3))
 
 
 @query(_SHIFT + " SELECT flag, 2 AS other, -dx AS dx, -dy AS dy, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY score DESC, abs(dx), abs(dy), dx, dy) AS r FROM sc) WHERE r = 1")
 def cross_condition_shift(s, d):
-    m = stack(s, d).where("f <= 2").withColumnRenamed("f", "cond")
+    m = pair(s, d).withColumnRenamed("f", "cond")
     return responses.across(m, "cond", 1, ["flag"], 1).select("flag", "other", "dx", "dy", r6("score", "score", 3))
 
 

@@ -25,10 +25,10 @@ def test_starts_are_nearest_and_lone_epochs_stay(spark):
     s, t = recording(spark, range(0, 200, 10), [12, 52, 93, 155])
     assert starts_of(trials.starts(s, t, "u", "us", tolerance=5)) == [(1, 2, 4), (2, 6, 4), (3, 10, 4), (4, 16, 4)]
     assert starts_of(trials.starts(s, t, "u", "us", delay=3, tolerance=5)) == [(1, 2, 5), (2, 6, 5), (3, 11, 5)]  # of two samples as near the earlier; the last is incomplete
-    assert starts_of(trials.starts(s, t, "u", "us", pad=True)) == [(1, 2, 5), (2, 6, 5), (3, 10, 5)]  # the last is incomplete
+    assert starts_of(trials.starts(s, t, "u", "us", pad=True)) == [(1, 2, 5), (2, 6, 5), (3, 10, 5), (4, 16, 5)]
     assert starts_of(trials.starts(s, t.where("j = 1"), "u", "us", tolerance=5)) == [(1, 2, 19)]
     with pytest.raises(Exception, match="incomplete"):
-        trials.starts(s, t, "u", "us", pad=True, drop_last=False).collect()
+        trials.starts(s, t, "u", "us", delay=3, tolerance=5, drop_last=False).collect()
     with pytest.raises(Exception, match="no sample near"):
         trials.starts(s, t.withColumn("us", F.col("us") + 500), "u", "us", tolerance=5).collect()
 
