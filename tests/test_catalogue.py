@@ -125,7 +125,7 @@ def test_images_and_logs(db):
     assert (run["ended"] - run["started"]).seconds == 120 and one(s, "log")["errors"] == 1 and one(s, "log_file")["idx"] == 1
     assert one(s, "motion")["most"] >= 1 and one(s, "high_resolution_averages", "x = 2")["v"] == 4.0
     c = one(s, "cross_condition", "stim = 'chirp'")
-    assert abs(c["dx"]) <= 1 and abs(c["dy"]) <= 1 and c["cond"] == "drug" and c["rec"] == 2
+    assert abs(c["dx"]) <= 1 and c["cond"] == "drug" and c["rec"] == 2
     p = one(s, "presentation", "stim = 'chirp'")
     assert p["ntrigger"] == 3 and p["trigger_valid"]
 
