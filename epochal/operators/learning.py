@@ -156,6 +156,51 @@ def confident(rows: DataFrame, least: float, other: int = -1) -> DataFrame:
     return rows.withColumn("cell_class", F.when(F.col("confidence") >= least, F.col("cell_class")).otherwise(F.lit(other)))
 
 
+def good_responses(rows: DataFrame, bar_qi: str = "bar_qi", chirp_qi: str = "chirp_qi", bar: float = 0.6, chirp: float = 0.45) -> DataFrame:
+    """Reference cells whose response to the bar or to the chirp is reliable."""
+    return rows.where((F.col(bar_qi) > bar) | (F.col(chirp_qi) > chirp))
+
+
+def training_rows(features: DataFrame, labels: DataFrame, key: list[str], levels: list[str]) -> DataFrame:
+    """Features with their labels at every level; cells that lack one are left out."""
+    return features.join(labels.select(*key, *levels), key).dropna(subset=levels)
+
+
+def check_bundle(bundle: dict, n_features: int) -> None:
+    """A saved classifier's description must name its features, classes and filters, in fitting numbers."""
+    need = {"chirp_feats", "bar_feats", "feature_names", "y_names", "model"}
+    if missing := need - set(bundle):
+        raise ValueError(f"the bundle lacks {sorted(missing)}")
+    if len(bundle["feature_names"]) != n_features or len(bundle["chirp_feats"]) + len(bundle["bar_feats"]) + 2 != n_features:
+        raise ValueError("features, filters and names differ in number")
+    if not bundle["y_names"]:
+        raise ValueError("the bundle names no class")
+
+
+def save_bundle(spark, model, path: str, chirp_feats, bar_feats, feature_names: list[str], y_names: dict[int, str]) -> None:
+    """A classifier (Spark ML) and its description, checked; a path that exists is an error."""
+    import json
+
+    about = {"chirp_feats": [list(map(float, x)) for x in chirp_feats], "bar_feats": [list(map(float, x)) for x in bar_feats], "feature_names": list(feature_names), "y_names": {str(k): v for k, v in y_names.items()}, "model": type(model).__module__ + "." + type(model).__name__}
+    check_bundle(about, model.numFeatures)
+    model.save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.text(f"{path}/about")
+
+
+def load_bundle(spark, path: str) -> dict:
+    """The description of a saved classifier with the model itself, checked."""
+    import importlib
+    import json
+
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    module, _, name = about["model"].rpartition(".")
+    if not module.startswith("pyspark.ml."):
+        raise ValueError("not a model of Spark ML")
+    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+    check_bundle(about, model.numFeatures)
+    return about | {"model": model, "y_names": {int(k): v for k, v in about["y_names"].items()}}
+
+
 def cell_features(rows: DataFrame, chirp: str, bar: str, p_value: str, area: str, chirp_basis: list[list[float]], bar_basis: list[list[float]]) -> DataFrame:
     """Rows with ``features``: dot products with the chirp and bar filters, the tuning's p-value and the region's area; and their names."""
     parts = [dot(F.col(c), F.array(*[F.lit(float(x)) for x in b])) for c, basis in ((chirp, chirp_basis), (bar, bar_basis)) for b in basis]

@@ -207,6 +207,47 @@ def shifted_frames(stack: DataFrame, shifts: DataFrame, key: str, fill: float) -
     return stack.select(key, "f", "x", "y").join(moved, [key, "f", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
 
 
+def pixel_shifts(shifts: DataFrame, key: str, fs: float, cutoff: float = 0.2) -> DataFrame:
+    """Whole shifts of frames (key, f, dx, dy): low-pass, less the median, rounded."""
+    import numpy as np
+
+    from epochal.functions.kernels import lowpass
+
+    def run(pdf):
+        out = pdf[[key, "i"]].copy()
+        for c in ("dx", "dy"):
+            x = lowpass(pdf[c].to_numpy(float), fs, cutoff)
+            out[c] = np.round(x - np.median(x)).astype(int)
+        return out
+
+    rows = shifts.select(key, F.col("f").alias("i"), "dx", "dy")
+    return by_kernel(rows, key, run, f"{key} {dict(rows.dtypes)[key]}, i int, dx int, dy int").withColumnRenamed("i", "f")
+
+
+def noise_data(samples: DataFrame, triggers: DataFrame, frames: DataFrame, key: str, time: str, per_trigger: int = 1, kind: str = "trace", reference: str = "trace", tolerance: int = 3_000) -> DataFrame:
+    """Traces and stimulus on one clock, ready for a filter: rows (key, i, f, s, v).  On the trace's clock each sample has the frame it shows;
+    on the stimulus' each frame the mean of its samples.  ``kind``: the trace itself, its positive ``gradient`` or its ``events``; at last it
+    is in standard deviations, clipped, and the stimulus (f, s) of -1 and 1 or in deviations from its mean."""
+    from epochal.operators import series, trials
+
+    n = frames.count()
+    d = samples
+    if kind == "gradient":
+        d = series.difference(d, key, True).withColumn("v", F.col("dv")).drop("dv")
+    elif kind == "events":
+        d = series.robust_events(d, key).withColumn("v", F.col("peak")).drop("peak")
+    elif kind != "trace":
+        raise ValueError(f"unknown kind: {kind}")
+    shown = trials.trigger_frames(triggers, key, time, per_trigger, n)
+    d = trials.stimulus_to_trace(d.select(key, "i", time, "v"), shown, key, time, tolerance)
+    if reference == "stim":
+        d = d.groupBy(key, "f").agg(F.avg("v").alias("v")).withColumn("i", F.col("f") + 1)
+    elif reference != "trace":
+        raise ValueError(f"unknown clock: {reference}")
+    d = series.clip_unit(d, key).withColumn("v", F.col("vc")).drop("vc")
+    return d.join(frames.select("f", binary_stimulus(frames).alias("s")), "f").select(key, "i", "f", "s", "v")
+
+
 def timing(past: float, future: float, dt: float) -> dict:
     """Lags of a filter that reaches ``past`` and ``future`` seconds: times, number, shift and samples to leave out at first."""
     import math

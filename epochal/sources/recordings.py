@@ -185,6 +185,32 @@ def triggers(pixels: DataFrame, key: str, gap: int, threshold: Column | float) -
     return on.select(key, F.col("p").cast("long").alias("p"), "v").unionByName(hidden)
 
 
+def stack_pixels(stack: DataFrame, scans: DataFrame, key: str) -> DataFrame:
+    """(key, p, v, t) of a channel's pixels (key, frame, y, x, v) in the order they were scanned, with the time of each (by line)."""
+    s = scans.select(key, "pix_nx", "pix_nx_full", "pix_n_line_offset", "pixel_duration", "scan_period", F.when(F.col("scan_type") == "xz", F.col("pix_nz")).otherwise(F.col("pix_ny")).alias("_lines"))
+    d = stack.join(s, key)
+    p = (F.col("frame").cast("long") * F.col("_lines") + F.col("y")) * F.col("pix_nx") + F.col("x")
+    return d.select(key, p.alias("p"), "v", (F.col("frame") * F.col("scan_period") + pixel_delay(F.col("x"), F.col("y"))).alias("t"))
+
+
+def trigger_times(stack: DataFrame, scans: DataFrame, key: str, delay: float = 0.0, threshold: float | None = None) -> DataFrame:
+    """(key, time, v) of the triggers in a scan's trigger channel: crossings two lines apart at least, at the threshold of the channel
+    (or the one given), plus the stimulator's delay."""
+    pixels = stack_pixels(stack, scans, key)
+    lines = scans.select(key, (F.col("pix_nx") * 2).alias("_gap"))
+    if threshold is None:
+        level = auto_threshold(pixels, key)
+        raised = pixels.join(level, key).withColumn("v", F.col("v") - F.col("threshold")).drop("threshold")
+    else:
+        raised = pixels.withColumn("v", F.col("v") - F.lit(threshold))
+    gaps = sorted(r[0] for r in lines.select("_gap").distinct().collect())  # one a scan width
+    out = None
+    for g in gaps:
+        rows = triggers(raised.join(lines.where(F.col("_gap") == g), key, "left_semi"), key, g, F.lit(0.0))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select(key, "p").join(pixels, [key, "p"]).select(key, (F.col("t") + F.lit(delay)).alias("time"), "v")
+
+
 def repair_times(triggers: DataFrame, key: str, time: str, trace_end: DataFrame | None = None) -> DataFrame:
     """Trigger times that are counts of an old file, in seconds: those whose last is over twice the trace's end (``trace_end``: key, end),
     or, without a trace, those that begin over 250 and end over 1,000."""

@@ -224,3 +224,51 @@ def test_least_squares_finds_the_filter(spark):
     df = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(s, y, strict=True))], "k int, i int, s double, y double")
     assert responses.least_squares(responses.design(df, "k", "s", 3), "k", "y").first()["w"] == pytest.approx(list(w))
     assert responses.timing(0.5, 0.2, 0.1)["lags"] == 7 and responses.timing(0.5, 0.2, 0.1)["shift"] == -2
+
+
+def test_triggers_of_a_scan(spark):
+    nx, ny, frames = 6, 4, 12
+    v = np.zeros((frames, ny, nx))
+    v.reshape(-1)[[50, 51, 52, 120, 121, 122, 230, 231]] = 60_000
+    rows = [(1, f, y, x, float(v[f, y, x])) for f in range(frames) for y in range(ny) for x in range(nx)]
+    stack = spark.createDataFrame(rows, "k int, frame int, y int, x int, v double")
+    p = spark.createDataFrame([(1, {"user_dxpix": 10.0, "user_dypix": 4.0, "user_npixretrace": 3.0, "user_nxpixlineoffs": 1.0, "realpixdur": 1e5})], "k int, p map<string,double>")
+    scans = p.select("k", *[c.alias(n) for n, c in recordings.scan_columns(F.col("p")).items()])
+    got = sorted(r["time"] for r in recordings.trigger_times(stack, scans, "k", delay=0.5).collect())
+    line = lambda p: p // nx
+    assert got == pytest.approx([(line(p) // ny) * 4.0 + (line(p) % ny) * 1.0 + 0.5 for p in (50, 120, 230)])
+
+
+def test_noise_on_either_clock(spark):
+    rng = np.random.default_rng(1)
+    s, t = recording(spark, range(0, 4000, 10), range(0, 4000, 50), rng.normal(size=400))
+    frames = spark.createDataFrame([(f, float(f % 2)) for f in range(80)], "f int, s double")
+    a = responses.noise_data(s, t, frames, "u", "us", tolerance=3)
+    assert a.count() == 400 and {r["s"] for r in a.collect()} == {-1.0, 1.0} and a.where("f = 3").count() == 5
+    b = responses.noise_data(s, t, frames, "u", "us", reference="stim", kind="gradient", tolerance=3)
+    assert b.count() == 80 and a.agg(F.stddev_pop("v")).first()[0] == pytest.approx(1, abs=0.01)
+    with pytest.raises(ValueError):
+        responses.noise_data(s, t, frames, "u", "us", kind="other")
+
+
+def test_pixel_shifts(spark):
+    rows = [(1, f, 3.0 * (f >= 80) + 0.1 * (-1) ** f, -2.0) for f in range(120)]
+    got = responses.pixel_shifts(spark.createDataFrame(rows, "u int, f int, dx double, dy double"), "u", 8.0, 0.5).orderBy("f").collect()
+    assert {r["dy"] for r in got} == {0} and got[110]["dx"] - got[5]["dx"] == 3
+
+
+def test_saved_classifier(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, i % 2, (rng.normal(size=4) + 4 * (i % 2)).tolist(), (i % 10) / 10) for i in range(80)], "id int, y int, v array<double>, q double")
+    labels = df.select("id", "y", F.when(F.col("id") > 5, F.col("y")).alias("z"))
+    assert learning.training_rows(df.drop("y"), labels, ["id"], ["y", "z"]).count() == 74
+    assert learning.good_responses(df.withColumns({"bar_qi": F.col("q"), "chirp_qi": F.lit(0.0)})).count() == 24
+    m = learning.forest(df, "v", "y", 5)
+    path = str(tmp_path / "clf")
+    learning.save_bundle(spark, m, path, [[1.0, 2.0]], [[3.0]], ["a", "b", "p", "area"], {0: "off", 1: "on"})
+    back = learning.load_bundle(spark, path)
+    assert back["y_names"] == {0: "off", 1: "on"} and learning.classify(df, "v", back["model"]).where("cell_class = y").count() > 76
+    with pytest.raises(ValueError):
+        learning.check_bundle({**back, "feature_names": ["a"]}, 4)
+    with pytest.raises(ValueError):
+        learning.check_bundle({"model": None}, 4)
