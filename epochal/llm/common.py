@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -66,6 +68,15 @@ def forget(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, and Spark's cleaner a second to delete the shuffle files of plans that are done
+    with; else they stay until it happens to."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def bounded(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Arrow batches of at most ``limit`` bytes for the whole session, the same for every operator (rows are left as they
     are set): what Spark and its Python workers hold of texts at a time is bounded, however long they are."""

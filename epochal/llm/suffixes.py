@@ -6,7 +6,7 @@ only through the threshold, by most-significant-digit passes, and suffixes that
 equal after the last digit are exactly the repeated windows.  Every decision is made on bytes; hashes only deal
 windows out, and a collision costs time, nothing else.
 
-A suffix's first digit is its anchor: among the 16-byte grams of its window the one of least hash.  Consecutive windows
+A suffix's first digit is its anchor: among the 12-byte grams of its window the one of least hash.  Consecutive windows
 with one anchor form a run, which travels as one entry: its bytes with document and place.
 Entries are dealt to buckets by the anchor's hash, and in a bucket
 
@@ -15,11 +15,12 @@ Entries are dealt to buckets by the anchor's hash, and in a bucket
 3. where an anchor still has entries of several kinds, their suffixes are radix-sorted: by the anchor's place in
    the window, then by the window's bytes, eight a digit, dropping a suffix as soon as it is alone.
 
-Equal runs within a megabyte of text are met at once, so a group of copies sends one entry a megabyte.  An anchor that
-stands in over a hundredth of the documents in ever different surroundings would overfill its bucket: such anchors are
-found in a sample of documents, and their windows are entries of their own, dealt by the hash of the whole
-window.  The sample has a say in the dealing only; results are the same with any.  Buckets hold some ``BUCKET`` bytes of text;
-buckets and partitions grow in number with the input.  What is removed goes back to the documents as places, dealt
+Equal runs within ``FLUSH`` bytes of text are met at once, so a group of copies sends one entry each so often.  Grams that
+stand in ever different surroundings in over a hundredth of the documents would make poor digits: they are found in a
+sample of documents and are no anchors wherever a window has another gram.  The sample has a say in the dealing only; results
+are the same with any.  A bucket takes some ``BUCKET`` bytes of text; one that comes to over ``CROWD`` all the same is not
+held: its windows become entries of their own, dealt by the hash of the whole window, in a second pass.
+Buckets and partitions grow in number with the input.  What is removed goes back to the documents as places, dealt
 by document; texts move once, to their answers.
 
 Null or empty text: no bytes, nothing removed.  Texts under 50 bytes keep all.  Rows with
@@ -37,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, small
+from .common import bounded, materialise, passes, release, small
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 12
 SPREAD = WINDOW - GRAM + 1
-PIECE, BUCKET = 1 << 20, 8 << 20
+PIECE, FLUSH, BUCKET, CROWD = 1 << 20, 16 << 20, 6 << 20, 64 << 20
+#: Bits of a gram's hash that say whether it is crowded.
+CROWD_BITS = 22
 _P = 0x5851F42D4C957F2D
 _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW: list[np.ndarray] = []
@@ -65,7 +68,7 @@ class Runs:
 
     doc: index of the text; low, high: first and last window, at: anchor (places in ``a``); anchor, body: hashes."""
 
-    def __init__(self, texts: list[bytes], offsets: list[int]):
+    def __init__(self, texts: list[bytes], offsets: list[int], crowded: np.ndarray | None = None):
         self.a = a = np.frombuffer(b"".join(texts), np.uint8)
         self.texts, self.offsets = texts, offsets
         power, self.inv = _powers(len(a) + WINDOW)
@@ -73,7 +76,9 @@ class Runs:
         np.cumsum(_TABLE[a] * power[: len(a)], out=self.sums[1:])
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        gram = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inv[: len(a) - GRAM + 1])
+        gram = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inv[: len(a) - GRAM + 1]) >> np.uint64(1)
+        if crowded is not None:  # these come after all others
+            gram |= passes(crowded, CROWD_BITS, gram << np.uint64(1)).astype(np.uint64) << np.uint64(63)
         # Leftmost least gram of each window, by doubling.
         v, rel, width = gram, np.zeros(len(gram), np.uint8), 1
         while width < SPREAD:
@@ -99,7 +104,7 @@ class Runs:
         return _mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(np.uint64) * np.uint64(_P))
 
 
-def laid_out(texts: list[bytes]) -> Iterator[tuple[list[int], Runs]]:
+def laid_out(texts: list[bytes], crowded: np.ndarray | None = None) -> Iterator[tuple[list[int], Runs]]:
     """Runs of all texts, about PIECE bytes at a time; longer texts in pieces that overlap by a window."""
     ids: list[int] = []
     group: list[bytes] = []
@@ -111,7 +116,7 @@ def laid_out(texts: list[bytes]) -> Iterator[tuple[list[int], Runs]]:
             if len(part) < WINDOW:
                 continue
             if group and size + len(part) > PIECE:
-                yield ids, Runs(group, offsets)
+                yield ids, Runs(group, offsets, crowded)
                 ids, group, offsets, size = [], [], [], 0
             ids.append(i)
             group.append(part)
@@ -120,7 +125,7 @@ def laid_out(texts: list[bytes]) -> Iterator[tuple[list[int], Runs]]:
             if len(t) <= PIECE:
                 break
     if group:
-        yield ids, Runs(group, offsets)
+        yield ids, Runs(group, offsets, crowded)
 
 
 def same_bytes(a: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -149,13 +154,48 @@ class Entries:
     def take(self, at: np.ndarray) -> Entries:
         return Entries(*(getattr(self, k)[at] for k, _ in self.KINDS), self.a, self.start[at])
 
+    def bodies(self) -> np.ndarray:
+        """All their bytes, one after another: rows as wide as the longest, cut to size."""
+        most = int(self.size.max(initial=1))
+        wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((self.a, np.zeros(most, np.uint8))) if len(self.a) < int(self.start.max(initial=0)) + most else self.a, most)
+        return wide[self.start][np.arange(most) < self.size[:, None]]
+
     def pack(self) -> bytes:
         import zstandard
 
-        size = self.size.astype(np.int64)
-        flat = np.repeat(self.start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-        parts = [np.uint32(len(self)).tobytes(), *(getattr(self, k).astype(t).tobytes() for k, t in self.KINDS), self.a[flat].tobytes()]
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        parts = [np.uint32(len(self)).tobytes(), *(getattr(self, k).astype(t).tobytes() for k, t in self.KINDS), self.bodies().tobytes()]
+        return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+    @classmethod
+    def together(cls, parts: list[Entries]) -> Entries:
+        """Several as one, over their texts laid end to end (and some spare bytes)."""
+        at = np.cumsum([0, *(len(p.a) for p in parts[:-1])])
+        columns = [np.concatenate([getattr(p, k) for p in parts]) for k, _ in cls.KINDS]
+        return cls(*columns, np.concatenate([*(p.a for p in parts), np.zeros(2 * WINDOW, np.uint8)]), np.concatenate([p.start + o for p, o in zip(parts, at, strict=True)]))
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each entry's bytes."""
+        power, inverse = _powers(len(self.a) + 1)
+        sums = np.zeros(len(self.a) + 1, np.uint64)
+        np.cumsum(_TABLE[self.a] * power[: len(self.a)], out=sums[1:])
+        end = self.start + self.size
+        return _mix((sums[end] - sums[self.start]) * inverse[self.start] + self.size.astype(np.uint64) * np.uint64(_P))
+
+    def windows(self) -> Entries:
+        """Each window as an entry of its own."""
+        n = self.size.astype(np.int64) - WINDOW + 1
+        owner = np.repeat(np.arange(len(self)), n)
+        shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return Entries(self.id[owner], self.th[owner], self.pos[owner] + shift.astype(self.pos.dtype), np.full(len(owner), WINDOW, self.size.dtype), (self.rel[owner] - shift).astype(self.rel.dtype), self.a, self.start[owner] + shift)
+
+    def dealt(self, deal: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Rows of packed entries by bucket of ``deal``."""
+        bucket = ((deal >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        e, bucket = self.take(order), bucket[order]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist() if len(bucket) else [0]
+        for i in range(0, len(cut) - 1, 256):
+            yield _rows([(int(bucket[s]), None, e.take(np.arange(s, t)).pack()) for s, t in zip(cut[i : i + 256], cut[i + 1 : i + 257])])
 
     @classmethod
     def unpack(cls, blobs: list[bytes]) -> Entries:
@@ -239,67 +279,87 @@ def group_column(groups: int):
     return F.pmod(F.shiftright(low, 16) * F.lit(40503) + low, F.lit(groups)).cast("int")
 
 
-def _entries(ids: np.ndarray, ths: np.ndarray, at: list[int], r: Runs, hot: np.ndarray) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of some texts' runs, with hashes of their bytes and of what deals them out; runs of ``hot`` anchors window by window."""
-    low, high, anchor, body, place = r.low, r.high, r.anchor, r.body, r.at
-    deal = anchor
-    if len(hot) and (many := _isin(anchor, hot)).any():
-        n = (high - low + 1)[many]
-        s = np.repeat(low[many] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-        whole = r.hashed(s, s + WINDOW)
-        low, high = np.concatenate((low[~many], s)), np.concatenate((high[~many], s))
-        place = np.concatenate((place[~many], np.repeat(place[many], n)))
-        body, deal = np.concatenate((body[~many], whole)), np.concatenate((anchor[~many], whole))
-    doc = np.searchsorted(r.starts, low, side="right") - 1
-    text = np.asarray(at)[doc]
-    pos = low - r.starts[doc] + np.asarray(r.offsets)[doc]
-    a = np.concatenate((r.a, np.zeros(8, np.uint8)))
-    return Entries(ids[text], ths[text], pos, high - low + WINDOW, place - low, a, low), body, deal, text
+def _entries(ids: np.ndarray, ths: np.ndarray, at: list[int], r: Runs) -> Entries:
+    """Entries of some texts' runs."""
+    text = np.asarray(at)[r.doc]
+    pos = r.low - r.starts[r.doc] + np.asarray(r.offsets)[r.doc]
+    return Entries(ids[text], ths[text].astype(np.uint32), pos.astype(np.uint32), (r.high - r.low + WINDOW).astype(np.uint8), (r.at - r.low).astype(np.uint8), r.a, r.low)
+
 
+def _late(e: Entries, body: np.ndarray) -> np.ndarray:
+    """Which entries repeat the bytes of one of a smaller document here, by place."""
+    order = np.lexsort((e.id, body))
+    same = (body[order][1:] == body[order][:-1]) & (e.size[order][1:] == e.size[order][:-1])
+    if not same.any():
+        return np.zeros(0, np.int64)
+    first = order[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))]
+    late = np.flatnonzero(e.id[order] > e.id[first])
+    one, two = order[late], first[late]
+    return one[same_bytes(e.a, e.start[one], e.start[two], e.size[one].astype(np.int64))]
 
-def _deal(buckets: int, groups: int, hot: np.ndarray):
-    """Texts to entries by bucket; runs that repeat within a megabyte are answered at once."""
+
+def _deal(buckets: int, groups: int, crowded: np.ndarray | None = None, flush: int = FLUSH):
+    """Texts to entries by bucket; runs that repeat within ``flush`` bytes of text are answered at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(groups)
+        answers, held, size = Answers(groups), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            e, body, deal = Entries.together([x for x, _, _ in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2))
+            held.clear()
+            late = _late(e, body)
+            yield from answers.add(e.id[late], e.th[late], e.pos[late], e.size[late])
+            left = np.ones(len(e), bool)
+            left[late] = False
+            yield from e.take(np.flatnonzero(left)).dealt(deal[left], buckets)
+
         for b in small(batches):
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy() & 0xFFFFFFFF
-            for at, r in laid_out(b.column(2).to_pylist()):
-                e, body, deal, _ = _entries(ids, ths, at, r, hot)
-                order = np.lexsort((e.id, e.size, body))
-                e, body, deal = e.take(order), body[order], deal[order]
-                head = np.concatenate(([True], (body[1:] != body[:-1]) | (e.size[1:] != e.size[:-1])))
-                first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-                late = np.flatnonzero(e.id > e.id[first])
-                late = late[same_bytes(e.a, e.start[late], e.start[first[late]], e.size[late])]
-                yield from answers.add(e.id[late], e.th[late], e.pos[late], e.size[late])
-                left = np.ones(len(e), bool)
-                left[late] = False
-                e, deal = e.take(np.flatnonzero(left)), deal[left]
-                bucket = ((deal >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((e.pos, e.th, e.id, bucket))
-                e, bucket = e.take(order), bucket[order]
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-                yield _rows([(int(bucket[s]), None, e.take(np.arange(s, t)).pack()) for s, t in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+            for at, r in laid_out(b.column(2).to_pylist(), crowded):
+                held.append((_entries(ids, ths, at, r), r.body, r.anchor))
+                size += len(r.a)
+                if size >= flush:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
         yield from answers.flush()
 
     return run
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, n): of each megabyte of a sample, the anchors that stand in two kinds of runs or more."""
-    for b in small(batches):
-        for _, r in laid_out(b.column(0).to_pylist()):
-            kinds = np.unique(np.stack((r.anchor, r.body), 1), axis=0)[:, 0]
-            anchor, n = np.unique(kinds, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[n > 1].view(np.int64)), pa.array(n[n > 1])], ["anchor", "n"])
+def _by_window(buckets: int, groups: int):
+    """Entries of crowded buckets, window by window: by the hash of the whole window."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(groups)
+        for b in batches:
+            for data in b.column(2).to_pylist():
+                e = Entries.unpack([data]).windows()
+                for s in range(0, len(e), 1 << 19):
+                    part = e.take(np.arange(s, min(len(e), s + (1 << 19))))
+                    body = part.hashes()
+                    late = _late(part, body)
+                    yield from answers.add(part.id[late], part.th[late], part.pos[late], part.size[late])
+                    left = np.ones(len(part), bool)
+                    left[late] = False
+                    yield from part.take(np.flatnonzero(left)).dealt(body[left], buckets)
+        yield from answers.flush()
 
-def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return known[at] == x
+    return run
+
+
+def _crowded(known: np.ndarray | None):
+    """(gram, n): of each megabyte of a sample, the anchors that stand in two kinds of runs or more, by the bits that name them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            for _, r in laid_out(b.column(0).to_pylist(), known):
+                kinds = np.unique(np.stack((r.anchor << np.uint64(1) >> np.uint64(64 - CROWD_BITS), r.body), 1), axis=0)[:, 0]
+                gram, n = np.unique(kinds, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
+
+    return run
 
 
 def equal_suffixes(a: np.ndarray, suffix: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +388,7 @@ def repeated(e: Entries) -> Iterator[tuple[np.ndarray, ...]]:
     view = np.lib.stride_tricks.sliding_window_view(e.a, 8)
     word = lambda start: np.ascontiguousarray(view[start]).view(">u8").ravel().astype(np.uint64)
     # The anchor's bytes; entries alone with theirs repeat nothing.
-    digits = [word(e.start + e.rel + k) for k in range(0, GRAM, 8)]
+    digits = [word(e.start + e.rel + k) >> np.uint64(8 * max(0, k + 8 - GRAM)) for k in range(0, GRAM, 8)]
     order = np.lexsort(digits[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -343,7 +403,9 @@ def repeated(e: Entries) -> Iterator[tuple[np.ndarray, ...]]:
     # Kinds of equal bytes, numbered as they come; an anchor's entries stand together, and so do its kinds' numbers.
     raw, known = e.a.tobytes(), {}
     kind = np.fromiter((known.setdefault(raw[s:t], len(known)) for s, t in zip(e.start.tolist(), (e.start + e.size).tolist(), strict=True)), np.int64, len(e))
-    least = np.full(len(known), np.iinfo(np.int64).max)
+    n_kinds = len(known)
+    del raw, known
+    least = np.full(n_kinds, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, e.id)
     late = e.id > least[kind]
     yield e.id[late], e.th[late], e.pos[late], e.size[late]
@@ -355,9 +417,9 @@ def repeated(e: Entries) -> Iterator[tuple[np.ndarray, ...]]:
     if not len(shown):
         return
     order = np.argsort(kind, kind="stable")
-    begin = np.searchsorted(kind[order], np.arange(len(known) + 1))
-    share = np.cumsum(e.size[shown].astype(np.int64) - WINDOW + 1) >> 21
-    # At most some two million suffixes at a time, whole anchors together.
+    begin = np.searchsorted(kind[order], np.arange(n_kinds + 1))
+    share = np.cumsum(e.size[shown].astype(np.int64) - WINDOW + 1) >> 19
+    # At most some half a million suffixes at a time, whole anchors together.
     part = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(anchor[shown]) != 0)), share, 0))
     for p in np.unique(part):
         pick = shown[part == p]
@@ -389,11 +451,12 @@ def repeated(e: Entries) -> Iterator[tuple[np.ndarray, ...]]:
         yield e.id[every], e.th[every], e.pos[every] + np.repeat(shift[first], count), np.repeat(shift[last] - shift[first] + WINDOW, count)
 
 
-def _sort(groups: int):
-    """Rows sorted by bucket: answers pass; each bucket's entries are sorted together."""
+def _sort(groups: int, crowd: int | None = CROWD):
+    """Rows sorted by bucket: answers pass; each bucket's entries are sorted together.  Those of a bucket of over ``crowd`` packed
+    bytes pass as they are, with bucket -2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers, now, blobs = Answers(groups), None, []
+        answers, now, blobs, size = Answers(groups), None, [], 0
         for b in batches:
             passed = []
             for bucket, q, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -404,8 +467,12 @@ def _sort(groups: int):
                     if blobs:
                         for found in repeated(Entries.unpack(blobs)):
                             yield from answers.add(*found)
-                    now, blobs = bucket, []
+                    now, blobs, size = bucket, [], 0
+                size += len(data)
                 blobs.append(data)
+                if crowd is not None and size > crowd:
+                    yield _rows([(-2, None, x) for x in blobs])
+                    blobs = []
             if passed:
                 yield _rows(passed)
         if blobs:
@@ -430,10 +497,23 @@ OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, ke
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed for the way to their answers."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    for b in small(batches):
+        packed = pa.array([z.compress(t.as_py()) for t in b.column(4)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], packed], ["q", "kind", "doc_id", "th", "data"])
+
+
 def _finish(digest: bool):
     """Rows (q, kind, doc_id, th, data) sorted by (q, kind): answers of a group of documents, then their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
         now, blobs, known, rows, size = None, [], None, [], 0
         for b in batches:
             for q, kind, doc, th, data in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4), strict=True):
@@ -448,7 +528,7 @@ def _finish(digest: bool):
                     id, half, start, length, blobs = id[order], half[order], start[order], length[order], []  # noqa: A001
                     new = np.flatnonzero(np.concatenate(([True], (id[1:] != id[:-1]) | (half[1:] != half[:-1])))) if len(id) else np.zeros(0, np.int64)
                     known = {(i, h): (s, e) for i, h, s, e in zip(id[new].tolist(), half[new].tolist(), new.tolist(), [*new[1:].tolist(), len(id)][: len(new)], strict=True)}
-                text = data.as_py()
+                text = plain.decompress(data.as_py())
                 s, e = known.get((doc, th & 0xFFFFFFFF), (0, 0))
                 cut = spans(len(text), start[s:e], length[s:e])
                 kept = b"".join(text[x:y] for x, y in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(text)], strict=True)) if len(cut) else text
@@ -474,33 +554,52 @@ def _finish(digest: bool):
     return run
 
 
-def crowded_anchors(texts: DataFrame, total: int, n: int, sample: int = 16 << 20) -> np.ndarray:
-    """Hashes of anchors that stand in over a hundredth of the documents of a sample (some ``sample`` bytes) in different
-    runs; a document has a bounded number of anchors a byte, so these are few whatever the input's size."""
+def crowded_grams(texts: DataFrame, total: int, n: int, sample: int = 16 << 20, rounds: int = 2) -> np.ndarray | None:
+    """A bitmap (half a megabyte) of grams that are anchors in over a hundredth of the documents of a sample (some ``sample`` bytes) in
+    different runs; the second round finds what takes their place."""
     every = max(1, total // sample)
     some = texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(every)) == 0).select("text")
-    found = some.mapInArrow(_crowded, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, n // every // 100))
-    return np.sort(found.select("anchor").toPandas()["anchor"].to_numpy(dtype=np.int64).view(np.uint64))
-
-
-def repeats(docs: DataFrame, digest: bool = False, bucket: int = BUCKET) -> DataFrame:
+    flags = np.zeros(1 << CROWD_BITS, np.uint8)
+    bits = None
+    for _ in range(rounds):
+        found = some.mapInArrow(_crowded(bits), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64, n // every // 100))
+        grams = found.select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)  # a document has a bounded number of anchors a byte: a hundred times that
+        if not len(grams):
+            break
+        flags[grams] = 1
+        bits = np.packbits(flags, bitorder="little")
+    return bits
+
+
+def repeats(docs: DataFrame, digest: bool = False, bucket: int = BUCKET, crowd: int = CROWD, flush: int = FLUSH) -> DataFrame:
     """Each document's removed stretches and what is left of it (or the digests of op10)."""
     bounded(docs.sparkSession)
     raw = F.coalesce("text", F.lit("")).cast("binary")
     text = docs.select(F.col("doc_id").cast("long"), F.xxhash64(raw).alias("th"), raw.alias("text"))
     known = text.where(F.col("doc_id").isNotNull())
     total, n = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(8, total // bucket + 1)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (32 << 20))
-    groups = 2 * parts + 1
-    hot = crowded_anchors(known, total, n)
-    dealt = known.mapInArrow(_deal(buckets, groups, hot), ROW).repartition(parts, F.when(F.col("bucket") < 0, F.col("q")).otherwise(F.col("bucket") + F.lit(1 << 24)))
-    answers = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(_sort(groups), ROW).select("q", "data"), "answers")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
+    buckets, groups = max(parts, total // bucket + 1), 2 * parts + 1
+    deal = F.when(F.col("bucket") < 0, F.coalesce("q", F.lit(0))).otherwise(F.col("bucket"))
+
+    def dealt(rows: DataFrame, by) -> DataFrame:
+        """Evenly: what ``by`` numbers goes to partitions in turn."""
+        return rows.repartitionById(parts, F.pmod(by, F.lit(parts)).cast("int"))
+
+    def sorted_in(rows: DataFrame, most: int | None) -> DataFrame:
+        return dealt(rows, deal).sortWithinPartitions("bucket").mapInArrow(_sort(groups, most), ROW)
+
+    first = materialise(sorted_in(known.mapInArrow(_deal(buckets, groups, crowded_grams(known, total, n), flush), ROW), crowd), "answers")
+    release(docs.sparkSession)  # the entries' shuffle files, before texts are shuffled
+    answers = first.where("bucket = -1").select("q", "data")
+    over = first.where("bucket = -2")
+    if not over.isEmpty():
+        answers = answers.unionByName(sorted_in(over.mapInArrow(_by_window(max(buckets, 4 * parts), groups), ROW), None).select("q", "data"))
     none = F.lit(None).cast("long")
     rows = answers.select("q", F.lit(0).alias("kind"), none.alias("doc_id"), none.alias("th"), "data").unionByName(
-        known.select(group_column(groups).alias("q"), F.lit(1).alias("kind"), "doc_id", "th", F.col("text").alias("data"))
+        known.select(group_column(groups).alias("q"), F.lit(1).alias("kind"), "doc_id", "th", F.col("text").alias("data")).mapInArrow(_squeeze, "q int, kind int, doc_id long, th long, data binary")
     )
-    out = rows.repartition(parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_finish(digest), DIGEST if digest else OUT)
+    out = dealt(rows, F.col("q")).sortWithinPartitions("q", "kind").mapInArrow(_finish(digest), DIGEST if digest else OUT)
     rest = text.where(F.col("doc_id").isNull())
     if digest:
         zero = F.lit(0).cast("long")

@@ -710,12 +710,13 @@ def test_suffixes_many_buckets_and_a_crowded_anchor(spark):
         rows.append((int(rng.integers(0, 2000)), t))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     texts = df.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    hot = suffixes.crowded_anchors(texts, 100_000, 900)
-    assert 0 < len(hot) < 60
+    hot = suffixes.crowded_grams(texts, 100_000, 900)
+    assert 0 < np.unpackbits(hot).sum() < 100
     n = sum(len(t) for _, t in rows)
     assert n // 2000 > 32
     want = brute_repeats([(d, t.encode()) for d, t in rows])
-    assert as_counter(suffixes.repeats(df, digest=True, bucket=2000)) == want
+    assert as_counter(suffixes.repeats(df, digest=True, bucket=2000, flush=5000)) == want
+    assert as_counter(suffixes.repeats(df, digest=True, crowd=4000)) == want  # buckets that are dealt again by window
     assert as_counter(suffixes.op10_suffixes(df.repartition(1))) == want
 
 
@@ -728,7 +729,7 @@ def test_suffixes_hashes_decide_nothing(spark, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts, pa.binary())], ["a", "b", "c"])
-    out = [tuple(v.values()) for b in suffixes._deal(4, 3, np.zeros(0, np.uint64))(iter([batch])) for v in b.to_pylist()]
+    out = [tuple(v.values()) for b in suffixes._deal(4, 3, flush=2000)(iter([batch])) for v in b.to_pylist()]
     out = [tuple(v.values()) for b in suffixes._sort(3)(iter([suffixes._rows(sorted(out, key=lambda r: r[0]))])) for v in b.to_pylist()]
     gone = defaultdict(set)
     for i, _, start, size in zip(*suffixes.Answers.unpack([d for *_, d in out]), strict=True):
