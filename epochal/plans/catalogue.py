@@ -718,8 +718,8 @@ def full(spark: SparkSession, root: str, fs: float = 7.8125, step: int = 2000, c
     add("os_ds", PROC, ["processed", "bar_order"], os_ds(2, 1000))
     add("os_ds_v1", PROC, ["processed", "bar_order"], os_ds(1, 100))
     add("csl", PROC, ["snippets"], csl, keep="stim = 'csl'")
-    add("baden_trace", ["rec", "roi", "pre"], ["averages", "os_ds"], typed_traces(chirp, bar, dt))
-    add("baden_trace_v2", ["rec", "roi", "pre"], ["averages", "os_ds"], typed_traces(chirp, bar, dt, True))
+    add("typed_trace", ["rec", "roi", "pre"], ["averages", "os_ds"], typed_traces(chirp, bar, dt))
+    add("typed_trace_v2", ["rec", "roi", "pre"], ["averages", "os_ds"], typed_traces(chirp, bar, dt, True))
     add("features", ["features_id"], ["averages", "features_params"], feature_rows)
     add("clusters", ["features_id", "clustering_id"], ["features", "clustering_params"], clusters)
     add("noise_trace", [*TRACE, "noise_id"], ["traces", "noise_params", "trigger", "noise_frame"], noise_trace)

@@ -9,7 +9,7 @@ from epochal.functions.scalars import hash_params
 #: Table: (key columns, columns in the order of a schema string, defaults).
 TABLES: dict[str, tuple[list[str], str, dict]] = {
     "user": (["experimenter"], "experimenter string, data_dir string, raw_dir string, pre_dir string, data_name string, alt_name string, disk_alias string, high_alias string, outline_alias string, mask_alias string, places map<string,int>", {"raw_dir": "Raw", "pre_dir": "Pre", "data_name": "wDataCh0", "alt_name": "wDataCh1", "disk_alias": "ods", "high_alias": "hq_hr_highres_512_zstack", "outline_alias": "outline_edge", "mask_alias": "chirp_mb"}),
-    "raw_params": (["raw_id"], "raw_id int, from_raw boolean, igor_roi boolean, trigger_precision string, include_artifacts boolean", {"from_raw": False, "igor_roi": False, "trigger_precision": "line", "include_artifacts": False}),
+    "raw_params": (["raw_id"], "raw_id int, from_raw boolean, negative_labels boolean, trigger_precision string, include_artifacts boolean", {"from_raw": False, "negative_labels": False, "trigger_precision": "line", "include_artifacts": False}),
     "preprocess": (["pre"], "pre int, half int, poly_order int, subtract_baseline boolean, non_negative boolean, standardize int", {"half": 0, "poly_order": 3, "subtract_baseline": False, "non_negative": False, "standardize": 0}),
     "motion_params": (["motion_id"], "motion_id int, method string, options map<string,double>", {"method": "none", "options": {}}),
     "ipl_border": (["rec"], "rec int, left double, right double, thick double", {}),

@@ -143,7 +143,7 @@ def test_responses(db):
     g = s.table("group_snippets").where("rec = 1 AND roi = 1 AND stim = 'chirp'")
     assert {r["name"] for r in g.collect()} == {"up"} and g.select("rep").distinct().count() == 3
     assert s.table("resampled_averages").where("rec = 1 AND roi = 1 AND stim = 'chirp'").count() == 32
-    b = one(s, "baden_trace")
+    b = one(s, "typed_trace")
     assert len(b["preproc_chirp"]) == 249 and len(b["preproc_bar"]) == 32 and max(map(abs, b["preproc_chirp"])) == pytest.approx(1)
     assert s.table("clusters").select("features_id", "clustering_id").distinct().count() == 4
 
