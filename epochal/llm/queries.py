@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import OP11_SQL, op11_centroids
 from .chat import op4_chat
+from .codebooks import OP13_SQL, op13_codes
 from .decontaminate import op5_decontaminate
+from .language import op12_language
 from .licenses import op2_licenses
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op1_quality
@@ -35,6 +38,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": lambda s, d: op8_topk(t(s, d, "embeddings")),
         "op9_sharding": lambda s, d: op9_sharding(t(s, d, "documents")),
         "op10_suffixes": lambda s, d: op10_suffixes(t(s, d, "documents")),
+        "op11_centroids": lambda s, d: op11_centroids(t(s, d, "embeddings")),
+        "op12_language": lambda s, d: op12_language(t(s, d, "documents")),
+        "op13_codes": lambda s, d: op13_codes(t(s, d, "embeddings")),
     }
 
 
@@ -100,4 +106,4 @@ FROM g LEFT JOIN again a ON a.conv_id IS NOT DISTINCT FROM g.conv_id JOIN head h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op3_mixing": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_topk": OP8_SQL, "op10_suffixes": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op3_mixing": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_topk": OP8_SQL, "op10_suffixes": OP10_SQL, "op11_centroids": OP11_SQL, "op13_codes": OP13_SQL}
