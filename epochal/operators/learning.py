@@ -331,27 +331,18 @@ def sparse_pca(df: DataFrame, vector: str, k: int, share: float = 0.2):
 
 
 def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, most: int = 4096, seed: int = 0, approximate: bool = False) -> DataFrame:
-    """Adds ``cluster`` by bottom-up clustering of the distinct vectors, of which there may be at most ``most`` (its quadratic step
-    is the driver's).  With ``approximate``, that many k-means centres, weighted by their members, stand for the vectors,
-    however many there are. A null vector has a null cluster."""
+    """Adds ``cluster`` by bottom-up clustering of the distinct vectors, by rounds of reciprocal neighbours on the executors
+    (:mod:`epochal.operators.hierarchy`), exact and without a limit.  With ``approximate``, ``most`` k-means centres, weighted by their members,
+    stand for the vectors. A null vector has a null cluster."""
     import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from epochal.functions.fitting import agglomerate
+    from epochal.operators import hierarchy
 
-    spark = df.sparkSession
-    points = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
     if not approximate:
-        head = points.orderBy("_p").limit(most + 1).collect()  # at most ``most`` + 1 rows
-        if len(head) > most:
-            raise ValueError(f"over {most} distinct vectors: allow more, or ask for an approximate clustering")
-        if not head:
-            return df.withColumn("cluster", F.lit(None).cast("int"))
-        x, w = np.array([r["_p"] for r in head], float), np.array([r["_w"] for r in head], float)
-        label = agglomerate(x, w, linkage, k, threshold)
-        made = spark.createDataFrame([(r["_p"], int(c)) for r, c in zip(head, label, strict=True)], points.select(F.col("_p").alias(vector), F.lit(0).alias("cluster")).schema)
-        return df.join(F.broadcast(made), vector, "left")  # at most ``most`` rows
+        return hierarchy.agglomerative(df, vector, linkage, k, threshold)
     d = df.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     m = KMeans(featuresCol="_v", predictionCol="_c", k=most, seed=seed).fit(d)
     out = m.transform(d)

@@ -1009,7 +1009,7 @@ def sparse_pca(s, d):
 
 @query()
 def ward_clusters(s, d):
-    return learning.agglomerative(t(s, d, "embeddings"), "embedding", "ward", k=5, most=4096).select("vec_id", "cluster")
+    return learning.agglomerative(t(s, d, "embeddings"), "embedding", "ward", k=5).select("vec_id", "cluster")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
