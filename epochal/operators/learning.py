@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,56 +57,22 @@ def forest(df: DataFrame, vector: str, label: str, trees: int = 100, seed: int =
     return RandomForestClassifier(featuresCol="_v", labelCol=label, weightCol="_w", numTrees=trees, seed=seed).fit(d)
 
 
-def mixture(df: DataFrame, vector: str, ks: range, seed: int = 0, kinds: tuple[str, ...] = ("full",), metric: str = "bic", most: int = 20_000):
+def mixture(df: DataFrame, vector: str, ks: range, seed: int = 0, kinds: tuple[str, ...] = ("full",), metric: str = "bic", cv: int = 1):
     """Gaussian mixture with the best criterion (``bic``, ``aic`` or ``likelihood``) over ``ks`` and covariance ``kinds`` (``spherical``,
-    ``tied``, ``diag``, ``full``): (criterion, k, model).
+    ``tied``, ``diag``, ``full``): (criterion, k, model).  All are fitted and judged on all rows, or, with ``cv`` > 1, on folds left out
+    (:mod:`epochal.operators.mixtures`); :func:`assign_mixture` applies the model."""
+    from epochal.operators import mixtures
 
-    Full covariances are fitted by Spark ML on all rows.  The other kinds, which it lacks, are fitted in numpy on at most ``most`` vectors
-    (those of least hash); the model gives ``predict`` of an array, and :func:`assign_mixture` applies it to all rows."""
-    import math
-
-    import numpy as np
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
-
-    from epochal.functions.fitting import fit_mixture
-
-    def criterion(loglik: float, params: float, n: int) -> float:
-        return {"bic": params * math.log(n) - 2 * loglik, "aic": 2 * params - 2 * loglik, "likelihood": -loglik}[metric]
-
-    best = None
-    if "full" in kinds:
-        d = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-        n, dim = d.count(), len(d.select(vector).first()[0])
-        for k in ks:
-            m = GaussianMixture(featuresCol="_v", k=k, seed=seed).fit(d)
-            value = criterion(m.summary.logLikelihood, k - 1 + k * dim + k * dim * (dim + 1) / 2, n)
-            if best is None or value < best[0]:
-                best = (value, k, m)
-    others = [x for x in kinds if x != "full"]
-    if others:
-        rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector), vector).limit(most).select(vector).collect()  # at most ``most``
-        x = np.array([r[0] for r in rows], float)
-        for kind in others:
-            for k in ks:
-                m = fit_mixture(x, k, kind, seed)
-                value = criterion(m.loglik, m.params, len(x))
-                if best is None or value < best[0]:
-                    best = (value, k, m)
-    return best
+    scores, model = mixtures.choose(df, vector, ks, kinds, metric, cv, seed)
+    kind, k, value = min(scores, key=lambda s: s[2])
+    return value, k, model
 
 
 def assign_mixture(df: DataFrame, vector: str, model) -> DataFrame:
-    """Rows with the ``cluster`` of a numpy mixture."""
-    import numpy as np
-
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("int")
-    def of(v: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict(np.array(v.tolist(), float)), dtype="int32") if len(v) else pd.Series([], dtype="int32")
+    """Rows with the ``cluster`` of a mixture."""
+    from epochal.operators import mixtures
 
-    return df.withColumn("cluster", of(F.col(vector).cast("array<double>")))
+    return mixtures.described(df, vector, model, ("cluster", "_density")).drop("_density")
 
 
 def sort_clusters(rows: DataFrame, cluster: str, vector: str) -> DataFrame:

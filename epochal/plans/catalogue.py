@@ -437,8 +437,10 @@ def clusters(todo, p):
             f = p["features"].where(F.col("features_id") == r[0])
             if q["kind"].startswith("hierarchical"):
                 c = learning.agglomerative(f, "features", "ward" if q["kind"].endswith("ward") else "complete", q["k"], q["threshold"])
+            elif q["kind"] == "gmm":
+                c = learning.assign_mixture(f, "features", learning.mixture(f, "features", range(1, (q["k"] or 6) + 1), kinds=("spherical", "tied", "diag", "full"), cv=10)[2])
             else:
-                c = learning.assign_mixture(f, "features", learning.mixture(f, "features", range(1, (q["k"] or 6) + 1), kinds=("spherical", "tied", "diag"))[2])
+                raise ValueError(f"unknown kind of clustering: {q['kind']}")
             rows = learning.prune_clusters(c, "cluster", q["min_count"]).drop("cluster").withColumnRenamed("pruned", "cluster").select("features_id", "rec", "roi", "pre", "cluster")
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else p["features"].limit(0).select("features_id", "rec", "roi", "pre", F.lit(0).alias("cluster"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.functions import cell_types, scalars
-from epochal.operators import algebra, epochs, features, learning, masks, receptive, segmentation, series
+from epochal.operators import algebra, epochs, features, learning, masks, mixtures, receptive, segmentation, series
 from epochal.sources import logs, paths, stimuli
 from epochal.streaming import incremental
 
@@ -1012,6 +1012,30 @@ def ward_clusters(s, d):
     return learning.agglomerative(t(s, d, "embeddings"), "embedding", "ward", k=5).select("vec_id", "cluster")
 
 
+def few_components(s, d):
+    return t(s, d, "embeddings").where("embedding is not null").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("v"))
+
+
+@query()
+def mixture_choice(s, d):
+    scores, model = mixtures.choose(few_components(s, d), "v", range(1, 4), cv=3)
+    best = min(scores, key=lambda x: x[2])
+    return s.createDataFrame([(kind, k, round(v, 3), (kind, k, v) == best) for kind, k, v in scores], "kind string, k int, criterion double, chosen boolean")
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT label, count(*) / (SELECT count(*) FROM e WHERE label BETWEEN 0 AND 9) AS w, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) + 1e-6 AS vx, var_pop(y) + 1e-6 AS vy, var_pop(z) + 1e-6 AS vz FROM e WHERE label BETWEEN 0 AND 9 GROUP BY 1),
+p AS (SELECT vec_id, g.label, ln(w) - 0.5 * ((x - mx) ** 2 / vx + (y - my) ** 2 / vy + (z - mz) ** 2 / vz + ln(vx * vy * vz) + 3 * ln(2 * pi())) AS l FROM e, g),
+m AS (SELECT vec_id, max(l) AS top FROM p GROUP BY 1)
+SELECT p.vec_id, arg_max(p.label, p.l)::INTEGER AS cluster, round(any_value(top) + ln(sum(exp(l - top))), 6) AS log_density FROM p JOIN m ON m.vec_id = p.vec_id GROUP BY 1"""
+)
+def mixture_density(s, d):
+    rows = few_components(s, d)
+    model = mixtures.of_labels(rows, "v", {i: i for i in range(10)}, "label", "diag")
+    return mixtures.described(rows, "v", model).select("vec_id", "cluster", F.round("log_density", 6).alias("log_density"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
