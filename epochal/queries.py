@@ -1044,4 +1044,5 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from epochal import recording_queries as _more  # noqa: E402, F401  (registers further queries)
+from epochal import long_queries as _long  # noqa: E402, F401  (registers further queries)
+from epochal import recording_queries as _more  # noqa: E402, F401
