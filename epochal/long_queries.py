@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochal.operators import buckets
+from epochal.operators import buckets, filters, receptive, responses
 from epochal.queries import BASE, EPOCH, MICROS, is_signup, query, r6, samples, t
 
 #: Buckets of a user's month of events: half days.
@@ -69,3 +69,38 @@ def long_epoch_starts(s, d):
 @query()
 def long_lowpass(s, d):
     return buckets.lowpass(samples(s, d), "user_id", 8.0, 1.0, size=64).select("user_id", "i", r6("v", "low"))
+
+
+# Filters of many columns
+
+
+@query(
+    """SELECT l_returnflag AS flag, round(regr_slope(l_extendedprice, l_quantity), 4) AS w, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept,
+count(*)::DOUBLE AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1"""
+)
+def products_regression(s, d):
+    rows = t(s, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.array("l_quantity").alias("x"), "l_extendedprice")
+    out = filters.solved(filters.products(rows, "flag", "x", "l_extendedprice"), "flag", intercept=True)
+    return out.select("flag", r6(F.col("w")[0], "w", 4), r6("intercept", "intercept", 2), "n", r6("r2", "r2"))
+
+
+@query(
+    """WITH e AS (SELECT label, unnest(range(64)) AS a, unnest(embedding)::DOUBLE AS x, embedding[1]::DOUBLE AS y FROM embeddings)
+SELECT label, a::INTEGER AS r, round(sum(x * y), 4) AS xy, round(sum(x * x), 4) AS xx, round(sum(x), 4) AS x FROM e GROUP BY 1, 2"""
+)
+def gram_rows(s, d):
+    e = t(s, d, "embeddings").select("label", "embedding", F.col("embedding")[0].alias("y"))
+    g = filters.products(e, "label", "embedding", "y").where("r < 64")
+    return g.select("label", "r", r6(F.get("s", F.lit(64)), "xy", 4), r6(F.get("s", F.col("r")), "xx", 4), r6(F.get("s", F.lit(65)), "x", 4))
+
+
+@query()
+def filter_many_lags(s, d):
+    x = samples(s, d).withColumn("b", F.when(F.col("event_type") == "click", 1.0).otherwise(-1.0)).withColumn("all", F.lit(1))
+    return filters.least_squares(responses.design(x, "user_id", "b", 40), "all", "v").select(F.posexplode("w").alias("lag", "w")).select("lag", r6("w", "w", 4))
+
+
+@query()
+def count_model(s, d):
+    x = samples(s, d).withColumns({"stim": is_signup().cast("double"), "count": F.floor(F.col("v") / 50)})
+    return receptive.response_model(x, "user_id", "stim", "count", 6, [3, 5], [0.001, 0.01])

@@ -183,6 +183,49 @@ def spline_filter(samples: DataFrame, key: str, stimulus: str, response: str, la
     return samples.groupBy(key).applyInPandas(run, f"{key} long, df int, beta double, filter array<double>, cc_dev double, cc_test double, mse_test double, p_value double")
 
 
+def response_model(samples: DataFrame, key: str, stimulus: str, response: str, lags: int, dfs: list[int], betas: list[float], loss: str = "poisson", output: str = "softplus", test: float = 0.2, dev: float = 0.2) -> DataFrame:
+    """Spline filter of a generalised linear model, one row a key: (df, beta, filter, intercept, dev_loss, test_loss, null_loss, cc_test).
+
+    ``loss``: ``poisson`` (counts) or ``gaussian``; ``output``, applied to the filtered stimulus: ``softplus``, ``exponential`` or ``none``.  Parts as in
+    :func:`spline_filter`.  For every number of splines the penalties are gone through from the largest, each starting
+    from the one before; the least loss on the development part wins.  ``null_loss``: of the training part's mean, on the test part."""
+    import numpy as np
+    import pandas as pd
+
+    from epochal.functions.fitting import OUTPUTS, bspline_basis, deviance, lagged, penalised_path
+
+    if loss not in ("poisson", "gaussian") or output not in OUTPUTS or (loss == "poisson" and output == "none"):
+        raise ValueError("loss is poisson or gaussian; output softplus, exponential or (gaussian only) none")
+    link = OUTPUTS[output][0]
+    kind = samples.schema[key].dataType.simpleString()
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("i")
+        x, y = lagged(p[stimulus].to_numpy(float), lags), p[response].to_numpy(float)
+        n = len(y)
+        b = int(n * (1 - test))
+        a = int(b * (1 - dev))
+        names = [key, "df", "beta", "filter", "intercept", "dev_loss", "test_loss", "null_loss", "cc_test"]
+        d, t = slice(min(a + lags, b), b), slice(min(b + lags, n), n)
+        if not a or d.start == d.stop or t.start == t.stop:
+            return pd.DataFrame([], columns=names)
+        best = None
+        for df in dfs:
+            basis = bspline_basis(lags, min(df, lags))
+            for beta, (v, c) in penalised_path(x[:a] @ basis, y[:a], betas, loss, output).items():
+                w = basis @ v
+                score = deviance(y[d], link(x[d] @ w + c), loss)
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, df, beta, w, c)
+        score, df, beta, w, c = best
+        fit = link(x[t] @ w + c)
+        cc = float(np.corrcoef(fit, y[t])[0, 1]) if fit.std() > 1e-12 and y[t].std() > 1e-12 else 0.0
+        null = deviance(y[t], np.full(t.stop - t.start, max(y[:a].mean(), 1e-12)), loss)
+        return pd.DataFrame([(k[0], df, beta, w, c, score, deviance(y[t], fit, loss), null, cc)], columns=names)
+
+    return samples.groupBy(key).applyInPandas(run, f"`{key}` {kind}, df int, beta double, filter array<double>, intercept double, dev_loss double, test_loss double, null_loss double, cc_test double")
+
+
 def offset(centres: DataFrame, width: int, height: int, px: float, py: float, stim_x: float = 0.0, stim_y: float = 0.0) -> DataFrame:
     """Micrometres of a fitted centre (cx, cy in pixels, a pixel's middle at + 0.5) from the middle of the
     screen, with the stimulus' own offset."""

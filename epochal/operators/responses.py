@@ -273,22 +273,10 @@ def design(samples: DataFrame, key: str, stimulus: str, lags: int, shift: int =
 
 def least_squares(rows: DataFrame, key: str, response: str) -> DataFrame:
     """(key, w): weights that fit the response best from ``x`` (normal equations; the least norm where they are singular).  Products are
-    summed on the executors, lags squared a key."""
-    schema = f"{key} {dict(rows.dtypes)[key]}, w array<double>"
-    pair = F.transform("x", lambda a: F.transform("x", lambda b: a * b))
-    n = rows.select(key, F.posexplode(F.flatten(pair)).alias("p", "v")).groupBy(key, "p").agg(F.sum("v").alias("v"), F.lit(0).alias("side"))
-    m = rows.select(key, F.col(response).alias("_y"), F.posexplode("x").alias("p", "v")).groupBy(key, "p").agg(F.sum(F.col("v") * F.col("_y")).alias("v"), F.lit(1).alias("side"))
+    summed as matrices on the executors (:mod:`epochal.operators.filters`), lags squared a key."""
+    from epochal.operators import filters
 
-    def run(k, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["side", "p"])
-        b = pdf.loc[pdf["side"] == 1, "v"].to_numpy(float)
-        a = pdf.loc[pdf["side"] == 0, "v"].to_numpy(float).reshape(len(b), len(b))
-        return pd.DataFrame([(k[0], np.linalg.lstsq(a, b, rcond=None)[0].tolist())], columns=[key, "w"])
-
-    return n.unionByName(m).groupBy(key).applyInPandas(run, schema)
+    return filters.least_squares(rows, key, response)
 
 
 def shared_design(samples: DataFrame, frames: DataFrame, key: str, on: list[str]) -> DataFrame:
