@@ -68,6 +68,11 @@ def forget(df: DataFrame | None) -> None:
         fs.delete(p, True)
 
 
+def whole_row(df: DataFrame):
+    """All columns of ``df`` as one struct, whatever their names hold (dots, backticks)."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver collect its garbage, and Spark's cleaner a second to delete the shuffle files of plans that are done
     with; else they stay until it happens to."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bounded, materialise, passes, small
+from .common import bitmap, bounded, materialise, passes, small, whole_row
 from .tokens import many, mix, word_hashes
 
 #: Each pair of the ten positions is ignored (0) by one of the nine; the last takes six words running.
@@ -298,5 +298,5 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, most_seeds: int =
     """Pipeline stage: the documents that overlap no item; columns unchanged."""
     bad = contamination(docs, benchmark, most_seeds).select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_k"), F.col("th").alias("_t")).distinct()
     bad = materialise(bad, "found")  # its size is known then: documents are only shuffled where it is large
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull()).alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull()).alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
     return rows.join(bad, ["_k", "_t"], "left_anti").select("_row.*")

@@ -219,11 +219,19 @@ def counted(rows: DataFrame, order: int) -> DataFrame:
 def fit(docs: DataFrame, order: int = 4, sample: int = 500, most: int = 1 << 19) -> Forest | None:
     """The models of all languages, or None without any."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = materialise(ids.withColumn("_n", nth).where(F.col("_n") <= sample).select("doc_id", "lang"), "drawn")
-    languages = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())  # one row a language
+    ids = materialise(ids, "ids")
+    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    languages = sorted(sizes)
     if not languages:
         return None
+    # Least hashes: only a share of each language's ids that holds ``sample`` of them (by over ten deviations) is sorted.
+    likely = F.lit(False)
+    for lang, n in sizes.items():
+        share = min(1.0, (sample + 20 * sample**0.5 + 200) / n)
+        likely = likely | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= F.lit(int((2 * share - 1) * ((1 << 63) - 1024)) if share < 1 else (1 << 63) - 1)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = materialise(ids.where(likely).withColumn("_n", nth).where(F.col("_n") <= sample).select("doc_id", "lang"), "drawn")
+    forget(ids)
     # At most ``sample`` ids a language: broadcast while there are no more than a quarter of a million.
     few = F.broadcast(drawn) if drawn.count() <= 1 << 18 else drawn
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(few, ["doc_id", "lang"])

@@ -11,7 +11,8 @@ Sizes are counted once and written, narrow; counts come from that table.
 
 Null source: a source of its own, last.  Null or empty text: size 0.  A source
 without words has target 0 and gives no copies.  Repeated rows count each.  An empty table gives no rows.
-A row travels as one struct, so its columns may have any names and keep their values.
+A row travels as one struct, so its columns may have any names and keep their values.  Rows stand in order of size, hash of
+doc_id, doc_id, text and whole row (the last two by hash), so that reruns agree however ids repeat and rows are partitioned.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,8 +87,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     counted = materialise(docs.select("doc_id", "source", size.alias("size")), "sizes")
     narrow = counted.select(*placed(F.struct("doc_id"), F.col("size"), seed=seed))
-    rows = docs.select(*placed(F.struct(*docs.columns), size, seed=seed)) if whole else narrow
-    rank = F.row_number().over(Window.partitionBy("_null", "_src", "_class", "_bucket").orderBy("size", "_key", "_id"))
+    rows = docs.select(*placed(whole_row(docs), size, seed=seed)) if whole else narrow
+    # Rows of one id and size are told apart by their text, then by all else they hold, so that reruns take the same ones.
+    ties = [F.xxhash64("row.text"), F.xxhash64(F.to_json("row"))] if whole else []
+    rank = F.row_number().over(Window.partitionBy("_null", "_src", "_class", "_bucket").orderBy("size", "_key", "_id", *ties))
     # The offset: 20 bits of a hash of the source, so that sums with it stay exact.
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_src"), F.col("_null").cast("string")).cast("binary")), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

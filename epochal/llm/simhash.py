@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, bitmap, bounded, connected_components, materialise, passes, small
+from .common import append, bitmap, bounded, connected_components, materialise, passes, small, whole_row
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS, WIDTH, MAX_BITS = 8, 8, 3
@@ -496,6 +496,6 @@ def dedup_stage(docs: DataFrame, words: int = 5, bucket: int = 4096) -> DataFram
     keep = c.where("fp = first_fp").select(F.col("fp").alias("_fp"), F.col("first").alias("_first"))
     mine = prints.select("doc_id", "_fp", "_th").join(keep, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_first")))
     kept = mine.groupBy("doc_id", "_fp").agg(F.min("_th").alias("_th")).select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_k"), "_th")
-    rows = docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_k"), text_hash().alias("_th"), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_k"), text_hash().alias("_th"), whole_row(docs).alias("_row"))
     once = rows.join(kept, ["_k", "_th"], "left_semi").groupBy("_k", "_th").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
     return once.select("_row.*")
