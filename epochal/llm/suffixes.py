@@ -43,6 +43,8 @@ from .common import bounded, materialise, passes, release, small
 WINDOW, GRAM = 50, 12
 SPREAD = WINDOW - GRAM + 1
 PIECE, FLUSH, BUCKET, CROWD = 1 << 20, 16 << 20, 6 << 20, 64 << 20
+#: Partitions at most.
+PARTITIONS = 20_000
 #: Bits of a gram's hash that say whether it is crowded.
 CROWD_BITS = 22
 _P = 0x5851F42D4C957F2D
@@ -578,8 +580,9 @@ def repeats(docs: DataFrame, digest: bool = False, bucket: int = BUCKET, crowd:
     text = docs.select(F.col("doc_id").cast("long"), F.xxhash64(raw).alias("th"), raw.alias("text"))
     known = text.where(F.col("doc_id").isNotNull())
     total, n = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
-    buckets, groups = max(parts, total // bucket + 1), 2 * parts + 1
+    # Buckets and groups stream by, so a partition may hold any number of them: partitions stop growing where the driver's tables of them would not fit.
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20)), PARTITIONS)
+    buckets, groups = max(parts, total // bucket + 1), max(2 * parts + 1, total // (32 << 20))
     deal = F.when(F.col("bucket") < 0, F.coalesce("q", F.lit(0))).otherwise(F.col("bucket"))
 
     def dealt(rows: DataFrame, by) -> DataFrame:
