@@ -232,9 +232,9 @@ def lasso_path(x: np.ndarray, y: np.ndarray, beta: float, xd: np.ndarray, yd: np
     return kept
 
 
-def contours(image: np.ndarray, level: float) -> list[np.ndarray]:
-    """Closed lines of equal value, by marching squares with linear interpolation. A saddle is
-    resolved by the mean of its corners; lines that leave the image are not returned."""
+def _crossings(image: np.ndarray, level: float) -> dict:
+    """Marching squares: of every grid edge that the level crosses, the edges it is joined with (two, one on the image's side).  A saddle is resolved
+    by the mean of its corners."""
     links: dict = {}
     above = image > level
 
@@ -251,21 +251,33 @@ def contours(image: np.ndarray, level: float) -> list[np.ndarray]:
             for a, b in zip(cut[::2], cut[1::2], strict=True):
                 links.setdefault(a, []).append(b)
                 links.setdefault(b, []).append(a)
-    out, seen = [], set()
-    for first in sorted(links):
+    return links
+
+
+def contour_lines(image: np.ndarray, level: float) -> list[tuple[np.ndarray, bool]]:
+    """(points, closed) of all lines of equal value, by linear interpolation: first those that run from side to side, then the closed ones
+    (their first point stands once)."""
+    links, seen, out = _crossings(image, level), set(), []
+    ends = sorted(q for q, n in links.items() if len(n) == 1)
+    for first in [*ends, *sorted(links)]:
         if first in seen:
             continue
-        line, at, before = [], first, None
-        while at is not None and at not in seen:
+        line, at = [], first
+        while at is not None:
             seen.add(at)
             line.append(at)
-            at, before = next((q for q in links[at] if q != before and (q not in seen or (q == first and len(line) > 2))), None), at
-        if at == first and len(line) > 2:
-            p = [np.array(a) + (np.array(b) - np.array(a)) * (level - image[a]) / (image[b] - image[a]) for a, b in line]
-            out.append(np.array(p, float))
+            at = next((q for q in links[at] if q not in seen), None)
+        points = [np.array(a) + (np.array(b) - np.array(a)) * (level - image[a]) / (image[b] - image[a]) for a, b in line]
+        closed = len(links[first]) == 2 and len(line) > 2
+        out.append((np.array(points, float), closed))
     return out
 
 
+def contours(image: np.ndarray, level: float) -> list[np.ndarray]:
+    """Closed lines of equal value; lines that leave the image are not returned."""
+    return [line for line, closed in contour_lines(image, level) if closed]
+
+
 def polygon_centre(p: np.ndarray) -> tuple[float, float]:
     q = np.roll(p, -1, 0)
     c = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]

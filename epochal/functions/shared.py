@@ -68,6 +68,7 @@ def summed(parts: DataFrame, tasks: int = 16) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
+    tasks = min(tasks, parts.sparkSession.sparkContext.defaultParallelism)
     rows = parts.select("s").repartition(tasks).mapInArrow(add, "s array<double>").collect()
     return np.sum([r["s"] for r in rows], axis=0) if rows else None
 

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochal.operators import buckets, filters, receptive, responses
-from epochal.queries import BASE, EPOCH, MICROS, is_signup, query, r6, samples, t
+from epochal.operators import buckets, filters, receptive, responses, tiles
+from epochal.queries import BASE, EPOCH, MICROS, SQL, _grid, is_signup, query, r6, samples, t
 
 #: Buckets of a user's month of events: half days.
 HALF_DAY = 43_200_000_000
@@ -104,3 +104,24 @@ def filter_many_lags(s, d):
 def count_model(s, d):
     x = samples(s, d).withColumns({"stim": is_signup().cast("double"), "count": F.floor(F.col("v") / 50)})
     return receptive.response_model(x, "user_id", "stim", "count", 6, [3, 5], [0.001, 0.01])
+
+
+# Images by tiles
+
+
+def _labels(s, d):
+    return _grid(s, d).select(F.col("f").cast("long").alias("f"), "x", "y", ((F.col("x") * 3 + F.col("y") * 5 + F.col("f")) % 3).alias("label"))
+
+
+@query(SQL["connected_labels"])
+def tiled_components(s, d):
+    return tiles.connected(_labels(s, d), "f", "label", tile=2)
+
+
+@query(
+    f"""WITH c AS ({SQL["connected_labels"]}), m AS (SELECT c.*, ((x * 3 + y * 5 + f) % 3)::INTEGER AS label FROM c),
+n AS (SELECT f, label, component, count(*) AS n FROM m WHERE component > 0 GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY f, label ORDER BY n DESC, component) AS r FROM n)
+SELECT m.f, m.x, m.y, (CASE WHEN b.r = 1 AND b.n >= 2 THEN m.label ELSE 0 END)::INTEGER AS label FROM m LEFT JOIN b ON b.f = m.f AND b.component = m.component"""
+)
+def largest_label_parts(s, d):
+    return tiles.largest_parts(_labels(s, d), "f", "label", tile=3, least=2)

@@ -140,6 +140,35 @@ def outlines(srf: DataFrame, key: str, levels: list[float], blur: float = 0.0, i
     return srf.groupBy(key).applyInPandas(run, f"{key} long, level double, n int, area double, cx double, cy double, irregular double, inside int, ring int")
 
 
+def outline_lines(srf: DataFrame, key: str, levels: list[float], scale: bool = True) -> DataFrame:
+    """(key, level, line, closed, length, area, points): all lines of equal value of each image (key, x, y, w), open ones too, the longest first;
+    levels are parts of the largest size unless ``scale`` is false.  An open line has no area."""
+    import numpy as np
+    import pandas as pd
+
+    from epochal.functions import fitting, kernels
+
+    kind = srf.schema[key].dataType.simpleString()
+
+    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
+        im = np.zeros((int(pdf["x"].max()) - x0 + 1, int(pdf["y"].max()) - y0 + 1))
+        im[pdf["x"] - x0, pdf["y"] - y0] = pdf["w"]
+        im = im / (np.abs(im).max() or 1.0) if scale else im
+        rows = []
+        for level in levels:
+            found = []
+            for p, closed in fitting.contour_lines(im, level):
+                q = np.vstack((p, p[:1])) if closed else p
+                found.append((float(np.linalg.norm(np.diff(q, axis=0), axis=1).sum()), closed, p))
+            for n, (length, closed, p) in enumerate(sorted(found, key=lambda f: (-f[0], f[2].tolist()))):
+                area = float(kernels.polygon_area(p[:, 0], p[:, 1])) if closed else None
+                rows.append((k[0], level, n, closed, length, area, (p + [x0, y0]).tolist()))
+        return pd.DataFrame(rows, columns=[key, "level", "line", "closed", "length", "area", "points"])
+
+    return srf.groupBy(key).applyInPandas(run, f"`{key}` {kind}, level double, line int, closed boolean, length double, area double, points array<array<double>>")
+
+
 def spline_filter(samples: DataFrame, key: str, stimulus: str, response: str, lags: int, dfs: list[int], betas: list[float], test: float = 0.2, dev: float = 0.2, shuffles: int = 20, seed: int = 42) -> DataFrame:
     """Filter as a sum of splines, one row a key: (df, beta, filter, cc_dev, cc_test, mse_test, p_value).
 

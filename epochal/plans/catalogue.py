@@ -18,6 +18,8 @@ Manual tables besides those of ``tables`` and ``params`` and their columns:
 * ``noise_frame``: stim; f, s (the stimulus, one value a frame)
 * ``rf``: rec, stim, roi, rf_id; t, x, y, w
 * ``external_cluster``: rec, roi; cluster
+* ``training_cell``: training_id; cell, chirp, bar (responses on the published grids), bar_ds_pvalue, roi_size_um2, cluster
+* ``training_basis``: training_id; chirp_basis, bar_basis (filters of the responses)
 
 Tables are long, computed for missing keys only, and compose the operators; nothing is held whole but one key's filter or trace
 where a kernel needs it.
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochal.functions import scalars
+from epochal.functions.shared import numbered
 from epochal.operators import epochs, features, learning, masks, places, receptive, responses, series, trials
 from epochal.plans import params, tables
 from epochal.plans.nodes import Node, Schema
@@ -37,7 +40,7 @@ from epochal.sources import logs, recordings
 
 MANUAL = {
     "header": ["exp"], "recording_file": ["exp", "folder", "filename"], "field_of": ["rec", "exp", "field", "cond"], "stack_alt": PRES, "trigger": PRES, "trial": ["stim"], "bar_order": ["stim"],
-    "presentation_mask": PRES, "high_stack": ["exp", "field"], "shift_raw": [*PRES, "motion_id"], "outline_point": ["exp"], "log_line": ["exp", "path"], "place_entry": ["table_id", "rec"], "noise_frame": ["stim"], "rf": [*TRACE, "rf_id"], "external_cluster": ROI,
+    "presentation_mask": PRES, "high_stack": ["exp", "field"], "shift_raw": [*PRES, "motion_id"], "outline_point": ["exp"], "log_line": ["exp", "path"], "place_entry": ["table_id", "rec"], "noise_frame": ["stim"], "rf": [*TRACE, "rf_id"], "external_cluster": ROI, "training_cell": ["training_id", "cell"], "training_basis": ["training_id"],
 }
 
 
@@ -384,7 +387,7 @@ def csl(todo, p):
     """Saturating fit of the mean response by contrast step (the epoch's number in its repeat)."""
     s = packed(_of(todo, p["snippets"], PROC), PROC)
     m = s.groupBy("unit", "rep").agg(F.avg("v").alias("y"), F.first("rep").cast("double").alias("x"))
-    ids = m.select("unit").distinct().withColumn("_id", F.xxhash64("unit"))
+    ids = numbered(m.select("unit").distinct(), ["unit"], "_id")
     f = receptive.contrast_fit(m.join(ids, "unit").select("_id", "x", "y"), "_id", "x", "y")
     return unpacked(f.join(ids, "_id").drop("_id"))
 
@@ -438,7 +441,7 @@ def clusters(todo, p):
             if q["kind"].startswith("hierarchical"):
                 c = learning.agglomerative(f, "features", "ward" if q["kind"].endswith("ward") else "complete", q["k"], q["threshold"])
             elif q["kind"] == "gmm":
-                c = learning.assign_mixture(f, "features", learning.mixture(f, "features", range(1, (q["k"] or 6) + 1), kinds=("spherical", "tied", "diag", "full"), cv=10)[2])
+                c = learning.assign_mixture(f, "features", learning.mixture(f, "features", range(1, (q["k"] or 6) + 1), kinds=("spherical", "tied", "diag", "full"), cv=q["folds"])[2])
             else:
                 raise ValueError(f"unknown kind of clustering: {q['kind']}")
             rows = learning.prune_clusters(c, "cluster", q["min_count"]).drop("cluster").withColumnRenamed("pruned", "cluster").select("features_id", "rec", "roi", "pre", "cluster")
@@ -448,6 +451,89 @@ def clusters(todo, p):
     return by_params(todo, p, "clustering_params", "clustering_id", one)
 
 
+# Cell types
+
+
+def training_version(cells: DataFrame, basis, method) -> str:
+    """A hash of a method's parameters, the filters and all training rows, in whatever order they come."""
+    import hashlib
+
+    columns = sorted(cells.columns)
+    h = F.xxhash64(F.to_json(F.struct(*columns)))
+    n, total, other = cells.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.to_json(F.struct(*columns)), F.lit(1)))).first()
+    told = [n, total, other, [list(map(float, x)) for x in basis["chirp_basis"]], [list(map(float, x)) for x in basis["bar_basis"]], method["trees"], method["seed"]]
+    return hashlib.sha256(repr(told).encode()).hexdigest()
+
+
+def _versions(p):
+    """(training row, method row, version) of every training set with every method; these tables are short."""
+    for basis in p["training_basis"].collect():
+        cells = p["training_cell"].where(F.col("training_id") == F.lit(basis["training_id"]))
+        for method in p["classifier_method"].collect():
+            yield basis, method, cells, training_version(cells, basis, method)
+
+
+def classifier(root: str):
+    """A balanced forest for each training set and method, saved below ``_models`` under its version, and its accuracies."""
+    def compute(todo, p):
+        spark, wanted, out = todo.sparkSession, {(r["training_id"], r["method_id"]) for r in todo.collect()}, []
+        for basis, method, cells, version in _versions(p):
+            if (basis["training_id"], method["method_id"]) not in wanted:
+                continue
+            names = [r[0] for r in cells.select("cluster").distinct().orderBy("cluster").collect()]  # one a class
+            rows = learning.cell_features(cells, "chirp", "bar", "bar_ds_pvalue", "roi_size_um2", basis["chirp_basis"], basis["bar_basis"])
+            index = F.array_position(F.array(*map(F.lit, names)), F.col("cluster")).cast("double") - 1
+            rows = rows.withColumn("class", index)
+            model, scores = learning.trained(rows, "features", "class", "cell", method["trees"], method["seed"])
+            path = f"{root}/_models/{version}"
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)  # of a run that was lost
+            features_ = rows.select("feature_names").first()[0]
+            learning.save_bundle(spark, model, path, basis["chirp_basis"], basis["bar_basis"], features_, {i: str(c) for i, c in enumerate(names)})
+            out.append((basis["training_id"], method["method_id"], version, path, cells.count(), *(None if scores[k] is None else float(scores[k]) for k in ("train", "test", "all"))))
+        return spark.createDataFrame(out, "training_id string, method_id string, version string, path string, n long, train double, test double, accuracy double")
+
+    return compute
+
+
+def cell_type(todo, p):
+    """Every region's class by every classifier: (version, cluster, confidence, probabilities)."""
+    key, out = ["rec", "roi", "pre"], None
+    sizes = p["roi"].select("rec", "roi", F.col("area_um2").alias("roi_size_um2"))
+    for c in p["classifier"].collect():  # short: one row a classifier
+        part = todo.where((F.col("training_id") == F.lit(c["training_id"])) & (F.col("method_id") == F.lit(c["method_id"])))
+        bundle = learning.load_bundle(todo.sparkSession, c["path"])
+        cells = _of(part, p["typed_trace"], key).join(sizes, ["rec", "roi"])
+        rows = learning.cell_features(cells, "preproc_chirp", "preproc_bar", "ds_pvalue", "roi_size_um2", bundle["chirp_feats"], bundle["bar_feats"])
+        rows = learning.classify(rows.where(~F.exists("features", lambda x: x.isNull())), "features", bundle["model"])
+        cluster = F.element_at(F.array(*[F.lit(int(bundle["y_names"][i])) for i in range(len(bundle["y_names"]))]), F.col("cell_class") + 1)
+        rows = rows.select(*key, *[F.lit(c[k]).alias(k) for k in ("training_id", "method_id", "version")], cluster.alias("cluster"), "confidence", "probabilities")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def cell_type_gated(todo, p):
+    """Classes that the classifier is sure enough of; others are -1."""
+    key = ["rec", "roi", "pre", "training_id", "method_id"]
+    out = None
+    for q in p["celltype_params"].collect():  # a short table
+        rows = _of(todo.where(F.col("gate_id") == q["gate_id"]), p["cell_type"], key)
+        rows = rows.select(*key, F.lit(q["gate_id"]).alias("gate_id"), "confidence", F.when(F.col("confidence") >= q["least"], F.col("cluster")).otherwise(F.lit(-1)).alias("cluster"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def retrain(s: Schema) -> dict[str, int]:
+    """Classifiers whose parameters, filters or training rows are no longer those they were fitted on go, with all that they scored, and
+    are made again; nothing else is.  Returns the keys made, by table."""
+    p = {n: s.table(n) for n in ("training_basis", "training_cell", "classifier_method")}
+    now = {(b["training_id"], m["method_id"]): v for b, m, _, v in _versions(p)}
+    stale = [(r["training_id"], r["method_id"]) for r in s.table("classifier").collect() if now.get((r["training_id"], r["method_id"])) != r["version"]]
+    if stale:
+        s.delete("classifier", s.spark.createDataFrame(stale, "training_id string, method_id string"))
+    return s.populate_all(["classifier", "cell_type", "cell_type_gated"])
+
+
 # Noise and receptive fields
 
 
@@ -520,7 +606,7 @@ def glm(todo, p):
     def one(part, q):
         key = [*TRACE, "noise_id"]
         x = packed(_of(part, p["noise_trace"], key).join(p["noise_frame"], ["stim", "f"]), key)
-        ids = x.select("unit").distinct().withColumn("_id", F.xxhash64("unit"))
+        ids = numbered(x.select("unit").distinct(), ["unit"], "_id")
         f = receptive.spline_filter(x.join(ids, "unit").select("_id", "i", "s", "v"), "_id", "s", "v", q["lags"], list(q["dfs"]), list(q["betas"]), shuffles=q["shuffles"])
         return unpacked(f.join(ids, "_id").drop("_id"))
 
@@ -550,7 +636,7 @@ RF = [*TRACE, "rf_id"]
 
 def _numbered(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     x = packed(rows, key)
-    ids = x.select("unit").distinct().withColumn("_id", F.xxhash64("unit"))
+    ids = numbered(x.select("unit").distinct(), ["unit"], "_id")
     return x.join(ids, "unit").drop("unit"), ids
 
 
@@ -724,6 +810,9 @@ def full(spark: SparkSession, root: str, fs: float = 7.8125, step: int = 2000, c
     add("typed_trace_v2", ["rec", "roi", "pre"], ["averages", "os_ds"], typed_traces(chirp, bar, dt, True))
     add("features", ["features_id"], ["averages", "features_params"], feature_rows)
     add("clusters", ["features_id", "clustering_id"], ["features", "clustering_params"], clusters)
+    add("classifier", ["training_id", "method_id"], ["training_basis", "classifier_method"], classifier(s.root), also=["training_cell"])
+    add("cell_type", ["rec", "roi", "pre", "training_id", "method_id"], ["typed_trace", "roi", "classifier"], cell_type)
+    add("cell_type_gated", ["rec", "roi", "pre", "training_id", "method_id", "gate_id"], ["cell_type", "celltype_params"], cell_type_gated)
     add("noise_trace", [*TRACE, "noise_id"], ["traces", "noise_params", "trigger", "noise_frame"], noise_trace)
     add("sta", [*TRACE, "noise_id", "sta_id"], ["noise_trace", "sta_params", "noise_frame"], sta(dt))
     add("sta_data_set", [*TRACE, "noise_id", "sta_id"], ["sta", "noise_trace", "sta_params", "noise_frame"], sta_data_set(dt))

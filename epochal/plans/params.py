@@ -18,8 +18,9 @@ TABLES: dict[str, tuple[list[str], str, dict]] = {
     "training_data": (["training_id"], "training_id string, path string, chirp_path string, bar_path string", {}),
     "classifier_method": (["method_id"], "method_id string, trees int, seed int", {"trees": 1000, "seed": 2001}),
     "classifier_file": (["classifier_id"], "classifier_id int, path string, n_features int, n_classes int", {"n_classes": 75}),
+    "celltype_params": (["gate_id"], "gate_id int, least double", {"least": 0.25}),
     "features_params": (["features_id"], "features_id int, kind string, ncomps array<int>, standardize boolean, roles array<string>", {"kind": "pca", "standardize": True}),
-    "clustering_params": (["clustering_id"], "clustering_id int, kind string, k int, threshold double, min_count int", {"kind": "hierarchical_ward", "min_count": 0}),
+    "clustering_params": (["clustering_id"], "clustering_id int, kind string, k int, threshold double, min_count int, folds int", {"kind": "hierarchical_ward", "min_count": 0, "folds": 10}),
     "noise_params": (["noise_id"], "noise_id int, fit_kind string, cutoff double, up_trace int, up_stim int, reference string", {"fit_kind": "trace", "cutoff": 0.0, "up_trace": 1, "up_stim": 1, "reference": "trace"}),
     "sta_params": (["sta_id"], "sta_id int, past double, future double, method string, train double, dev double", {"past": 1.0, "future": 0.0, "method": "sta", "train": 0.8, "dev": 0.1}),
     "fast_sta_params": (["fast_id"], "fast_id int, past double, future double, up_stim int", {"past": 1.0, "future": 0.0, "up_stim": 1}),

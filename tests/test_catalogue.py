@@ -64,7 +64,7 @@ def db(spark, tmp_path_factory):
     add("ipl_border", {"rec": 1, "left": 0.0, "right": 1.0, "thick": 2.0}, {"rec": 2, "left": 0.0, "right": 0.0, "thick": 1.0})
     add("ipl_bins", {"bin_id": 1, "borders": [-1.0, 0.0, 0.5, 2.0]})
     add("features_params", {"features_id": 1, "kind": "pca", "ncomps": [2, 1], "roles": ["chirp", "lchirp"]}, {"features_id": 2, "kind": "none", "ncomps": [0], "roles": ["chirp"]})
-    add("clustering_params", {"clustering_id": 1, "k": 2}, {"clustering_id": 2, "kind": "gmm", "k": 2})
+    add("clustering_params", {"clustering_id": 1, "k": 2}, {"clustering_id": 2, "kind": "gmm", "k": 2, "folds": 1})
     add("noise_params", {"noise_id": 1}, {"noise_id": 2, "fit_kind": "gradient"})
     add("sta_params", {"sta_id": 1, "past": 0.5}, {"sta_id": 2, "past": 0.5, "method": "mle"})
     add("fast_sta_params", {"fast_id": 1, "past": 0.5})
@@ -74,9 +74,20 @@ def db(spark, tmp_path_factory):
     add("contour_params", {"contour_id": 1, "levels": [0.3]})
     add("cs_params", {"cs_id": 1})
     add("cascade_traces_params", {"ct_id": 1})
+    add("classifier_method", {"method_id": "few", "trees": 5, "seed": 1})
+    add("celltype_params", {"gate_id": 1, "least": 0.0}, {"gate_id": 2, "least": 1.01})
+    s.insert("training_cell", training_cells(spark, range(40)))
+    put("training_basis", [("t", [[1.0] * 120 + [0.0] * 129, [0.0] * 120 + [1.0] * 129], [[1.0] * 32])], "training_id string, chirp_basis array<array<double>>, bar_basis array<array<double>>")
     return s, s.populate_all()
 
 
+def training_cells(spark, ids):
+    """Cells of two classes, told apart by which part of the chirp they follow."""
+    rng = np.random.default_rng(11)
+    rows = [("t", i, (np.r_[np.full(120, i % 2), np.full(129, 1 - i % 2)] + 0.1 * rng.normal(size=249)).tolist(), rng.normal(size=32).tolist(), 0.5, 60.0, 3 if i % 2 else 8) for i in ids]
+    return spark.createDataFrame(rows, "training_id string, cell int, chirp array<double>, bar array<double>, bar_ds_pvalue double, roi_size_um2 double, cluster int")
+
+
 def one(s, name, where="true"):
     return s.table(name).where(where).first()
 
@@ -160,3 +171,32 @@ def test_filters(db):
     assert 0 <= one(s, "glm_quality")["rf_glm_qidx"] <= 1
     assert one(s, "temporal_rf", "split_id = 1")["polarity"] == 1
     assert s.table("cascade_spikes").where("rate < 0").count() == 0
+
+
+def test_cell_types(db, spark):
+    s, _ = db
+    c = one(s, "classifier")
+    assert (c["training_id"], c["method_id"], c["n"]) == ("t", "few", 40) and c["test"] == c["train"] == 1.0 and c["path"].endswith(c["version"])
+    types = {(r["rec"], r["roi"]): r for r in s.table("cell_type").collect()}
+    assert set(types) == {(r["rec"], r["roi"]) for r in s.table("typed_trace").collect()}
+    for r in s.table("typed_trace").collect():  # the part of the chirp it follows most
+        v = r["preproc_chirp"]
+        t = types[r["rec"], r["roi"]]
+        assert t["cluster"] in (3, 8) and sum(t["probabilities"]) == pytest.approx(1) and t["confidence"] == max(t["probabilities"])
+        if abs(sum(v[:120]) - sum(v[120:])) > 60:
+            assert t["cluster"] == (3 if sum(v[:120]) > sum(v[120:]) else 8)
+    gated = s.table("cell_type_gated").collect()
+    assert {r["cluster"] for r in gated if r["gate_id"] == 2} == {-1}
+    assert {(r["rec"], r["roi"]): r["cluster"] for r in gated if r["gate_id"] == 1} == {k: r["cluster"] for k, r in types.items()}
+
+
+def test_a_changed_model_scores_again_what_depends_on_it(db, spark):
+    s, _ = db
+    before = one(s, "classifier")["version"]
+    assert set(catalogue.retrain(s).values()) == {0} and one(s, "classifier")["version"] == before
+    n = s.table("cell_type").count()
+    s.insert("training_cell", training_cells(spark, range(40, 44)))
+    made = catalogue.retrain(s)
+    assert made == {"classifier": 1, "cell_type": n, "cell_type_gated": 2 * n}
+    assert {r["version"] for r in s.table("cell_type").collect()} == {one(s, "classifier")["version"]} != {before}
+    assert s.table("cell_type").count() == n
