@@ -78,9 +78,17 @@ def exists(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
-def fetch_frame(df: DataFrame, key: list[str]):
-    """A pandas frame with the key as index (at the edge of the API only)."""
-    return df.toPandas().set_index(key)
+def within(df: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` + 1 rows of ``df``, and an error once the last of them is reached: what goes to the driver is bounded."""
+    few = df.limit(most + 1)
+    if few.count() > most:
+        raise ValueError(f"over {most} rows: restrict them, allow more, or keep them in a table")
+    return few
+
+
+def fetch_frame(df: DataFrame, key: list[str], most: int = 1_000_000):
+    """A pandas frame with the key as index (at the edge of the API only); over ``most`` rows are an error."""
+    return within(df, most).toPandas().set_index(key)
 
 
 def insert(target: DataFrame, rows: DataFrame, key: list[str], skip_duplicates: bool = False) -> DataFrame:
@@ -134,9 +142,9 @@ def closest_rows(df: DataFrame, other: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def fetch_keys(df: DataFrame, key: list[str]) -> list[dict]:
-    """The keys as dicts (at the edge of the API only)."""
-    return [r.asDict() for r in df.select(*key).distinct().collect()]
+def fetch_keys(df: DataFrame, key: list[str], most: int = 1_000_000) -> list[dict]:
+    """The keys as dicts (at the edge of the API only); over ``most`` are an error."""
+    return [r.asDict() for r in within(df.select(*key).distinct(), most).collect()]
 
 
 def numbers_equal(a, b, relative: float = 1e-5) -> bool:

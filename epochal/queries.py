@@ -853,12 +853,12 @@ def isolated_pixels(s, d):
     return segmentation.remove_isolated(_labelled(s, d, True)).select("x", "y", "label")
 
 
-@query(f"""WITH {_ONE}, p AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1), q AS (SELECT x, y, {_MIX} AS o FROM g WHERE f = 1 AND x > 2),
+@query(f"""WITH {_ONE}, p AS (SELECT x, y, {_LABEL} AS label FROM g WHERE f = 1), q AS (SELECT x, y, {_MIX} AS o FROM g WHERE f = 1),
 n AS (SELECT label, o, count(*) AS n FROM p JOIN q USING (x, y) WHERE label <> 0 AND o <> 0 GROUP BY ALL),
 i AS (SELECT label, max(n / ((SELECT count(*) FROM p WHERE p.label = n.label) + (SELECT count(*) FROM q WHERE q.o = n.o) - n)) AS iou FROM n GROUP BY label)
 SELECT p.label, count(*) AS pixels, round(coalesce(any_value(iou), 0), 6) AS iou FROM p LEFT JOIN i ON i.label = p.label WHERE p.label <> 0 GROUP BY p.label HAVING coalesce(any_value(iou), 0) < 0.2""")
 def mask_suggestions(s, d):
-    return segmentation.suggestions(_labelled(s, d), _labelled(s, d, True).where("x > 2"), 0.2).select("label", "pixels", r6("iou", "iou"))
+    return segmentation.suggestions(_labelled(s, d), _labelled(s, d, True), 0.2).select("label", "pixels", r6("iou", "iou"))
 
 
 @query(f"""WITH {_ONE}, m AS (SELECT x, y, {_MIX} AS label FROM g), b AS (SELECT a.x, a.y, coalesce(c.label, 0) AS label FROM m a LEFT JOIN m c ON c.x + 1 = a.x AND c.y = a.y),

@@ -379,10 +379,10 @@ def folders_with_file(s, d):
     return recordings.folders_with(file_names(s, d), "0.h5")
 
 
-@query(_READ + """, o AS (SELECT animal, field, stimulus, min(filename) AS filename FROM fr GROUP BY ALL), st AS (SELECT * FROM (VALUES ('chirp', 'chirp'), ('chirp', 'gchirp'), ('bar', 'mb'), ('bar', 'bar')) v(stim_name, alias)),
-j AS (SELECT o.animal, o.field, st.stim_name, min(o.filename) AS filename, count(*) AS n FROM o JOIN st ON lower(o.stimulus) = st.alias GROUP BY ALL) SELECT animal, field, stim_name, filename FROM j WHERE stim_name = 'bar'""")
+@query(_READ + """, o AS (SELECT animal, field, lower(stimulus) AS stimulus, min(filename) AS filename FROM fr GROUP BY ALL), st AS (SELECT * FROM (VALUES ('chirp', 'chirp'), ('chirp', 'gchirp'), ('bar', 'mb'), ('bar', 'bar')) v(stim_name, alias)),
+j AS (SELECT o.animal, o.field, st.stim_name, min(o.filename) AS filename, count(*) AS n FROM o JOIN st ON lower(o.stimulus) = st.alias GROUP BY ALL) SELECT animal, field, stim_name, filename FROM j""")
 def presentation_files(s, d):
-    f = files_read(s, d).where("lower(stimulus) = 'mb'").groupBy("animal", "field", "stimulus").agg(F.min("filename").alias("filename")).withColumn("filepath", F.col("filename"))
+    f = files_read(s, d).groupBy("animal", "field", F.lower("stimulus").alias("stimulus")).agg(F.min("filename").alias("filename")).withColumn("filepath", F.col("filename"))
     fields = f.select("animal", "field").distinct()
     stim = s.createDataFrame([("chirp", "chirp_gchirp"), ("bar", "mb_bar")], "stim_name string, alias string")
     return recordings.presentations(fields, f, stim, ["animal", "field"]).select("animal", "field", "stim_name", "filename")
@@ -598,9 +598,9 @@ def region_offsets(s, d):
     return regions(s, d).select("p_partkey", (F.round("relx_wrt_field", 4) + 0.0).alias("x"), (F.round("rely_wrt_field", 4) + 0.0).alias("y"))
 
 
-@query(f"WITH {_OFFSET} SELECT p_partkey, round(x + p_partkey % 5 * 10, 4) AS relx, round(y - p_partkey % 5, 4) AS rely FROM ro WHERE p_partkey % 5 < 3")
+@query(f"WITH {_OFFSET} SELECT p_partkey, round(x + n_regionkey * 10, 4) AS relx, round(y - n_nationkey, 4) AS rely FROM ro JOIN nation ON n_nationkey = p_partkey % 5")
 def region_positions(s, d):
-    f = s.createDataFrame([(i, 10.0 * i, -1.0 * i, 0.0) for i in range(3)], "field long, relx double, rely double, relz double")
+    f = t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("field"), (F.col("n_regionkey") * 10.0).alias("relx"), (F.col("n_nationkey") * -1.0).alias("rely"), F.lit(0.0).alias("relz"))
     return places.region_position(regions(s, d).withColumn("field", F.col("field").cast("long")), f, ["field"]).select("p_partkey", r6("relx", "relx", 4), r6("rely", "rely", 4))
 
 

@@ -99,6 +99,8 @@ def test_algebra_without_shared_columns(spark):
     assert algebra.natural_join(a, b, 2).count() == 6
     assert algebra.closest_rows(a, spark.range(3)) and not algebra.closest_rows(a, a.union(a.limit(1))) and not algebra.closest_rows(a, b)
     assert algebra.fetch_keys(a.union(a), ["id"]).__len__() == 3
+    with pytest.raises(ValueError, match="over 2 rows"):
+        algebra.fetch_keys(a, ["id"], 2)
     assert algebra.numbers_equal({"a": [1.0, float("nan")]}, {"a": [1.0 + 1e-9, float("nan")]}) and not algebra.numbers_equal([1], [2])
 
 
