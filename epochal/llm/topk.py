@@ -162,11 +162,11 @@ def search_block(rows: DataFrame, n: int, codes: np.ndarray, k: int, shard: int,
         radii = range(radii.stop, radii.stop + 1)
 
 
-def top_k(rows: DataFrame, is_query, k: int = 10, block: int = 1 << 17, shard: int = 1 << 18) -> DataFrame:
+def top_k(rows: DataFrame, is_query, k: int = 10, block: int = 1 << 21, shard: int = 1 << 18) -> DataFrame:
     """Exact k nearest of every row of ``rows`` (id, code) for which ``is_query`` (of id) holds.
 
     Returns (query_id, rank, neighbor_id, distance).  A block's codes and bounds take 16 bytes each, so a
-    broadcast has at most 2 MB."""
+    broadcast has at most 32 MB; the table is scanned two or three times a block."""
     spark = rows.sparkSession
     rows = materialise(rows.repartition(spark.sparkContext.defaultParallelism, "id").distinct(), "codes")
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
