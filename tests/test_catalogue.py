@@ -173,6 +173,78 @@ def test_filters(db):
     assert s.table("cascade_spikes").where("rate < 0").count() == 0
 
 
+def rows_of(s, name, where, value, *key):
+    """{key: value} of a table's rows."""
+    return {tuple(r[k] for k in key) if len(key) > 1 else r[key[0]]: r[value] for r in s.table(name).where(where).collect()}
+
+
+def test_headers_give_their_values(db):
+    s, _ = db
+    assert tuple(one(s, "animal"))[1:] == ("f", "", "") and tuple(one(s, "indicator"))[1:] == ("", "", "", "")
+    assert one(s, "pharm_info")["drug"] == "none" and {r["note"] for r in s.table("example").collect()} == {""}
+
+
+def test_noise_traces_and_their_averages(db):
+    s, _ = db
+    where = "rec = 1 AND stim = 'noise' AND roi = 1"
+    raw = rows_of(s, "traces", where, "v", "i")
+    shown = rows_of(s, "noise_trace", where + " AND noise_id = 1", "f", "i")
+    v = np.array([raw[i] for i in sorted(shown)])
+    got = rows_of(s, "noise_trace", where + " AND noise_id = 1", "v", "i")
+    assert np.allclose([got[i] for i in sorted(shown)], np.clip(v / v.std(), -7, 7))
+    rise = np.maximum(np.diff(v, prepend=v[0]), 0)
+    got = rows_of(s, "noise_trace", where + " AND noise_id = 2", "v", "i")
+    assert np.allclose([got[i] for i in sorted(shown)], np.clip(rise / rise.std(), -7, 7))
+    # The average of the stimulus at four lags, weighted by all traces of the region.
+    frames = rows_of(s, "noise_frame", "stim = 'noise'", "s", "f")
+    pairs = [(r["f"], r["v"]) for r in s.table("noise_trace").where(where).collect()]
+    w = rows_of(s, "fast_sta", where, "w", "p")
+    for p in range(4):
+        assert w[p] == pytest.approx(sum(frames.get(f - p, 0.0) * x for f, x in pairs) / sum(x for _, x in pairs))
+
+
+def test_a_planted_filter_is_described(db):
+    s, _ = db
+    t, x, y = np.arange(8), np.arange(6)[:, None], np.arange(5)[None, :]
+    time, space = np.exp(-((t - 5) ** 2) / 3), np.exp(-((x - 2) ** 2 + (y - 2) ** 2) / 2)
+    svd = one(s, "split_rf", "split_id = 1")
+    at = [space[a, b] for a, b in zip(svd["xs"], svd["ys"], strict=True)]
+    assert np.allclose(np.outer(svd["time"], svd["space"]), np.outer(time, at), atol=1e-9) and svd["explained"] == pytest.approx(1)
+    sd = one(s, "split_rf", "split_id = 2")
+    assert np.allclose(sd["space"], [space[a, b] * time.std() for a, b in zip(sd["xs"], sd["ys"], strict=True)]) and np.allclose(sd["time"], time)
+    d = one(s, "dog", "split_id = 1")
+    assert d["explained"] > 0.99 and d["cx"] == pytest.approx(2, abs=0.1) and d["cy"] == pytest.approx(2, abs=0.1)
+    c = one(s, "contours", "split_id = 1")
+    assert c["n"] == 1 and c["area"] == pytest.approx(-2 * np.log(0.3) * np.pi, rel=0.1) and (c["cx"], c["cy"]) == pytest.approx((2, 2), abs=0.05) and c["inside"] == 9
+    assert one(s, "contour_metrics", "split_id = 1")["centre_share"] == pytest.approx(9 / (9 + c["ring"]))
+    for r in s.table("center_surround").collect():
+        assert r["polarity"] == 1 and r["peak_lag"] == pytest.approx(0.375, abs=0.02)
+    o, m, r = one(s, "rf_offset", "split_id = 1"), one(s, "roi_wrt_field", "rec = 1 AND roi = 1"), one(s, "rf_roi_offset", "split_id = 1")
+    assert (r["rf_dx_um"], r["rf_dy_um"]) == pytest.approx((o["dx_um"] - m["relx_wrt_field"], o["dy_um"] - m["rely_wrt_field"])) and r["rf_d_um"] == pytest.approx(np.hypot(r["rf_dx_um"], r["rf_dy_um"]))
+
+
+def test_features_rates_and_models(db):
+    s, _ = db
+    where = "rec = 2 AND roi = 1"
+    chirp = rows_of(s, "averages", where + " AND stim = 'chirp'", "average", "t")
+    assert one(s, "features", where + " AND features_id = 2")["features"] == pytest.approx([chirp[i] for i in sorted(chirp)])
+    assert len(one(s, "features", where + " AND features_id = 1")["features"]) == 3
+    trace = rows_of(s, "cascade_traces", where + " AND stim = 'chirp'", "v", "i")
+    rate = rows_of(s, "cascade_spikes", where + " AND stim = 'chirp'", "rate", "i")
+    assert all(rate[i] == pytest.approx(max(trace[i] - trace.get(i - 1, trace[i]), 0)) for i in trace)
+    steps = {}
+    for r in s.table("snippets").where("stim = 'csl' AND rec = 1 AND roi = 1").collect():
+        steps.setdefault(r["rep"], []).append(r["v"])
+    x, y = np.array(sorted(steps), float), np.array([np.mean(steps[k]) for k in sorted(steps)])
+    slope, base = np.polyfit(x, y, 1)
+    line, c = np.mean((y - slope * x - base) ** 2), one(s, "csl", "rec = 1 AND roi = 1")
+    assert c["mse"] == pytest.approx(line) if c["kind"] == "linear" else c["mse"] <= 1.05 * line
+    for r in s.table("glm").collect():
+        assert len(r["filter"]) == 4 and r["df"] == 3 and r["beta"] == 0.001 and -1 <= r["cc_test"] <= 1 and 0 <= r["p_value"] <= 1
+    key = ("rec", "roi", "noise_id", "glm_id")
+    assert rows_of(s, "glm_quality_dict", "true", "mse_test", *key) == rows_of(s, "glm", "true", "mse_test", *key)
+
+
 def test_cell_types(db, spark):
     s, _ = db
     c = one(s, "classifier")
