@@ -244,10 +244,10 @@ def fit(docs: DataFrame, order: int = 4, sample: int = 500, most: int = 1 << 19)
     while least > 1 and total + held.get(least, 0) + held.get(least - 1, 0) <= room:
         total += held.get(least, 0)
         least -= 1
-    kept = strings.where(F.col("n") >= least).toPandas()  # ``room`` rows
+    who = F.array_position(F.array(*[F.lit(lang) for lang in languages]), F.col("lang")) - 1
+    kept = strings.where(F.col("n") >= least).select(who.cast("long").alias("who"), "string", "n").toArrow()  # ``room`` rows
     forget(strings)
-    number = {lang: i for i, lang in enumerate(languages)}
-    return Forest(languages, (kept["lang"].map(number).to_numpy(dtype=np.int64), kept["string"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=np.int64)), order)
+    return Forest(languages, (kept["who"].to_numpy(), kept["string"].to_numpy().view(np.uint64), kept["n"].to_numpy()), order)
 
 
 def op12_language(docs: DataFrame, order: int = 4, sample: int = 500, most: int = 1 << 19) -> DataFrame:
