@@ -7,8 +7,9 @@ The table of nearest neighbours is kept; only clusters that merged, or whose nei
 
 A search deals the asking and the asked clusters out to blocks and meets every pair of blocks in a task of its own, which holds two
 blocks of about ``block`` vectors; n vectors asked by m take m n / block rows of shuffle.  The work is quadratic in the number of distinct vectors, as
-the exact tree is.  Ward's and average linkage need a mean a cluster; complete linkage keeps its members, and the members
-of a cluster of over half a block are dealt over blocks and met by their largest distances.
+the exact tree is.  Ward's and average linkage need a mean a cluster; their blocks grow with the table, up to 16 MB of vectors, and a
+product of single-precision matrices with a bound on its error leaves the few pairs whose distances are then taken in full.  Complete linkage
+keeps its members, and the members of a cluster of over half a block are dealt over blocks and met by their largest distances.
 
 Distances: Ward's growth of the root of the sum of squares; else 1 - correlation (a constant vector correlates with none).
 Equal distances are ordered by the clusters' numbers.  Vectors are numbered in their own order, equal ones are one vector that weighs as much as its rows.
@@ -29,6 +30,8 @@ from epochal.operators.graphs import followed
 LINKAGES = ("ward", "average", "complete")
 _POINTS = "c long, w double, whole boolean, x array<double>"
 _NEAR = "c long, o long, d double, final boolean"
+_BYTES = 16 << 20  # of vectors in a block of means
+_DEALT = 8  # pairs of blocks a core, where there are enough clusters
 
 
 def standard(vector: str):
@@ -40,8 +43,8 @@ def standard(vector: str):
     return F.transform(centred, lambda x: F.when(size > 1e-150, x / size).otherwise(F.lit(0.0)))
 
 
-def gaps(x: np.ndarray, w: float, others: np.ndarray, weights: np.ndarray, linkage: str) -> np.ndarray:
-    """Distance of one vector to each of ``others``: the same number whichever side asks."""
+def gaps(x: np.ndarray, w: float | np.ndarray, others: np.ndarray, weights: np.ndarray, linkage: str) -> np.ndarray:
+    """Distance of one vector (or one each) to each of ``others``: the same number whichever side asks."""
     if linkage == "ward":
         d = others - x
         return (d * d).sum(1) * (2 * (weights * w) / (weights + w))
@@ -79,6 +82,67 @@ def _met(linkage: str):
     return meet
 
 
+def _candidates(u: np.ndarray, mine: np.ndarray, weights: np.ndarray, x: np.ndarray, c: np.ndarray, w: np.ndarray, linkage: str):
+    """Pairs (i, j) of rows of ``u`` and ``x``, some rows of ``u`` at a time: for each row of ``u`` all that can be the nearest other one.
+
+    The product is in single precision; ``slack`` bounds its error, so that no pair within it of the least is left out."""
+    ward = linkage == "ward"
+    good, able = np.isfinite(x).all(1), np.isfinite(u).all(1)
+    x, u = np.where(good[:, None], x, 0.0), np.where(able[:, None], u, 0.0)
+    if ward:
+        middle = x.mean(0)
+        x, u = x - middle, u - middle
+        scale = max(np.abs(x).max(initial=0.0), np.abs(u).max(initial=0.0)) or 1.0
+        x, u = x / scale, u / scale
+    nx, nu = (x * x).sum(1), (u * u).sum(1)
+    slack = 2.0**-23 * (x.shape[1] + 32) * (nu + nx.max()) + 1e-30
+    if ward:
+        left, right = np.column_stack((-2 * u, nu + slack, np.ones(len(u)))), np.column_stack((x, np.ones(len(x)), np.where(good, nx, np.inf)))
+    else:
+        left, right = np.column_stack((-u, 1 + slack, np.ones(len(u)))), np.column_stack((x, np.ones(len(x)), np.where(good, 0.0, np.inf)))
+    left, right = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    v, vu = (1 / w).astype(np.float32), (1 / weights).astype(np.float32)
+    room = 2 * slack / (vu + v.min()) * (1 + 1e-5) if ward else 2 * slack
+    own = np.minimum(np.searchsorted(c, mine), len(c) - 1)
+    same = c[own] == mine
+    step = max(1, (1 << 20) // len(x))
+    for low in range(0, len(u), step):
+        high = min(low + step, len(u))
+        d = left[low:high] @ right
+        if ward:
+            d /= vu[low:high, None] + v
+        at = np.flatnonzero(same[low:high])
+        d[at, own[low:high][at]] = np.inf
+        least = d.min(1)
+        top = np.where(able[low:high] & np.isfinite(least), least + room[low:high] + np.abs(least) * 1e-6, -np.inf).astype(np.float32)
+        i, j = np.divmod(np.flatnonzero(d <= np.nextafter(top, np.float32(np.inf))[:, None]), len(x))
+        yield i + low, j
+
+
+def _near(linkage: str):
+    """What the means of one block find in another: each its nearest other one."""
+
+    def meet(key: tuple, asking: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asking.num_rows and asked.num_rows:
+            order = np.argsort(asked["c"].to_numpy(), kind="stable")
+            c, w, x = asked["c"].to_numpy()[order], asked["w"].to_numpy()[order], rows_of(asked["x"])[order]
+            mine, weights, u = asking["c"].to_numpy(), asking["w"].to_numpy(), rows_of(asking["x"])
+            for i, j in _candidates(u, mine, weights, x, c, w, linkage):
+                d = np.empty(len(i))
+                for low in range(0, len(i), 1 << 14):
+                    p, q = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
+                    d[low : low + len(p)] = gaps(u[p], weights[p], x[q], w[q], linkage)
+                order = np.lexsort((j, d, i))  # of equal ones the smallest number is first
+                i, j, d = i[order], j[order], d[order]
+                first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))[: len(i)])
+                out.append((mine[i[first]], c[j[first]], d[first]))
+        k, o, d = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table({"c": k, "o": o, "d": d, "final": np.ones(len(k), bool)}, schema=pa.schema([("c", pa.int64()), ("o", pa.int64()), ("d", pa.float64()), ("final", pa.bool_())]))
+
+    return meet
+
+
 def nearest(asking: DataFrame, asked: DataFrame, n_asking: int, n_asked: int, linkage: str, block: int) -> DataFrame:
     """(c, o, d): the nearest other cluster of each asking one; both sides have a row (c, w, whole, x) a mean or member."""
     rows, columns = max(1, math.ceil(n_asking / block)), max(1, math.ceil(n_asked / block))
@@ -94,7 +158,7 @@ def nearest(asking: DataFrame, asked: DataFrame, n_asking: int, n_asked: int, li
     # Tasks hold two blocks each, whatever lies in how many partitions.
     # (Columns of both sides come from one table: aliases keep them apart.)
     left, right = (t.select(*[F.col(c).alias(c) for c in ("_r", "_c", "c", "w", "whole", "x")]) for t in (left, right))
-    met = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(_met(linkage), _NEAR)
+    met = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(_met(linkage) if linkage == "complete" else _near(linkage), _NEAR)
     if linkage != "complete":
         return met.groupBy("c").agg(F.min(F.struct("d", "o")).alias("m")).select("c", "m.o", "m.d")
     met = written(met, "met")
@@ -150,6 +214,8 @@ def merges(points: DataFrame, linkage: str = "ward", limit: float | None = None,
     points = written(points.select("c", "w", F.lit(True).alias("whole"), "x"), "points")
     sizes = None if linkage != "complete" else written(points.select("c", F.lit(1).cast("long").alias("n")), "sizes")
     n = alive = points.count()
+    most = _BYTES // (8 * max(1, points.agg(F.max(F.size("x"))).first()[0] or 1))
+    cores = points.sparkSession.sparkContext.defaultParallelism
     near, stale, done, turn = None, None, [], 0
     asking, n_asking = points, n
     while alive > 1:
@@ -158,7 +224,10 @@ def merges(points: DataFrame, linkage: str = "ward", limit: float | None = None,
             last = last.withColumn("round", F.col("round") + turn)
             done.append(written(last if limit is None else last.where(F.col("d") <= limit), "merges"))
             break
-        found = nearest(asking, points, n_asking, n, linkage, block)
+        size = block
+        if linkage != "complete":
+            size = max(block, min(most, math.isqrt(n_asking * n // (_DEALT * cores))))
+        found = nearest(asking, points, n_asking, n, linkage, size)
         fresh = written(found if near is None else found.unionByName(near), "near")
         dropped(stale, found)
         one = fresh.where("c < o") if limit is None else fresh.where((F.col("c") < F.col("o")) & (F.col("d") <= limit))

@@ -1,6 +1,9 @@
 """Bottom-up clustering by rounds on the executors against merging the closest pair, one after another, in numpy."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epochal.functions.fitting import agglomerate
@@ -77,3 +80,35 @@ def test_links_and_numbers(spark):
     assert {(r["node"], r["root"]) for r in followed(chain).collect()} == {(i, 0) for i in range(1, 50)}
     many = spark.range(500).repartition(7).withColumnRenamed("id", "v")
     assert all(r["v"] == r["n"] for r in numbered(many, ["v"], "n").collect())
+
+
+@pytest.mark.parametrize("linkage", ["ward", "average"])
+def test_few_distances_are_taken_in_full(monkeypatch, linkage):
+    """The search of two blocks finds what all distances say, and takes few of them in full."""
+    rng = np.random.default_rng(3)
+    taken, gaps = [], hierarchy.gaps
+    monkeypatch.setattr(hierarchy, "gaps", lambda *a: taken.append(len(gaps(*a))) or gaps(*a))
+    kinds = {"spread": rng.normal(size=(900, 16)), "grid": rng.integers(0, 3, (300, 2)) + 0.0, "far": 1e7 + rng.normal(size=(300, 3)), "huge": 1e30 * rng.normal(size=(300, 4)), "one": np.ones((1, 3)), "alike": np.ones((40, 3))}
+    for name, x in kinds.items():
+        if linkage == "average":
+            x = x - x.mean(1, keepdims=True)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        w = rng.choice([1.0, 2.0, 5000.0], len(x))
+        table = pa.table({"c": rng.permutation(len(x)), "w": w, "whole": [True] * len(x), "x": x.tolist()})
+        asking = table.take(rng.permutation(len(x))[: max(1, len(x) // 2)])
+        taken.clear()
+        got = hierarchy._near(linkage)((0, 0), asking, table).to_pylist()
+        full = sum(taken)
+        want = hierarchy._met(linkage)((0, 0), asking, table).to_pylist()
+        key = lambda r: r["c"]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        assert name != "spread" or full < 0.05 * len(asking) * len(x)
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """Rows of shuffle: every vector goes to as many tasks as there are blocks to meet, so blocks must not stay small."""
+    sizes, nearest = [], hierarchy.nearest
+    monkeypatch.setattr(hierarchy, "nearest", lambda *a: sizes.append((a[2] * a[3], a[5])) or nearest(*a))
+    _, df = data(spark, 400, 3, seed=8)
+    hierarchy.agglomerative(df, "v", k=3, block=4, finish=200)
+    assert all(math.ceil(math.sqrt(mn) / block) ** 2 <= 4 * hierarchy._DEALT * spark.sparkContext.defaultParallelism for mn, block in sizes)
