@@ -205,31 +205,60 @@ def bspline_basis(n: int, df: int, degree: int = 3) -> np.ndarray:
 
 
 def lagged(x: np.ndarray, lags: int) -> np.ndarray:
-    """Rows of x and its ``lags - 1`` predecessors, zeros before the start."""
-    return np.stack([np.concatenate((np.zeros(k), x[: len(x) - k])) for k in range(min(lags, len(x)))] + [np.zeros(len(x))] * max(lags - len(x), 0), 1)
+    """Rows of x (or of each row of it) and its ``lags - 1`` predecessors, zeros before the start."""
+    out = np.zeros((*x.shape, lags))
+    for k in range(min(lags, x.shape[-1])):
+        out[..., k:, k] = x[..., : x.shape[-1] - k]
+    return out
 
 
-def lasso_path(x: np.ndarray, y: np.ndarray, beta: float, xd: np.ndarray, yd: np.ndarray, rounds: int = 1000, least: int = 50, patience: int = 5) -> np.ndarray:
-    """Least squares with an L1 penalty by accelerated proximal steps; stops when the error on the
-    development part has not fallen for ``patience`` checks."""
-    n = max(len(x), 1)
-    step = 1 / max(np.linalg.norm(x, 2) ** 2 / n, 1e-12)
-    w = z = np.zeros(x.shape[1])
-    m, best, kept, bad = 1.0, np.inf, w, 0
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Each matrix of a stack times its vector."""
+    return np.matmul(x, w[..., None])[..., 0]
+
+
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of each row of ``a`` with its row of ``b``; 0 where either is constant."""
+    if a.shape[1] < 2:
+        return np.zeros(len(a))
+    x = np.stack((a, b), 1)
+    x = x - x.mean(2, keepdims=True)
+    c = np.matmul(x, x.swapaxes(1, 2)) * np.true_divide(1, a.shape[1] - 1)
+    with np.errstate(all="ignore"):
+        r = np.clip(c[:, 0, 1] / np.sqrt(c[:, 0, 0]) / np.sqrt(c[:, 1, 1]), -1, 1)
+        return np.where((a.std(1) > 1e-12) & (b.std(1) > 1e-12), r, 0.0)
+
+
+def lasso_paths(x: np.ndarray, y: np.ndarray, beta: np.ndarray, xd: np.ndarray, yd: np.ndarray, rounds: int = 1000, least: int = 50, patience: int = 5) -> np.ndarray:
+    """Least squares with an L1 penalty by accelerated proximal steps, of a stack of problems of one shape and a penalty each; one stops when
+    its error on the development part has not fallen for ``patience`` checks, and is not worked on any further."""
+    n = max(x.shape[1], 1)
+    top = np.full(len(x), np.nan)
+    whole = np.isfinite(x).all((1, 2))
+    top[whole] = np.linalg.svd(x[whole], compute_uv=False).max(-1, initial=0.0) if x.shape[1] else 0.0
+    step, beta = 1 / np.maximum(top**2 / n, 1e-12)[:, None], np.asarray(beta, float)[:, None]
+    out = np.zeros((len(x), x.shape[2]))
+    w = z = kept = out.copy()
+    m, best, bad, live = 1.0, np.full(len(x), np.inf), np.zeros(len(x), int), np.arange(len(x))
     for k in range(rounds):
-        u = z - step * (x.T @ (x @ z - y)) / n
+        u = z - step * times(x.swapaxes(1, 2), times(x, z) - y) / n
         new = np.sign(u) * np.maximum(np.abs(u) - step * beta, 0)
         m2 = (1 + np.sqrt(1 + 4 * m * m)) / 2
         z, w, m = new + (m - 1) / m2 * (new - w), new, m2
         if k % 10 == 0:
-            e = float(np.mean((yd - xd @ w) ** 2)) if len(yd) else float(np.mean((y - x @ w) ** 2))
-            if e < best - 1e-9:
-                best, kept, bad = e, w, 0
-            elif k >= least:
-                bad += 1
-                if bad >= patience:
-                    break
-    return kept
+            rest = yd - times(xd, w) if yd.shape[1] else y - times(x, w)
+            e = np.mean(rest**2, 1) if rest.shape[1] else np.full(len(rest), np.nan)
+            better = e < best - 1e-9
+            best, kept = np.where(better, e, best), np.where(better[:, None], w, kept)
+            bad = np.where(better, 0, bad + (k >= least))
+            on = bad < patience
+            if not on.all():
+                out[live[~on]] = kept[~on]
+                if not on.any():
+                    return out
+                x, y, xd, yd, step, beta, w, z, kept, best, bad, live = (v[on] for v in (x, y, xd, yd, step, beta, w, z, kept, best, bad, live))
+    out[live] = kept
+    return out
 
 
 def _crossings(image: np.ndarray, level: float) -> dict:

@@ -169,6 +169,32 @@ def outline_lines(srf: DataFrame, key: str, levels: list[float], scale: bool = T
     return srf.groupBy(key).applyInPandas(run, f"`{key}` {kind}, level double, line int, closed boolean, length double, area double, points array<array<double>>")
 
 
+def _fitted(samples: DataFrame, key: str, stimulus: str, response: str, fit, schema: str, width: int) -> DataFrame:
+    """Rows of ``fit``, which takes the keys of one length at a time: a stack of stimuli and one of responses (keys by samples), and gives for each column a
+    value a key, or None for no rows.  A stack has about 2^20 / ``width`` samples, a longer key its own."""
+    import numpy as np
+    import pyarrow as pa
+
+    from epochal.functions.shared import rows_of
+
+    def run(batches):
+        for b in batches:
+            n = pa.compute.list_value_length(b.column(1)).to_numpy()
+            for length in np.unique(n):
+                which, most = np.flatnonzero(n == length), max(1, (1 << 20) // (int(length) * width))
+                for low in range(0, len(which), most):
+                    part = b.take(pa.array(which[low : low + most]))
+                    found = fit(rows_of(part.column(1)), rows_of(part.column(2)))
+                    if found is not None:
+                        yield pa.RecordBatch.from_arrays([part.column(0), *found], names)
+
+    values = F.sort_array(F.collect_list(F.struct("i", F.col(stimulus).cast("double").alias("s"), F.col(response).cast("double").alias("r"))))
+    rows = samples.groupBy(key).agg(values.alias("_a")).select(key, F.col("_a.s").alias("s"), F.col("_a.r").alias("r"))
+    kind = samples.schema[key].dataType.simpleString()
+    names = [key, *(c.strip().split()[0] for c in schema.split(","))]
+    return rows.mapInArrow(run, f"`{key}` {kind}, {schema}")
+
+
 def spline_filter(samples: DataFrame, key: str, stimulus: str, response: str, lags: int, dfs: list[int], betas: list[float], test: float = 0.2, dev: float = 0.2, shuffles: int = 20, seed: int = 42) -> DataFrame:
     """Filter as a sum of splines, one row a key: (df, beta, filter, cc_dev, cc_test, mse_test, p_value).
 
@@ -176,40 +202,44 @@ def spline_filter(samples: DataFrame, key: str, stimulus: str, response: str, la
     between them. Every df and beta is fitted with an L1 penalty and early stopping; the best correlation on
     the development part wins. ``p_value``: share of shuffled lag orders whose test correlation is at least as high."""
     import numpy as np
-    import pandas as pd
-
-    from epochal.functions.fitting import bspline_basis, lagged, lasso_path
+    import pyarrow as pa
 
-    def corr(a, b):
-        return float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() > 1e-12 and b.std() > 1e-12 else 0.0
+    from epochal.functions.fitting import bspline_basis, correlations, lagged, lasso_paths, times
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")
-        x, y = lagged(p[stimulus].to_numpy(float), lags), p[response].to_numpy(float)
-        n = len(y)
+    def fit(stim: np.ndarray, y: np.ndarray) -> list:
+        keys, n = y.shape
+        x = lagged(stim, lags)
         b = int(n * (1 - test))
         a = int(b * (1 - dev))
-        mean, sd = (y[:a].mean(), y[:a].std() or 1.0) if a else (0.0, 1.0)
-        y = (y - mean) / sd
-        xm = x[:a].mean(0) if a else np.zeros(lags)
-        x = x - xm
+        if a:
+            sd = y[:, :a].std(1, keepdims=True)
+            y = (y - y[:, :a].mean(1, keepdims=True)) / np.where(sd == 0, 1.0, sd)
+            x = x - x[:, :a].mean(1, keepdims=True)
         d, t = slice(min(a + lags, b), b), slice(min(b + lags, n), n)
-        best = None
-        for df in dfs:
-            basis = bspline_basis(lags, min(df, lags))
-            for beta in betas:
-                w = basis @ lasso_path(x[:a] @ basis, y[:a], beta, x[d] @ basis, y[d])
-                score = corr(x[d] @ w, y[d])
-                if best is None or score > best[0] + 1e-12:
-                    best = (score, df, beta, w)
-        score, df, beta, w = best
-        true = corr(x[t] @ w, y[t])
+        score = None
+        again = lambda v: np.concatenate([v] * len(betas))
+        for f in dfs:
+            basis = bspline_basis(lags, min(f, lags))
+            found = lasso_paths(again(x[:, :a] @ basis), again(y[:, :a]), np.repeat(betas, keys), again(x[:, d] @ basis), again(y[:, d]))
+            for k, penalty in enumerate(betas):
+                v = times(basis, found[k * keys : (k + 1) * keys])
+                new = correlations(times(x[:, d], v), y[:, d])
+                if score is None:
+                    score, df, beta, w = new, np.full(keys, f), np.full(keys, penalty, float), v
+                    continue
+                better = new > score + 1e-12
+                score, df, beta, w = np.where(better, new, score), np.where(better, f, df), np.where(better, penalty, beta), np.where(better[:, None], v, w)
+        guess = times(x[:, t], w)
+        true = correlations(guess, y[:, t])
         rng = np.random.default_rng(seed)
-        null = [corr(x[t] @ rng.permutation(w), y[t]) for _ in range(shuffles)]
-        mse = float(np.mean((x[t] @ w - y[t]) ** 2)) if n > b + lags else None
-        return pd.DataFrame([{key: p[key].iloc[0], "df": df, "beta": beta, "filter": w, "cc_dev": score, "cc_test": true, "mse_test": mse, "p_value": float(np.mean([v >= true for v in null]))}])
-
-    return samples.groupBy(key).applyInPandas(run, f"{key} long, df int, beta double, filter array<double>, cc_dev double, cc_test double, mse_test double, p_value double")
+        orders = np.array([rng.permutation(lags) for _ in range(shuffles)], int).reshape(shuffles, lags)
+        null = times(x[:, None, t], w[:, orders]).reshape(keys * shuffles, t.stop - t.start)
+        high = correlations(null, np.repeat(y[:, t], shuffles, 0)).reshape(keys, shuffles) >= true[:, None]
+        mse = np.mean((guess - y[:, t]) ** 2, 1) if n > b + lags else np.full(keys, np.nan)
+        doubles = [pa.array(v, pa.float64(), from_pandas=True) for v in (score, true, mse, high.mean(1) if shuffles else np.full(keys, np.nan))]
+        return [pa.array(df, pa.int32()), pa.array(beta, pa.float64()), pa.array(list(w), pa.list_(pa.float64())), *doubles]
+
+    return _fitted(samples.withColumn(key, F.col(key).cast("long")), key, stimulus, response, fit, "df int, beta double, filter array<double>, cc_dev double, cc_test double, mse_test double, p_value double", lags + shuffles)
 
 
 def response_model(samples: DataFrame, key: str, stimulus: str, response: str, lags: int, dfs: list[int], betas: list[float], loss: str = "poisson", output: str = "softplus", test: float = 0.2, dev: float = 0.2) -> DataFrame:

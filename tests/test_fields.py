@@ -294,3 +294,53 @@ def test_process_steps(spark):
     assert min(r["v"] for r in series.process(df, "k", positive=True, standardise=2, cutoff=1.0, fs=10.0).collect()) == 0
     with pytest.raises(ValueError):
         series.process(df, "k", baseline=True)
+
+
+def one_lasso(x, y, beta, xd, yd, rounds=1000, least=50, patience=5):
+    """Accelerated proximal steps of a single problem, in full."""
+    step = 1 / max(np.linalg.norm(x, 2) ** 2 / len(x), 1e-12)
+    w = z = np.zeros(x.shape[1])
+    m, best, kept, bad = 1.0, np.inf, w, 0
+    for k in range(rounds):
+        u = z - step * (x.T @ (x @ z - y)) / len(x)
+        new = np.sign(u) * np.maximum(np.abs(u) - step * beta, 0)
+        m2 = (1 + np.sqrt(1 + 4 * m * m)) / 2
+        z, w, m = new + (m - 1) / m2 * (new - w), new, m2
+        if k % 10 == 0:
+            e = np.mean((yd - xd @ w) ** 2)
+            if e < best - 1e-9:
+                best, kept, bad = e, w, 0
+            elif k >= least:
+                bad += 1
+                if bad >= patience:
+                    break
+    return kept
+
+
+def test_filters_of_many_keys_are_fitted_together(monkeypatch):
+    """A stack of problems ends each where it would end alone, in about the steps of its slowest one."""
+    rng = np.random.default_rng(5)
+    x, xd = rng.normal(size=(60, 40, 5)), rng.normal(size=(60, 12, 5))
+    x[0], x[1, :, 2] = 0.0, x[1, :, 1]
+    w = rng.normal(size=(60, 5))
+    y, yd = np.einsum("kij,kj->ki", x, w) + rng.normal(size=(60, 40)), np.einsum("kij,kj->ki", xd, w) + rng.normal(size=(60, 12))
+    beta = rng.choice([0.001, 0.1, 3.0], 60)
+    calls, times = [], fitting.times
+    monkeypatch.setattr(fitting, "times", lambda *a: calls.append(1) or times(*a))
+    got = fitting.lasso_paths(x, y, beta, xd, yd)
+    assert len(calls) <= 2 * 1000 + 100
+    for k in range(60):
+        assert np.allclose(got[k], one_lasso(x[k], y[k], beta[k], xd[k], yd[k]), atol=1e-12)
+
+
+def test_spline_filter_of_keys_of_many_lengths(spark):
+    """Every key as it is alone; a key with missing responses has no filter and harms no other."""
+    rng = np.random.default_rng(6)
+    rows = [(k, i, float(rng.integers(2)), float(rng.normal()) if k != 3 or i != 4 else None) for k, n in enumerate([30, 41, 30, 30, 2, 75, 41]) for i in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "k long, i int, s double, r double")
+    args = ("k", "s", "r", 5, [3, 4], [0.001, 0.01])
+    got = {r["k"]: r for r in receptive.spline_filter(df, *args).collect()}
+    assert sorted(got) == list(range(7)) and got[3]["filter"] == [0.0] * 5 and got[3]["mse_test"] is None and got[4]["cc_test"] == 0
+    for k in (0, 1, 5):
+        assert receptive.spline_filter(df.where(F.col("k") == k), *args).first() == got[k]
+    assert receptive.spline_filter(df, *args, shuffles=0).where("p_value is not null").count() == 0
