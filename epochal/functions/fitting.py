@@ -442,63 +442,84 @@ def deviance(y: np.ndarray, rate: np.ndarray, loss: str) -> float:
     return float(np.mean(rate - y * np.log(np.maximum(rate, 1e-12))))
 
 
-def newton_step(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, beta: float, loss: str, output: str, sweeps: int = 50) -> tuple[np.ndarray, float]:
-    """The minimum of the loss' quadratic model at (w, b) plus ``beta`` times the weights' sizes, by coordinate descent; the constant is free."""
+def deviances(y: np.ndarray, rate: np.ndarray, loss: str) -> np.ndarray:
+    """:func:`deviance` of each row."""
+    if loss == "gaussian":
+        return np.mean((y - rate) ** 2, 1) / 2
+    return np.mean(rate - y * np.log(np.maximum(rate, 1e-12)), 1)
+
+
+def newton_steps(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, beta: float, loss: str, output: str, sweeps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Of each problem of a stack the minimum of the loss' quadratic model at (w, b) plus ``beta`` times the weights' sizes, by coordinate descent; the
+    constants are free."""
     link, slope = OUTPUTS[output]
-    z = x @ w + b
+    z = times(x, w) + b[:, None]
     rate, d = link(z), slope(z)
     if loss == "poisson":
         rate = np.maximum(rate, 1e-12)
         g, h = (1 - y / rate) * d, d * d / rate
     else:
         g, h = (rate - y) * d, d * d
-    a = np.column_stack((x, np.ones(len(x))))
-    grad, curve = a.T @ g / len(y), (a * h[:, None]).T @ a / len(y)
-    v = np.append(w, b)
-    at, step = v.copy(), np.zeros(len(v))
+    a = np.concatenate((x, np.ones((*y.shape, 1))), 2)
+    grad, curve = times(a.swapaxes(1, 2), g) / y.shape[1], np.matmul((a * h[..., None]).swapaxes(1, 2), a) / y.shape[1]
+    at = np.column_stack((w, b))
+    out, step, live = at.copy(), np.zeros(at.shape), np.arange(len(at))
     for _ in range(sweeps):
-        moved = 0.0
-        for j in range(len(v)):
-            c = curve[j, j] + 1e-12
-            want = at[j] - (grad[j] + curve[j] @ step) / c
-            if j < len(w):
-                want = np.sign(want) * max(abs(want) - beta / c, 0.0)
-            delta = want - at[j]
-            if delta:
-                at[j] += delta
-                step[j] += delta
-                moved = max(moved, abs(delta))
-        if moved < 1e-10:
-            break
-    return at[:-1], float(at[-1])
+        moved = np.zeros(len(at))
+        for j in range(at.shape[1]):
+            c = curve[:, j, j] + 1e-12
+            want = at[:, j] - (grad[:, j] + np.matmul(curve[:, j, None, :], step[..., None])[:, 0, 0]) / c
+            if j < w.shape[1]:
+                want = np.sign(want) * np.maximum(np.abs(want) - beta / c, 0.0)
+            delta = want - at[:, j]
+            at[:, j] += delta
+            step[:, j] += delta
+            moved = np.fmax(moved, np.abs(delta))
+        on = moved >= 1e-10
+        if not on.all():
+            out[live[~on]] = at[~on]
+            at, step, grad, curve, live = (v[on] for v in (at, step, grad, curve, live))
+            if not len(live):
+                break
+    out[live] = at
+    return out[:, :-1], out[:, -1].copy()
 
 
-def penalised_path(x: np.ndarray, y: np.ndarray, betas, loss: str = "poisson", output: str = "softplus", rounds: int = 50) -> dict[float, tuple[np.ndarray, float]]:
-    """{beta: (weights, constant)} of a generalised linear model with an L1 penalty, by proximal Newton steps with halving; each beta starts
-    where the one above it ended."""
+def penalised_paths(x: np.ndarray, y: np.ndarray, betas, loss: str = "poisson", output: str = "softplus", rounds: int = 50) -> dict[float, tuple[np.ndarray, np.ndarray]]:
+    """{beta: (weights, constants)} of generalised linear models with an L1 penalty, of a stack of problems of one shape, by proximal Newton steps
+    with halving; each beta starts where the one above it ended.  A problem that has converged is not worked on any further."""
     link, _ = OUTPUTS[output]
-    w, mean = np.zeros(x.shape[1]), float(np.mean(y))
-    b = {"none": mean, "exponential": np.log(max(mean, 1e-6)), "softplus": np.log(np.expm1(max(mean, 1e-6)))}[output]
+    w, mean = np.zeros((len(x), x.shape[2])), y.mean(1)
+    b = {"none": mean, "exponential": np.log(np.maximum(mean, 1e-6)), "softplus": np.log(np.expm1(np.maximum(mean, 1e-6)))}[output].copy()
     out = {}
     for beta in sorted(betas, reverse=True):
-        cost = lambda v, c, beta=beta: deviance(y, link(x @ v + c), loss) + beta * np.abs(v).sum()
-        now = cost(w, b)
+        cost = lambda xs, ys, v, c, beta=beta: deviances(ys, link(times(xs, v) + c[:, None]), loss) + beta * np.abs(v).sum(1)
+        now, live, xs, ys = cost(x, y, w, b), np.arange(len(x)), x, y
         for _ in range(rounds):
-            tw, tb = newton_step(x, y, w, b, beta, loss, output)
-            size, before = 1.0, now
-            while size > 1e-6:
-                nw, nb = w + size * (tw - w), b + size * (tb - b)
-                then = cost(nw, nb)
-                if then <= now:
-                    w, b, now = nw, nb, then
-                    break
+            tw, tb = newton_steps(xs, ys, w[live], b[live], beta, loss, output)
+            size, before, todo = 1.0, now[live], np.arange(len(live))
+            while size > 1e-6 and len(todo):
+                at = live[todo]
+                nw, nb = w[at] + size * (tw[todo] - w[at]), b[at] + size * (tb[todo] - b[at])
+                then = cost(xs[todo], ys[todo], nw, nb)
+                fell = then <= now[at]
+                w[at[fell]], b[at[fell]], now[at[fell]] = nw[fell], nb[fell], then[fell]
+                todo = todo[~fell]
                 size /= 2
-            if before - now < 1e-10 * max(1.0, abs(before)):
-                break
-        out[beta] = w.copy(), float(b)
+            on = before - now[live] >= 1e-10 * np.maximum(1.0, np.abs(before))
+            if not on.all():
+                live, xs, ys = live[on], xs[on], ys[on]
+                if not len(live):
+                    break
+        out[beta] = w.copy(), b.copy()
     return out
 
 
+def penalised_path(x: np.ndarray, y: np.ndarray, betas, loss: str = "poisson", output: str = "softplus", rounds: int = 50) -> dict[float, tuple[np.ndarray, float]]:
+    """:func:`penalised_paths` of one problem."""
+    return {beta: (w[0], float(b[0])) for beta, (w, b) in penalised_paths(x[None], y[None], betas, loss, output, rounds).items()}
+
+
 class Mixture:
     """A Gaussian mixture: weights, means, and a covariance a component (or one for all)."""
 

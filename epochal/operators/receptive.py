@@ -249,40 +249,40 @@ def response_model(samples: DataFrame, key: str, stimulus: str, response: str, l
     :func:`spline_filter`.  For every number of splines the penalties are gone through from the largest, each starting
     from the one before; the least loss on the development part wins.  ``null_loss``: of the training part's mean, on the test part."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    from epochal.functions.fitting import OUTPUTS, bspline_basis, deviance, lagged, penalised_path
+    from epochal.functions.fitting import OUTPUTS, bspline_basis, correlations, deviances, lagged, penalised_paths, times
 
     if loss not in ("poisson", "gaussian") or output not in OUTPUTS or (loss == "poisson" and output == "none"):
         raise ValueError("loss is poisson or gaussian; output softplus, exponential or (gaussian only) none")
     link = OUTPUTS[output][0]
-    kind = samples.schema[key].dataType.simpleString()
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")
-        x, y = lagged(p[stimulus].to_numpy(float), lags), p[response].to_numpy(float)
-        n = len(y)
+    def run(stim: np.ndarray, y: np.ndarray) -> list | None:
+        keys, n = y.shape
+        x = lagged(stim, lags)
         b = int(n * (1 - test))
         a = int(b * (1 - dev))
-        names = [key, "df", "beta", "filter", "intercept", "dev_loss", "test_loss", "null_loss", "cc_test"]
         d, t = slice(min(a + lags, b), b), slice(min(b + lags, n), n)
         if not a or d.start == d.stop or t.start == t.stop:
-            return pd.DataFrame([], columns=names)
-        best = None
-        for df in dfs:
-            basis = bspline_basis(lags, min(df, lags))
-            for beta, (v, c) in penalised_path(x[:a] @ basis, y[:a], betas, loss, output).items():
-                w = basis @ v
-                score = deviance(y[d], link(x[d] @ w + c), loss)
-                if best is None or score < best[0] - 1e-12:
-                    best = (score, df, beta, w, c)
-        score, df, beta, w, c = best
-        fit = link(x[t] @ w + c)
-        cc = float(np.corrcoef(fit, y[t])[0, 1]) if fit.std() > 1e-12 and y[t].std() > 1e-12 else 0.0
-        null = deviance(y[t], np.full(t.stop - t.start, max(y[:a].mean(), 1e-12)), loss)
-        return pd.DataFrame([(k[0], df, beta, w, c, score, deviance(y[t], fit, loss), null, cc)], columns=names)
-
-    return samples.groupBy(key).applyInPandas(run, f"`{key}` {kind}, df int, beta double, filter array<double>, intercept double, dev_loss double, test_loss double, null_loss double, cc_test double")
+            return None
+        score = None
+        for f in dfs:
+            basis = bspline_basis(lags, min(f, lags))
+            for penalty, (v, const) in penalised_paths(x[:, :a] @ basis, y[:, :a], betas, loss, output).items():
+                v = times(basis, v)
+                new = deviances(y[:, d], link(times(x[:, d], v) + const[:, None]), loss)
+                if score is None:
+                    score, df, beta, w, c = new, np.full(keys, f), np.full(keys, penalty, float), v, const
+                    continue
+                better = new < score - 1e-12
+                score, df, beta, c = (np.where(better, p, q) for p, q in ((new, score), (f, df), (penalty, beta), (const, c)))
+                w = np.where(better[:, None], v, w)
+        fit = link(times(x[:, t], w) + c[:, None])
+        null = deviances(y[:, t], np.repeat(np.maximum(y[:, :a].mean(1), 1e-12)[:, None], t.stop - t.start, 1), loss)
+        doubles = [pa.array(v, pa.float64(), from_pandas=True) for v in (c, score, deviances(y[:, t], fit, loss), null, correlations(fit, y[:, t]))]
+        return [pa.array(df, pa.int32()), pa.array(beta, pa.float64()), pa.array(list(w), pa.list_(pa.float64())), *doubles]
+
+    return _fitted(samples, key, stimulus, response, run, "df int, beta double, filter array<double>, intercept double, dev_loss double, test_loss double, null_loss double, cc_test double", lags)
 
 
 def offset(centres: DataFrame, width: int, height: int, px: float, py: float, stim_x: float = 0.0, stim_y: float = 0.0) -> DataFrame:

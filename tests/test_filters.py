@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal import queries
+from epochal.functions import fitting
 from epochal.functions.fitting import OUTPUTS, deviance, penalised_path
 from epochal.operators import filters, receptive
 
@@ -81,3 +82,32 @@ def test_planted_filter_from_counts(spark):
     assert np.corrcoef(out[0]["filter"], true)[0, 1] > 0.97 and out[0]["test_loss"] < out[0]["null_loss"] - 0.05
     with pytest.raises(ValueError, match="loss"):
         receptive.response_model(df, "k", "s", "y", 8, [6], [0.1], "poisson", "none")
+
+
+def test_models_of_many_keys_are_fitted_together(monkeypatch):
+    """A stack of problems ends each where it would end alone and at the least cost, in about the steps of its slowest one."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 60, 4))
+    x[0], x[1, :, 2] = 0.0, x[1, :, 1]
+    y = rng.poisson(np.logaddexp(0, x @ np.array([0.8, 0, -0.5, 0.1]))).astype(float)
+    y[2], y[3, 0] = 0.0, np.nan
+    steps, step = [], fitting.newton_steps
+    monkeypatch.setattr(fitting, "newton_steps", lambda *a: steps.append(len(a[0])) or step(*a))
+    got = fitting.penalised_paths(x, y, [0.2, 0.01])
+    assert len(steps) <= 2 * 50
+    for k in range(40):
+        for beta, (w, b) in penalised_path(x[k], y[k], [0.2, 0.01]).items():
+            assert np.array_equal(got[beta][0][k], w) and np.array_equal(got[beta][1][k], b, equal_nan=True)
+            cost = lambda v, c, k=k, beta=beta: deviance(y[k], OUTPUTS["softplus"][0](x[k] @ v + c), "poisson") + beta * np.abs(v).sum()
+            assert k in (2, 3) or all(cost(w, b) <= cost(w + d[:4], b + d[4]) + 1e-9 for d in 1e-3 * rng.normal(size=(20, 5)))
+
+
+def test_response_model_of_keys_of_many_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"k{k}", i, float(rng.integers(2)), float(rng.poisson(2))) for k, n in enumerate([40, 55, 40, 3, 40]) for i in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "k string, i int, s double, y double")
+    args = ("k", "s", "y", 5, [3, 4], [0.001, 0.01])
+    got = {r["k"]: r for r in receptive.response_model(df, *args).collect()}
+    assert sorted(got) == ["k0", "k1", "k2", "k4"]
+    for k in ("k0", "k1"):
+        assert receptive.response_model(df.where(F.col("k") == k), *args).first() == got[k]
