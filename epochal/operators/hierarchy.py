@@ -5,8 +5,12 @@ average and complete linkage a merged cluster is never nearer to a third than th
 that these are the very merges of taking the closest pair each time, and the tree is cut by their heights afterwards.
 The table of nearest neighbours is kept; only clusters that merged, or whose neighbour did, are searched anew.
 
+For Ward's and average linkage each cluster keeps all others up to a bound, its nearest in a ``_SHARE``-th of the clusters: some ``_SHARE`` others on
+average, whatever the bound is worth.  A merged cluster is met with all others once, and those within whose bounds it is take it up; a cluster whose
+list still holds one knows its nearest without a search.
+
 A search deals the asking and the asked clusters out to blocks and meets every pair of blocks in a task of its own, which holds two
-blocks of about ``block`` vectors; n vectors asked by m take m n / block rows of shuffle.  The work is quadratic in the number of distinct vectors, as
+blocks of about ``block`` vectors; n vectors asked by m take m n / block rows of shuffle (asked by themselves: each pair of blocks once).  The work is quadratic in the number of distinct vectors, as
 the exact tree is.  Ward's and average linkage need a mean a cluster; their blocks grow with the table, up to 16 MB of vectors, and a
 product of single-precision matrices with a bound on its error leaves the few pairs whose distances are then taken in full.  Complete linkage
 keeps its members, and the members of a cluster of over half a block are dealt over blocks and met by their largest distances.
@@ -32,6 +36,9 @@ _POINTS = "c long, w double, whole boolean, x array<double>"
 _NEAR = "c long, o long, d double, final boolean"
 _BYTES = 16 << 20  # of vectors in a block of means
 _DEALT = 8  # pairs of blocks a core, where there are enough clusters
+_SHARE = 16  # others that a list holds, on average
+_EVERY = 2**63 - 1
+_TILE = 256, 1024  # rows and columns of a product
 
 
 def standard(vector: str):
@@ -119,25 +126,30 @@ def _candidates(u: np.ndarray, mine: np.ndarray, weights: np.ndarray, x: np.ndar
         yield i + low, j
 
 
+def _first(u: np.ndarray, mine: np.ndarray, weights: np.ndarray, x: np.ndarray, c: np.ndarray, w: np.ndarray, linkage: str):
+    """(c, o, d): the nearest other of each row of ``u`` among the rows of ``x``, which are in the order of ``c``."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, j in _candidates(u, mine, weights, x, c, w, linkage):
+        d = np.empty(len(i))
+        for low in range(0, len(i), 1 << 14):
+            p, q = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
+            d[low : low + len(p)] = gaps(u[p], weights[p], x[q], w[q], linkage)
+        order = np.lexsort((j, d, i))  # of equal ones the smallest number is first
+        i, j, d = i[order], j[order], d[order]
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))[: len(i)])
+        out.append((mine[i[first]], c[j[first]], d[first]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+
+
 def _near(linkage: str):
     """What the means of one block find in another: each its nearest other one."""
 
     def meet(key: tuple, asking: pa.Table, asked: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        k, o, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if asking.num_rows and asked.num_rows:
             order = np.argsort(asked["c"].to_numpy(), kind="stable")
             c, w, x = asked["c"].to_numpy()[order], asked["w"].to_numpy()[order], rows_of(asked["x"])[order]
-            mine, weights, u = asking["c"].to_numpy(), asking["w"].to_numpy(), rows_of(asking["x"])
-            for i, j in _candidates(u, mine, weights, x, c, w, linkage):
-                d = np.empty(len(i))
-                for low in range(0, len(i), 1 << 14):
-                    p, q = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
-                    d[low : low + len(p)] = gaps(u[p], weights[p], x[q], w[q], linkage)
-                order = np.lexsort((j, d, i))  # of equal ones the smallest number is first
-                i, j, d = i[order], j[order], d[order]
-                first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))[: len(i)])
-                out.append((mine[i[first]], c[j[first]], d[first]))
-        k, o, d = (np.concatenate(p) for p in zip(*out, strict=True))
+            k, o, d = _first(rows_of(asking["x"]), asking["c"].to_numpy(), asking["w"].to_numpy(), x, c, w, linkage)
         return pa.table({"c": k, "o": o, "d": d, "final": np.ones(len(k), bool)}, schema=pa.schema([("c", pa.int64()), ("o", pa.int64()), ("d", pa.float64()), ("final", pa.bool_())]))
 
     return meet
@@ -168,6 +180,91 @@ def nearest(asking: DataFrame, asked: DataFrame, n_asking: int, n_asked: int, li
     return out
 
 
+def _close(u: np.ndarray, weights: np.ndarray, most: np.ndarray, x: np.ndarray, w: np.ndarray, bounds: np.ndarray, linkage: str, both: bool):
+    """Pairs (i, j) of rows of ``u`` and ``x``, a tile at a time: all whose distance can be ``most`` [i] or less, or (``both``) ``bounds`` [j] or less.
+
+    The products are in single precision and lessened by a bound on their error.  Rows of one weight share a matrix that is scaled to distances."""
+    ward = linkage == "ward"
+    good, able = np.isfinite(x).all(1), np.isfinite(u).all(1)
+    x, u = np.where(good[:, None], x, 0.0), np.where(able[:, None], u, 0.0)
+    if ward:
+        middle = x.mean(0)
+        x, u = x - middle, u - middle
+        scale = max(np.abs(x).max(initial=0.0), np.abs(u).max(initial=0.0)) or 1.0
+        x, u = x / scale, u / scale
+        most, bounds = most / scale / scale, bounds / scale / scale
+    most, bounds = (np.nextafter((b + np.abs(b) * 1e-6).astype(np.float32), np.float32(np.inf)) for b in (most, bounds))
+    nx, nu = (x * x).sum(1), (u * u).sum(1)
+    slack = 1.5 * 2.0**-23 * (x.shape[1] + 32) * (nu + nx.max()) + 1e-30
+    if ward:
+        left, right = np.column_stack((-2 * u, nu - slack, np.ones(len(u)))), np.column_stack((x, np.ones(len(x)), nx))
+    else:
+        left, right = np.column_stack((-u, 1 - slack)), np.column_stack((x, np.ones(len(x))))
+    left = left.astype(np.float32)
+    room, fits, more = np.empty(_TILE, np.float32), np.empty(_TILE, bool), np.empty(_TILE, bool)
+    for weight in np.unique(weights) if ward else [None]:
+        rows = np.flatnonzero(able if weight is None else able & (weights == weight))
+        scaled = np.ascontiguousarray((right * (2 * weight * w / (weight + w))[:, None] if ward else right).astype(np.float32).T)
+        for first in range(0, len(x), _TILE[1]):
+            part = np.ascontiguousarray(scaled[:, first : first + _TILE[1]])
+            for low in range(0, len(rows), _TILE[0]):
+                at = rows[low : low + _TILE[0]]
+                d, fit, other = (t.reshape(-1)[: len(at) * part.shape[1]].reshape(len(at), -1) for t in (room, fits, more))
+                np.matmul(left[at], part, out=d)
+                np.less_equal(d, most[at][:, None], out=fit)
+                if both:
+                    np.less_equal(d, bounds[first : first + part.shape[1]], out=other)
+                    np.logical_or(fit, other, out=fit)
+                i, j = np.divmod(np.flatnonzero(fit), part.shape[1])
+                i, j = at[i], j + first
+                yield i[good[j]], j[good[j]]
+
+
+def _within(linkage: str):
+    """What the means of one block find in another up to the bounds (r, m) of either: less than r away, or r and numbered m at most."""
+
+    def meet(key: tuple, asking: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asking.num_rows and asked.num_rows:
+            both = key[0].as_py() != key[1].as_py()  # a block that meets itself holds each pair twice
+            (c, w, r, m), x = (asked[k].to_numpy() for k in ("c", "w", "r", "m")), rows_of(asked["x"])
+            (mine, weights, most, last), u = (asking[k].to_numpy() for k in ("c", "w", "r", "m")), rows_of(asking["x"])
+            for i, j in _close(u, weights, most, x, w, r, linkage, both):
+                for low in range(0, len(i), 1 << 14):
+                    p, q = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
+                    d = gaps(u[p], weights[p], x[q], w[q], linkage)
+                    a, b = mine[p], c[q]
+                    pair = np.isfinite(d) & (a != b)
+                    sure = pair & ((d < most[p]) | (d == most[p]) & (b <= last[p]))
+                    out.append((a[sure], b[sure], d[sure]))
+                    if both:
+                        sure = pair & ((d < r[q]) | (d == r[q]) & (a <= m[q]))
+                        out.append((b[sure], a[sure], d[sure]))
+        k, o, d = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table({"c": k, "o": o, "d": d}, schema=pa.schema([("c", pa.int64()), ("o", pa.int64()), ("d", pa.float64())]))
+
+    return meet
+
+
+def within(asking: DataFrame, others: DataFrame, n_asking: int, n_others: int, linkage: str, block: int) -> DataFrame:
+    """(c, o, d): all pairs of an asking cluster and another, asking or not, up to the bound of ``c``; rows are (c, w, x, r, m)."""
+    rows, columns = max(1, math.ceil(n_asking / block)), math.ceil(n_others / block)
+    columns_ = ["_r", "_c", "c", "w", "x", "r", "m"]
+
+    def dealt(n: int):
+        return F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
+
+    left = asking.withColumn("_r", dealt(rows)).withColumn("_c", F.explode(F.sequence(F.col("_r"), F.lit(rows + columns - 1)))).select(columns_)
+    right = asking.withColumn("_c", dealt(rows)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_c")))).select(columns_)
+    if columns:
+        right = right.unionByName(others.withColumn("_c", F.lit(rows) + dealt(columns)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).select(columns_))
+    left, right = (t.select(*[F.col(c).alias(c) for c in columns_]) for t in (left, right))
+    # As many tasks as there are pairs of blocks, up to some a core.
+    tasks = min(rows * (rows + 1) // 2 + rows * columns, 4 * _DEALT * asking.sparkSession.sparkContext.defaultParallelism)
+    left, right = (t.repartition(tasks, "_r", "_c") for t in (left, right))
+    return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(_within(linkage), "c long, o long, d double")
+
+
 def _merged(points: DataFrame, pairs: DataFrame, sizes: DataFrame, linkage: str, block: int) -> DataFrame:
     """Points after the merges (a, b): b is part of a from now on."""
     if linkage == "complete":
@@ -182,52 +279,139 @@ def _merged(points: DataFrame, pairs: DataFrame, sizes: DataFrame, linkage: str,
     return points.join(gone, "c", "left_anti").unionByName(new)
 
 
-def _last(linkage: str):
-    """All merges of a bounded number of means, in one task."""
+def _last(linkage: str, limit: float | None = None, few: int = 256):
+    """All merges of a bounded number of means, in one task: by rounds, and one after another where ``few`` are left."""
 
     def merge(table: pa.Table) -> pa.Table:
         order = np.argsort(table["c"].to_numpy())
-        c, w, x = table["c"].to_numpy()[order].tolist(), table["w"].to_numpy()[order].copy(), rows_of(table["x"])[order]
+        c, w, x = table["c"].to_numpy()[order], table["w"].to_numpy()[order].copy(), rows_of(table["x"])[order]
+        near, least, ask, out, step = np.full(len(c), -1), np.full(len(c), np.inf), np.ones(len(c), bool), [], 0
+        while len(c) > few:
+            near[ask] = -1
+            k, o, d = _first(x[ask], c[ask], w[ask], x, c, w, linkage)
+            at = np.searchsorted(c, k)
+            near[at], least[at] = np.searchsorted(c, o), d
+            own = np.arange(len(c))
+            a = np.flatnonzero((near > own) & (near[near] == own) & ((least <= limit) if limit is not None else True))
+            if not len(a):
+                return made(out)
+            b = near[a]
+            out += zip([step] * len(a), least[a].tolist(), c[a].tolist(), c[b].tolist(), strict=True)
+            x[a] = (w[a, None] * x[a] + w[b, None] * x[b]) / (w[a] + w[b])[:, None]
+            w[a] += w[b]
+            ask = np.zeros(len(c), bool)
+            ask[a] = ask[b] = True
+            ask |= (near < 0) | ask[near]
+            stay = np.ones(len(c), bool)
+            stay[b] = False
+            moved = np.cumsum(stay) - 1
+            c, w, x, ask, least, near = c[stay], w[stay], x[stay], ask[stay], least[stay], np.where(near[stay] < 0, -1, moved[near[stay]])
+            step += 1
+        begun = step
         n = len(c)
         d = np.full((n, n), np.inf)
         for i in range(n):
             d[i] = gaps(x[i], w[i], x, w, linkage)
             d[i, i] = np.inf
-        out = []
-        for step in range(n - 1):
-            i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-            out.append((step, float(d[i, j]), c[i], c[j]))
+        d[~np.isfinite(d)] = np.inf  # never merged, as in the rounds
+        near, least = d.argmin(1), d.min(1)
+        for step in range(begun, begun + n - 1):
+            i = int(np.argmin(least))
+            i, j = sorted((i, int(near[i])))
+            if not np.isfinite(d[i, j]):
+                break
+            out.append((step, float(d[i, j]), int(c[i]), int(c[j])))
             x[i] = (w[i] * x[i] + w[j] * x[j]) / (w[i] + w[j])
             w[i] += w[j]
-            new = np.where(np.isfinite(d[i]) & np.isfinite(d[j]), gaps(x[i], w[i], x, w, linkage), np.inf)
+            new = gaps(x[i], w[i], x, w, linkage)
+            new = np.where(np.isfinite(d[i]) & np.isfinite(d[j]) & np.isfinite(new), new, np.inf)
             d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-        names = ["round", "d", "a", "b"]
-        return pa.table(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {k: [] for k in names}, schema=pa.schema([("round", pa.int32()), ("d", pa.float64()), ("a", pa.int64()), ("b", pa.int64())]))
+            stale = np.flatnonzero((near == i) | (near == j) | (new <= least))
+            stale = np.union1d(stale, [i, j])
+            near[stale], least[stale] = d[stale].argmin(1), d[stale].min(1)
+        return made(out)
+
+    def made(out: list) -> pa.Table:
+        columns = zip(*out, strict=True) if out else [()] * 4
+        return pa.table(dict(zip(("round", "d", "a", "b"), map(list, columns), strict=True)), schema=pa.schema([("round", pa.int32()), ("d", pa.float64()), ("a", pa.int64()), ("b", pa.int64())]))
 
     return merge
 
 
-def merges(points: DataFrame, linkage: str = "ward", limit: float | None = None, block: int = 512, finish: int = 256) -> DataFrame:
+def _size(points: DataFrame, block: int, most: int, m: int, n: int) -> int:
+    """Vectors a block, where ``m`` meet ``n``."""
+    return max(block, min(most, math.isqrt(m * n // (_DEALT * points.sparkSession.sparkContext.defaultParallelism))))
+
+
+def _of_means(points: DataFrame, linkage: str, limit: float | None, block: int, finish: int) -> list[DataFrame]:
+    """The merges of each round, by lists that are complete up to a bound a cluster; clusters without a bound are searched."""
+    points = written(points.select("c", "w", F.lit(True).alias("whole"), "x", F.lit(None).cast("double").alias("r"), F.lit(None).cast("long").alias("m")), "points")
+    alive = n_asking = points.count()
+    most = _BYTES // (8 * max(1, points.agg(F.max(F.size("x"))).first()[0] or 1))
+    kept, stale, done, turn = None, None, [], 0
+    while alive > 1:
+        if alive <= min(finish, max(256, most)):
+            last = points.select("c", "w", "x").groupBy(F.lit(0).alias("_all")).applyInArrow(_last(linkage, limit), "round int, d double, a long, b long")
+            last = last.withColumn("round", F.col("round") + turn)
+            done.append(written(last if limit is None else last.where(F.col("d") <= limit), "merges"))
+            break
+        asking, others, few = points.where("r is null").drop("r", "m"), points.where("r is not null"), max(1, alive // _SHARE)
+        some = points.where(F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(_SHARE)) == 0).drop("r", "m")
+        bounds = written(nearest(asking, some, n_asking, few, linkage, _size(points, block, most, n_asking, few)).select("c", F.col("d").alias("r"), F.col("o").alias("m")), "bounds")
+        # Where the share held no other one, all are taken.
+        asking = asking.join(bounds, "c", "left").fillna({"r": math.inf, "m": _EVERY})
+        found = within(asking, others, n_asking, alive - n_asking, linkage, _size(points, block, most, n_asking, alive))
+        lists = written(found if kept is None else found.unionByName(kept), "lists")
+        near = lists.groupBy("c").agg(F.min(F.struct("d", "o")).alias("n")).select("c", "n.o", "n.d")
+        near = near if limit is None else near.where(F.col("d") <= limit)
+        both = near.groupBy(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+        pairs = written(both.where("n = 2").select(F.lit(turn).alias("round"), "d", "a", "b"), "merges")
+        n_pairs = pairs.count()
+        dropped(stale)
+        stale = lists
+        if not n_pairs:
+            dropped(pairs, bounds)
+            break
+        done.append(pairs)
+        gone = pairs.select(F.explode(F.array("a", "b")).alias("g"))
+        kept = lists.join(gone, lists["c"] == gone["g"], "left_anti").join(gone, F.col("o") == gone["g"], "left_anti")
+        # A bound holds for as long as the list has one within it; merged clusters are in no list.
+        bound = F.when(F.col("_left"), F.coalesce("_r", "r", F.lit(math.inf))).alias("r"), F.when(F.col("_left"), F.coalesce("_m", "m", F.lit(_EVERY))).alias("m")
+        merged = _merged(points.select("c", "w", "x", "whole"), pairs, None, linkage, block)
+        known = points.select("c", "r", "m").join(bounds.select("c", F.col("r").alias("_r"), F.col("m").alias("_m")), "c", "left")
+        known = known.join(kept.select("c").distinct().withColumn("_left", F.lit(True)), "c").select("c", *bound)
+        points, old = written(merged.join(known, "c", "left"), "points"), points
+        dropped(old, bounds)
+        alive -= n_pairs
+        n_asking = points.where("r is null").count()
+        turn += 1
+    dropped(stale, points)
+    return done
+
+
+def merges(points: DataFrame, linkage: str = "ward", limit: float | None = None, block: int | None = None, finish: int = 1 << 14) -> DataFrame:
     """(round, d, a, b): all merges of points (c, w, x), b into the smaller a; with ``limit`` only those of at most that distance (Ward's: squared).
 
-    Where ``finish`` clusters or fewer are left, their means meet in one task."""
+    Where ``finish`` clusters or fewer are left, and their means fit a block of 16 MB, one task goes on with the same rounds (complete linkage has no
+    means, and no such end)."""
+    spark = points.sparkSession
+    block = block or (512 if linkage == "complete" else 4096)
+    done = (_of_members if linkage == "complete" else _of_means)(points, linkage, limit, block, finish)
+    out = spark.createDataFrame([], "round int, d double, a long, b long")
+    for t in done:
+        out = out.unionByName(t)
+    return out
+
+
+def _of_members(points: DataFrame, linkage: str, limit: float | None, block: int, finish: int) -> list[DataFrame]:
+    """The merges of each round, by the nearest neighbours of clusters whose members are kept."""
     points = written(points.select("c", "w", F.lit(True).alias("whole"), "x"), "points")
-    sizes = None if linkage != "complete" else written(points.select("c", F.lit(1).cast("long").alias("n")), "sizes")
+    sizes = written(points.select("c", F.lit(1).cast("long").alias("n")), "sizes")
     n = alive = points.count()
-    most = _BYTES // (8 * max(1, points.agg(F.max(F.size("x"))).first()[0] or 1))
-    cores = points.sparkSession.sparkContext.defaultParallelism
     near, stale, done, turn = None, None, [], 0
     asking, n_asking = points, n
     while alive > 1:
-        if linkage != "complete" and alive <= finish:
-            last = points.groupBy(F.lit(0).alias("_all")).applyInArrow(_last(linkage), "round int, d double, a long, b long")
-            last = last.withColumn("round", F.col("round") + turn)
-            done.append(written(last if limit is None else last.where(F.col("d") <= limit), "merges"))
-            break
-        size = block
-        if linkage != "complete":
-            size = max(block, min(most, math.isqrt(n_asking * n // (_DEALT * cores))))
-        found = nearest(asking, points, n_asking, n, linkage, size)
+        found = nearest(asking, points, n_asking, n, linkage, block)
         fresh = written(found if near is None else found.unionByName(near), "near")
         dropped(stale, found)
         one = fresh.where("c < o") if limit is None else fresh.where((F.col("c") < F.col("o")) & (F.col("d") <= limit))
@@ -238,10 +422,9 @@ def merges(points: DataFrame, linkage: str = "ward", limit: float | None = None,
             dropped(pairs, fresh)
             break
         done.append(pairs)
-        if sizes is not None:
-            renamed = sizes.join(pairs.select(F.col("b").alias("c"), "a"), "c", "left").groupBy(F.coalesce("a", "c").alias("c")).agg(F.sum("n").alias("n"))
-            sizes, old = written(renamed, "sizes"), sizes
-            dropped(old)
+        renamed = sizes.join(pairs.select(F.col("b").alias("c"), "a"), "c", "left").groupBy(F.coalesce("a", "c").alias("c")).agg(F.sum("n").alias("n"))
+        sizes, old = written(renamed, "sizes"), sizes
+        dropped(old)
         points, old = written(_merged(points, pairs, sizes, linkage, block), "points"), points
         dropped(old)
         gone = pairs.select(F.explode(F.array("a", "b")).alias("g"))
@@ -250,15 +433,10 @@ def merges(points: DataFrame, linkage: str = "ward", limit: float | None = None,
         # Asked anew: clusters that merged, and those whose neighbour did.
         asking = points.join(near.select("c"), "c", "left_anti")
         alive -= n_pairs
-        n = alive if linkage != "complete" else n
         n_asking = asking.count() if n > block else n
         turn += 1
     dropped(stale, points, sizes)
-    spark = points.sparkSession
-    out = spark.createDataFrame([], "round int, d double, a long, b long")
-    for t in done:
-        out = out.unionByName(t)
-    return out
+    return done
 
 
 def cut(tree: DataFrame, k: int | None, threshold: float | None, linkage: str) -> DataFrame:
@@ -271,7 +449,7 @@ def cut(tree: DataFrame, k: int | None, threshold: float | None, linkage: str) -
     return followed(kept.select(F.col("b").alias("node"), F.col("a").alias("parent")))
 
 
-def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, block: int = 512, finish: int = 256) -> DataFrame:
+def agglomerative(df: DataFrame, vector: str, linkage: str = "ward", k: int | None = None, threshold: float | None = None, block: int | None = None, finish: int = 1 << 14) -> DataFrame:
     """Adds ``cluster``, numbered from 0 in the order of each cluster's smallest vector; a null vector has none."""
     if linkage not in LINKAGES:
         raise ValueError(f"linkage is one of {', '.join(LINKAGES)}")

@@ -112,3 +112,53 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     _, df = data(spark, 400, 3, seed=8)
     hierarchy.agglomerative(df, "v", k=3, block=4, finish=200)
     assert all(math.ceil(math.sqrt(mn) / block) ** 2 <= 4 * hierarchy._DEALT * spark.sparkContext.defaultParallelism for mn, block in sizes)
+
+
+@pytest.mark.parametrize("linkage", ["ward", "average"])
+def test_pairs_up_to_a_bound(linkage):
+    """Two blocks give every pair up to the bound of either side, ties by number, and a block with itself each pair once a side."""
+    rng = np.random.default_rng(5)
+    kinds = {"spread": rng.normal(size=(700, 16)), "grid": rng.integers(0, 3, (90, 2)) + 0.0, "far": 1e7 + rng.normal(size=(200, 3)), "huge": 1e30 * rng.normal(size=(200, 4)), "one": np.ones((1, 3)), "alike": np.ones((40, 3))}
+    for x in kinds.values():
+        if linkage == "average":
+            x = x - x.mean(1, keepdims=True)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        n = len(x)
+        w, c = rng.choice([1.0, 2.0, 5000.0], n), rng.permutation(n)
+        d = np.array([hierarchy.gaps(x[i], w[i], x, w, linkage) for i in range(n)])
+        rank = [sorted((float(d[i, j]), int(c[j])) for j in range(n) if j != i) for i in range(n)]
+        r, m = zip(*(q[min(int(rng.integers(6)), n - 2)] if q else (math.inf, 2**63 - 1) for q in rank), strict=True)
+        r, m = (math.inf, *r[1:]), (2**63 - 1, *m[1:])
+        table = pa.table({"c": c, "w": w, "x": x.tolist(), "r": r, "m": m})
+        for left, right, key in ((np.arange(n // 2), np.arange(n // 2, n), (0, 1)), (np.arange(n), np.arange(n), (0, 0))):
+            got = hierarchy._within(linkage)(tuple(map(pa.scalar, key)), table.take(left), table.take(right)).to_pylist()
+            pairs = [(i, j) for i in left.tolist() for j in right.tolist() if i != j]
+            pairs += [(j, i) for i, j in pairs] if key[0] != key[1] else []
+            want = [(int(c[i]), int(c[j]), float(d[i, j])) for i, j in pairs if (d[i, j], c[j]) <= (r[i], m[i])]
+            assert sorted((p["c"], p["o"], p["d"]) for p in got) == sorted(want)
+
+
+@pytest.mark.parametrize("linkage", ["ward", "average"])
+def test_last_means_by_rounds(linkage):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6))
+    table = pa.table({"c": rng.permutation(300), "w": rng.choice([1.0, 3.0], 300), "x": x.tolist()})
+    key = lambda t: sorted((r["a"], r["b"], round(r["d"], 9)) for r in t.to_pylist())
+    one, rounds = hierarchy._last(linkage, few=300)(table), hierarchy._last(linkage, few=1)(table)
+    assert one.num_rows == 299 and key(one) == key(rounds) == key(hierarchy._last(linkage, few=40)(table))
+    limit = float(np.median(one["d"].to_numpy()))
+    assert key(hierarchy._last(linkage, limit, 1)(table)) == [r for r in key(one) if r[2] <= limit]
+    assert hierarchy._last(linkage)(table.slice(0, 1)).num_rows == 0
+
+
+def test_clusters_are_met_once(spark, monkeypatch):
+    """Pairs of vectors that are looked at: each pair once, and a merged cluster once with each other one, little more."""
+    looked, nearest, within = [], hierarchy.nearest, getattr(hierarchy, "within", None)
+    monkeypatch.setattr(hierarchy, "nearest", lambda *a: looked.append(a[2] * a[3]) or nearest(*a))
+    monkeypatch.setattr(hierarchy, "within", lambda *a: looked.append(a[2] * (a[2] / 2 + a[3])) or within(*a), raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(900, 24)).tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in hierarchy.agglomerative(df, "v", k=7, block=256, finish=550).collect()}
+    assert sum(looked) < 1.3 * 900**2
+    assert got == {k: v for k, v in wanted(rows, "ward", k=7).items() if k >= 0}
